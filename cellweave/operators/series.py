@@ -80,9 +80,7 @@ def against_reference(
     date: str = "yr_mon",
 ) -> DataFrame:
     """Each series beside the reference series (columns ``date, reference``) on equal dates."""
-    return attach_lookup(df, reference, [date], "inner").dropna(
-        "any", subset=[value, "reference"]
-    )
+    return df.join(reference, date, "inner").dropna("any", subset=[value, "reference"])
 
 
 def reference_series(df: DataFrame, region_value: str, value: str, region: str = "region"):

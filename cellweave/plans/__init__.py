@@ -1,0 +1 @@
+"""Named data products over the driver tables, and their reference SQL."""
