@@ -52,7 +52,11 @@ def month_of_year(moment: ColumnLike) -> Column:
     return F.month(as_column(moment))
 
 
-def month_seconds(label: ColumnLike) -> Column:
-    """Number of seconds in a ``YYYY-MM`` month."""
-    first = F.to_date(F.concat(as_column(label), F.lit("-01")))
-    return F.day(F.last_day(first)) * F.lit(DAY_SECONDS)
+def month_date(label: ColumnLike) -> Column:
+    """First day of a ``YYYY-MM`` month."""
+    return F.try_to_date(F.concat(as_column(label), F.lit("-01")), "yyyy-MM-dd")
+
+
+def month_seconds(moment: ColumnLike) -> Column:
+    """Number of seconds in the month of a date."""
+    return F.day(F.last_day(as_column(moment))) * F.lit(DAY_SECONDS)

@@ -16,7 +16,7 @@ MEASURES = ("co2_upsum", "alk_pot_mean", "wind_avg", "ddpco2_mean", "co3prox_mea
 
 
 def with_uptake(df: DataFrame, flux: str = "dfg", area: str = "area", time: str = "time"):
-    """Monthly carbon uptake of each cell in moles."""
+    """Monthly carbon uptake of each cell in moles; ``time`` is a date in the month."""
     return df.withColumn("co2_uptake", monthly_uptake(flux, area, month_seconds(time)))
 
 

@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.calendar import month_label, month_start
+from cellweave.functions.calendar import month_start
 from cellweave.functions.missing import ratio
 from cellweave.functions.physics import cell_area
 from cellweave.operators.lookup import ordinal_table, pin_lookup
@@ -57,7 +57,7 @@ class Views:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Raw rows of all runs; ``month_date`` is the grouping form of the month."""
+        """Raw rows of all runs; ``time`` is the first day of the month."""
         depth = F.lit(None).cast("double")
         for number, metres in enumerate(DEPTHS, start=1):
             depth = F.when(F.col("l_linenumber") == number, F.lit(metres)).otherwise(depth)
@@ -65,8 +65,9 @@ class Views:
             F.col("l_returnflag").alias("phase"),
             F.col("l_linestatus").alias("scenario"),
             F.col("l_suppkey").alias("cell"),
+            F.col("l_linenumber").alias("layer"),
             depth.alias("depth"),
-            month_start("l_shipdate").alias("month_date"),
+            month_start("l_shipdate").alias("time"),
             F.col("l_quantity").alias("quantity"),
             F.col("l_extendedprice").alias("price"),
             F.col("l_discount").alias("discount"),
@@ -81,17 +82,11 @@ class Views:
     def control_lines(self) -> DataFrame:
         return self.lines.filter(F.col("scenario") == "F")
 
-    @staticmethod
-    def _labelled(df: DataFrame) -> DataFrame:
-        """Replace the month date by its label once the rows are aggregated."""
-        rest = [c for c in df.columns if c != "month_date"]
-        return df.select(*rest, month_label("month_date").alias("time"))
-
     @cached_property
     def treated(self) -> DataFrame:
         """(phase, cell, depth, time) with alk, dic."""
-        return self._labelled(
-            self.treated_lines.groupBy("phase", "cell", "depth", "month_date").agg(
+        return (
+            self.treated_lines.groupBy("phase", "cell", "depth", "time").agg(
                 F.avg("quantity").alias("alk"),
                 (F.avg("price") / 1000.0).alias("dic"),
             )
@@ -100,8 +95,8 @@ class Views:
     @cached_property
     def control(self) -> DataFrame:
         """(cell, depth, time) with alk_con, dic_con."""
-        return self._labelled(
-            self.control_lines.groupBy("cell", "depth", "month_date").agg(
+        return (
+            self.control_lines.groupBy("cell", "depth", "time").agg(
                 F.avg("quantity").alias("alk_con"),
                 (F.avg("price") / 1000.0).alias("dic_con"),
             )
@@ -120,8 +115,7 @@ class Views:
     @cached_property
     def treated_periods(self) -> DataFrame:
         """The months of each treated run, numbered; at most some hundred rows."""
-        dates = ordinal_table(self.treated_lines, "month_date", ["phase"], "month")
-        return pin_lookup(self._labelled(dates))
+        return pin_lookup(ordinal_table(self.treated_lines, "time", ["phase"], "month"))
 
     def with_month(self, df: DataFrame, first: int | None = None) -> DataFrame:
         """Add the month number of the treated run, optionally keeping the first ones."""
@@ -139,11 +133,11 @@ class Views:
     @cached_property
     def surface_treated(self) -> DataFrame:
         """(phase, cell, time) with hbls and, at depth 0, fg, pco2oc, pco2air, alk, dic."""
-        at_surface = F.col("depth") == 0
+        at_surface = F.col("layer") == 1
         quantity = F.avg(F.when(at_surface, F.col("quantity")))
         price = F.avg(F.when(at_surface, F.col("price"))) / 1000.0
-        return self._labelled(
-            self.treated_lines.groupBy("phase", "cell", "month_date").agg(
+        return (
+            self.treated_lines.groupBy("phase", "cell", "time").agg(
                 (F.avg("discount") * 3000.0).alias("hbls"),
                 quantity.alias("alk"),
                 price.alias("dic"),
@@ -153,9 +147,9 @@ class Views:
     @cached_property
     def surface_control(self) -> DataFrame:
         """(cell, time) at depth 0 with alk_con, dic_con."""
-        return self._labelled(
-            self.control_lines.filter(F.col("depth") == 0)
-            .groupBy("cell", "month_date")
+        return (
+            self.control_lines.filter(F.col("layer") == 1)
+            .groupBy("cell", "time")
             .agg(
                 F.avg("quantity").alias("alk_con"),
                 (F.avg("price") / 1000.0).alias("dic_con"),
@@ -196,8 +190,8 @@ class Views:
     @cached_property
     def wind(self) -> DataFrame:
         """(cell, time) with wind_speed, over all runs."""
-        return self._labelled(
-            self.lines.groupBy("cell", "month_date").agg(
+        return (
+            self.lines.groupBy("cell", "time").agg(
                 (F.avg("tax") * 100.0).alias("wind_speed")
             )
         )
@@ -282,10 +276,10 @@ class Views:
         )
 
     def _water_means(self, lines: DataFrame, keys: list[str]) -> DataFrame:
-        means = lines.groupBy(*keys, "month_date").agg(
+        means = lines.groupBy(*keys, "time").agg(
             *[F.avg(c).alias(c) for c in ("quantity", "price", "discount", "tax")]
         )
-        return self._water(self._labelled(means))
+        return self._water(means)
 
     @cached_property
     def control_water(self) -> DataFrame:

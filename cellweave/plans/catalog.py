@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,23 +39,29 @@ Query = Callable[[SparkSession, str], DataFrame]
 PRODUCTS: dict[str, Query] = {}
 
 # Last month of each treated run in its files.
-RUN_ENDS = {"A": "1999-05", "N": "1998-05", "R": "2000-05"}
+RUN_ENDS = {"A": date(1999, 5, 1), "N": date(1998, 5, 1), "R": date(2000, 5, 1)}
 
 
 def as_stored(df: DataFrame) -> DataFrame:
-    """Measures in single precision, as model output is stored, with noise near zero removed.
+    """The form in which results leave the engine.
 
-    Sums of doubles depend on the order of the rows; in this form equal results
-    are equal values.
+    Measures take single precision, as model output is stored, with noise near
+    zero removed: sums of doubles depend on the order of the rows, and in this
+    form equal results are equal values. Months get their ``YYYY-MM`` label
+    here, so that plans group and join on a date.
     """
-    return df.select(
-        *[
-            (F.round(name, 9).cast("float").cast("double") + F.lit(0.0)).alias(name)
-            if kind == "double"
-            else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
+
+    def stored(name: str, kind: str):
+        column = F.col(name)
+        if kind == "double":
+            column = (F.rint(column * 1e9) / 1e9).cast("float").cast("double") + F.lit(0.0)
+        elif name == "time" and kind == "date":
+            column = calendar.month_label(column)
+        elif kind == "date":
+            column = column.cast("string")
+        return column.alias(name)
+
+    return df.select(*[stored(name, kind) for name, kind in df.dtypes])
 
 
 def product(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -120,7 +127,7 @@ def induced_pco2_gradient(v: Views) -> DataFrame:
 
 @product
 def control_carbonate_proxy(v: Views) -> DataFrame:
-    return v.control.filter(F.col("depth") == 0).select(
+    return v.surface_control.select(
         "cell", "time", (F.col("alk_con") - F.col("dic_con")).alias("co3_prox")
     )
 
@@ -144,9 +151,9 @@ def cumulative_surface_alkalinity(v: Views) -> DataFrame:
         F.col("l_linestatus").alias("scenario"),
         F.col("l_suppkey").alias("cell"),
         F.col("l_linenumber").alias("layer"),
-        calendar.month_start("l_shipdate").alias("month_date"),
+        calendar.month_start("l_shipdate").alias("time"),
     ).agg(F.avg("l_quantity").alias("alk"))
-    keys = ["cell", "layer", "month_date"]
+    keys = ["cell", "layer", "time"]
     treated = runs.filter(F.col("scenario") == "O").select(*keys, F.col("alk").alias("alk_10x"))
     control = runs.filter(F.col("scenario") == "F").select(*keys, "alk")
     merged = scenario.merge_runs(treated, control, keys).withColumn(
@@ -548,16 +555,12 @@ def sst_anomalies(v: Views) -> DataFrame:
     return series.anomalies(sst_series(v), ["region"], "sst_mean", "sst_clim", "sst_anom")
 
 
-def dated(df: DataFrame) -> DataFrame:
-    return df.withColumn("yr_mon", F.col("yr_mon").cast("string"))
-
-
 @product
 def regional_monthly_series(v: Views) -> DataFrame:
     t50 = series.monthly_series(v.series, {"t50_mean": F.col("value") / 10000.0})
     metrics = v.line_metrics.filter(F.col("region") != REFERENCE_REGION)
     joined = scenario.merge_runs(sst_series(v), t50, ["region", "yr_mon"])
-    return dated(scenario.merge_runs(joined, metrics, ["region", "yr_mon"]))
+    return scenario.merge_runs(joined, metrics, ["region", "yr_mon"])
 
 
 @product
@@ -567,12 +570,12 @@ def climatology_baseline(v: Views) -> DataFrame:
 
 @product
 def anomaly_series(v: Views) -> DataFrame:
-    return dated(sst_anomalies(v))
+    return sst_anomalies(v)
 
 
 @product
 def running_annual_mean(v: Views) -> DataFrame:
-    return dated(series.running_means(sst_anomalies(v), ["region"], ["sst_mean", "sst_anom"]))
+    return series.running_means(sst_anomalies(v), ["region"], ["sst_mean", "sst_anom"])
 
 
 @product
@@ -606,7 +609,7 @@ def metric_table(v: Views) -> DataFrame:
 
 @product
 def metric_anomalies(v: Views) -> DataFrame:
-    return dated(
+    return (
         series.anomalies(
             metric_table(v), ["region", "metric"], "metric_mean", "metric_clim", "metric_anom"
         )
@@ -618,7 +621,7 @@ def metric_running_means(v: Views) -> DataFrame:
     found = series.anomalies(
         metric_table(v), ["region", "metric"], "metric_mean", "metric_clim", "metric_anom"
     )
-    return dated(
+    return (
         series.running_means(found, ["region", "metric"], ["metric_mean", "metric_anom"])
     )
 
@@ -637,7 +640,7 @@ def metric_correlation(v: Views) -> DataFrame:
 
 @product
 def region_columns(v: Views) -> DataFrame:
-    return dated(
+    return (
         series.widen(
             sst_anomalies(v), ["yr_mon"], "region", "sst_anom", REGIONS
         ).withColumnsRenamed({name: f"anom_{name[0]}" for name in REGIONS})
@@ -646,12 +649,12 @@ def region_columns(v: Views) -> DataFrame:
 
 @product
 def series_before_cutoff(v: Views) -> DataFrame:
-    return dated(series.before(sst_series(v), "2001-01-01"))
+    return series.before(sst_series(v), "2001-01-01")
 
 
 @product
 def earliest_series_month(v: Views) -> DataFrame:
-    return dated(series.earliest(sst_series(v), "yr_mon", ["region"]))
+    return series.earliest(sst_series(v), "yr_mon", ["region"])
 
 
 # --- maps and points ------------------------------------------------------------------
@@ -827,7 +830,7 @@ def calendar_forms(v: Views) -> DataFrame:
     return (
         forms.groupBy("time", "yr_mon", "moy")
         .agg(F.count(F.lit(1)).alias("orders"), F.min("model_seconds").alias("first_seconds"))
-        .withColumn("secs", calendar.month_seconds("time").cast("bigint"))
+        .withColumn("secs", calendar.month_seconds(calendar.month_date("time")).cast("bigint"))
     )
 
 

@@ -148,7 +148,7 @@ BASE = {
 
 
 def stored(expression: str) -> str:
-    return f"CAST(CAST(round({expression}, 9) AS FLOAT) AS DOUBLE) + 0.0"
+    return f"CAST(CAST(round_even({expression} * 1e9, 0) / 1e9 AS FLOAT) AS DOUBLE) + 0.0"
 
 
 def oracle(name: str, query: str, exact: str, doubles: str, extra: dict | None = None) -> None:

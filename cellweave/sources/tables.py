@@ -43,12 +43,14 @@ def read_partitions(
     return df
 
 
-def until(df: DataFrame, cutoffs: Mapping[str, str], phase: str = "phase", time: str = "time"):
+def until(
+    df: DataFrame, cutoffs: Mapping[str, object], phase: str = "phase", time: str = "time"
+) -> DataFrame:
     """Keep each phase up to its last period; a phase without a cutoff is kept whole."""
-    limit = F.lit(None).cast("string")
+    within = ~F.col(phase).isin(*cutoffs)
     for name, last in cutoffs.items():
-        limit = F.when(F.col(phase) == name, F.lit(last)).otherwise(limit)
-    return df.filter(limit.isNull() | (F.col(time) <= limit))
+        within = within | ((F.col(phase) == name) & (F.col(time) <= F.lit(last)))
+    return df.filter(within)
 
 
 def write_table(
