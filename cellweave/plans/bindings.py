@@ -46,21 +46,36 @@ def position(key: str) -> dict:
 
 
 class Views:
-    """The views over one folder of tables."""
+    """The views over one folder of tables.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    With ``first`` set, every view holds only what belongs to the first months
+    of the treated runs. The restriction is applied to the raw rows, below the
+    aggregations and joins, where the optimizer could not move it by itself.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, first: int | None = None):
         self.spark = spark
         self.folder = folder
+        self.first = first
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_files(self.spark, [f"{self.folder}/{name}.parquet"])
+        if name not in self._tables:
+            self._tables[name] = read_files(self.spark, [f"{self.folder}/{name}.parquet"])
+        return self._tables[name]
 
     @cached_property
-    def lines(self) -> DataFrame:
-        """Raw rows of all runs; ``time`` is the first day of the month."""
-        depth = F.lit(None).cast("double")
-        for number, metres in enumerate(DEPTHS, start=1):
-            depth = F.when(F.col("l_linenumber") == number, F.lit(metres)).otherwise(depth)
+    def early(self) -> Views:
+        """The same views restricted to the first months of each run."""
+        early = Views(self.spark, self.folder, FIRST_MONTHS)
+        early._tables = self._tables
+        early.periods = self.periods
+        return early
+
+    @cached_property
+    def _all_lines(self) -> DataFrame:
+        cases = " ".join(f"WHEN {i} THEN {d}D" for i, d in enumerate(DEPTHS, start=1))
+        depth = F.expr(f"CASE l_linenumber {cases} END")
         return self.table("lineitem").select(
             F.col("l_returnflag").alias("phase"),
             F.col("l_linestatus").alias("scenario"),
@@ -74,13 +89,36 @@ class Views:
             F.col("l_tax").alias("tax"),
         )
 
+    @cached_property
+    def periods(self) -> DataFrame:
+        """The months of each treated run, numbered: one row per run and month."""
+        treated = self._all_lines.filter(F.col("scenario") == "O")
+        return pin_lookup(ordinal_table(treated, "time", ["phase"], "month"))
+
+    def _early_rows(self, lines: DataFrame, keys: list[str]) -> DataFrame:
+        if self.first is None:
+            return lines
+        chosen = self.periods.filter(F.col("month") <= self.first).select(*keys)
+        return lines.join(chosen, keys, "left_semi")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Raw rows of all runs; ``time`` is the first day of the month."""
+        return self._early_rows(self._all_lines, ["time"])
+
     @cached_property
     def treated_lines(self) -> DataFrame:
-        return self.lines.filter(F.col("scenario") == "O")
+        return self._early_rows(
+            self._all_lines.filter(F.col("scenario") == "O"), ["phase", "time"]
+        )
 
     @cached_property
     def control_lines(self) -> DataFrame:
-        return self.lines.filter(F.col("scenario") == "F")
+        return self._early_rows(self._all_lines.filter(F.col("scenario") == "F"), ["time"])
+
+    def with_month(self, df: DataFrame) -> DataFrame:
+        """Add the month number of the treated run."""
+        return df.join(self.periods, ["phase", "time"], "left")
 
     @cached_property
     def treated(self) -> DataFrame:
@@ -112,16 +150,6 @@ class Views:
             {"dta": ("alk", "alk_con"), "ddic": ("dic", "dic_con")},
         )
 
-    @cached_property
-    def treated_periods(self) -> DataFrame:
-        """The months of each treated run, numbered; at most some hundred rows."""
-        return pin_lookup(ordinal_table(self.treated_lines, "time", ["phase"], "month"))
-
-    def with_month(self, df: DataFrame, first: int | None = None) -> DataFrame:
-        """Add the month number of the treated run, optionally keeping the first ones."""
-        numbered = df.join(self.treated_periods, ["phase", "time"], "left")
-        return numbered if first is None else numbered.filter(F.col("month") <= first)
-
     @cached_property
     def area(self) -> DataFrame:
         """(cell) with lat, lon, area: the static layer, never distributed by hint."""

@@ -26,7 +26,6 @@ from cellweave.operators.lookup import attach_lookup, attach_ordinal
 from cellweave.operators.slices import map_slice
 from cellweave.plans.bindings import (
     CELL_KEY,
-    FIRST_MONTHS,
     REFERENCE_REGION,
     REGIONS,
     Views,
@@ -51,17 +50,18 @@ def as_stored(df: DataFrame) -> DataFrame:
     here, so that plans group and join on a date.
     """
 
-    def stored(name: str, kind: str):
-        column = F.col(name)
-        if kind == "double":
-            column = (F.rint(column * 1e9) / 1e9).cast("float").cast("double") + F.lit(0.0)
-        elif name == "time" and kind == "date":
-            column = calendar.month_label(column)
-        elif kind == "date":
-            column = column.cast("string")
-        return column.alias(name)
-
-    return df.select(*[stored(name, kind) for name, kind in df.dtypes])
+    forms = {
+        "double": "cast(cast(rint({0} * 1e9) / 1e9 AS float) AS double) + 0e0 AS {0}",
+        "date": "cast({0} AS string) AS {0}",
+    }
+    return df.selectExpr(
+        *[
+            "date_format(time, 'yyyy-MM') AS time"
+            if (name, kind) == ("time", "date")
+            else forms.get(kind, "{0}").format(name)
+            for name, kind in df.dtypes
+        ]
+    )
 
 
 def product(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -237,9 +237,9 @@ def column_integral_top100(v: Views) -> DataFrame:
 # --- drivers of the uptake ------------------------------------------------------------
 
 
-def placed_surface(v: Views, first: int | None = FIRST_MONTHS) -> DataFrame:
-    """Surface cells with month number, position and area."""
-    numbered = v.with_month(clean_measures(v.surface), first)
+def placed_surface(v: Views) -> DataFrame:
+    """Surface cells of the first months with month number, position and area."""
+    numbered = v.early.with_month(clean_measures(v.early.surface))
     return integrate.attach_static(numbered, v.area, ["cell"])
 
 
@@ -286,7 +286,7 @@ def regional_uptake(v: Views) -> DataFrame:
 
 @product
 def cumulative_uptake(v: Views) -> DataFrame:
-    integrated = ensemble.number_rows(domain_integral_native(v), ["phase"], "time")
+    integrated = ensemble.number_rows(domain_integral_native(v.early), ["phase"], "time")
     return drivers.cumulative_uptake(drivers.with_uptake(placed_surface(v)), integrated)
 
 
@@ -304,14 +304,16 @@ def regional_proxy(v: Views) -> DataFrame:
 
 @product
 def driver_table(v: Views) -> DataFrame:
-    wind = drivers.regional_means(placed_wind(v), ["time"], {"wind_avg": "wind_speed"})
-    return drivers.driver_table(drivers.with_uptake(placed_surface(v)), wind, regional_proxy(v))
+    wind = drivers.regional_means(placed_wind(v.early), ["time"], {"wind_avg": "wind_speed"})
+    return drivers.driver_table(
+        drivers.with_uptake(placed_surface(v)), wind, regional_proxy(v.early)
+    )
 
 
 def complete_surface(v: Views) -> DataFrame:
     """Surface cells that have a control partner, with wind and uptake."""
     cells = scenario.drop_land(placed_surface(v), ["alk_pot", "ddpco2"])
-    return drivers.with_uptake(cells.join(v.wind, ["cell", "time"], "left"))
+    return drivers.with_uptake(cells.join(v.early.wind, ["cell", "time"], "left"))
 
 
 @product
@@ -387,7 +389,7 @@ def depth_bins(v: Views) -> DataFrame:
 
 @product
 def depth_time_table(v: Views) -> DataFrame:
-    layers = v.with_month(depth_layer_integral(v), FIRST_MONTHS)
+    layers = v.early.with_month(depth_layer_integral(v.early))
     return attach_lookup(layers, depth_levels(v), ["depth"]).withColumns(
         {
             "category": physics.depth_class("depth"),
@@ -397,7 +399,7 @@ def depth_time_table(v: Views) -> DataFrame:
 
 
 def depth_time_ensemble(v: Views) -> DataFrame:
-    layers = v.with_month(depth_layer_integral(v), FIRST_MONTHS)
+    layers = v.early.with_month(depth_layer_integral(v.early))
     return ensemble.group_means(
         layers,
         ["month", "depth"],
@@ -467,20 +469,20 @@ def column_cell_means_top100(v: Views) -> DataFrame:
 
 @product
 def flux_deviation(v: Views) -> DataFrame:
-    cells = v.with_month(v.surface.select("phase", "cell", "time", "dfg"), FIRST_MONTHS)
+    cells = v.early.with_month(v.early.surface.select("phase", "cell", "time", "dfg"))
     averaged = ensemble.group_means(cells, ["cell", "month"], {"dfg_mean": "dfg"})
     return ensemble.deviations(averaged, {"d_dfg": ("dfg", "dfg_mean")})
 
 
 @product
 def gradient_block_mean(v: Views) -> DataFrame:
-    cells = v.with_month(v.surface.select("phase", "cell", "time", "ddpco2"), FIRST_MONTHS)
+    cells = v.early.with_month(v.early.surface.select("phase", "cell", "time", "ddpco2"))
     return ensemble.block_means(cells, ["cell", "phase"], "month", {"ddpco2_3mean": "ddpco2"})
 
 
 @product
 def gradient_deviation(v: Views) -> DataFrame:
-    cells = v.with_month(v.surface.select("phase", "cell", "time", "ddpco2"), FIRST_MONTHS)
+    cells = v.early.with_month(v.early.surface.select("phase", "cell", "time", "ddpco2"))
     averaged = ensemble.group_means(cells, ["cell", "month"], {"ddpco2_mean": "ddpco2"})
     return ensemble.deviations(averaged, {"d_ddpco2": ("ddpco2", "ddpco2_mean")})
 
@@ -490,7 +492,7 @@ def gradient_deviation(v: Views) -> DataFrame:
 
 def maximum_mixing(v: Views) -> DataFrame:
     return integrate.row_of_maximum(
-        v.with_month(v.mixing, FIRST_MONTHS), ["phase", "cell"], "hbls", "month", ["time"]
+        v.early.with_month(v.early.mixing), ["phase", "cell"], "hbls", "month", ["time"]
     )
 
 
@@ -507,22 +509,23 @@ def maximum_mixing_deviation(v: Views) -> DataFrame:
 
 @product
 def monthly_mixing_deviation(v: Views) -> DataFrame:
-    cells = v.with_month(v.mixing, FIRST_MONTHS)
+    cells = v.early.with_month(v.early.mixing)
     averaged = ensemble.group_means(cells, ["cell", "month"], {"hbls_mean": "hbls"})
     return ensemble.deviations(averaged, {"d_hbls": ("hbls", "hbls_mean")})
 
 
 @product
 def weighted_mixing_depth(v: Views) -> DataFrame:
-    columns = column_amounts(v, top100=False).select("phase", "cell", "time", "dta_column")
-    cells = v.with_month(v.mixing, FIRST_MONTHS).join(columns, ["phase", "cell", "time"], "left")
+    columns = column_amounts(v.early, top100=False).select(
+        "phase", "cell", "time", "dta_column"
+    )
+    cells = v.early.with_month(v.early.mixing).join(columns, ["phase", "cell", "time"], "left")
     return drivers.weighted_mixing_depth(integrate.attach_static(cells, v.area, ["cell"]))
 
 
 def numbered_columns(v: Views) -> DataFrame:
-    return v.with_month(
-        column_cells(v).select("phase", "cell", "depth", "time", "dta_mol", "ddic_mol"),
-        FIRST_MONTHS,
+    return v.early.with_month(
+        column_cells(v.early).select("phase", "cell", "depth", "time", "dta_mol", "ddic_mol")
     )
 
 
@@ -537,7 +540,7 @@ def subducted_under_maximum(v: Views) -> DataFrame:
 
 @product
 def subducted_under_current(v: Views) -> DataFrame:
-    cells = numbered_columns(v).join(v.mixing, ["phase", "cell", "time"], "left")
+    cells = numbered_columns(v).join(v.early.mixing, ["phase", "cell", "time"], "left")
     return integrate.subducted(
         cells, ["phase", "month"], {"dta": "dta_mol", "ddic": "ddic_mol"}
     )
