@@ -63,11 +63,6 @@ def group_envelope(df: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
     return df.withColumns(columns)
 
 
-def deviations(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """``{out: (value, mean)}`` to value minus mean."""
-    return df.withColumns({out: F.col(a) - F.col(b) for out, (a, b) in pairs.items()})
-
-
 def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, out: str) -> DataFrame:
     window = (
         Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

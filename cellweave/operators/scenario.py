@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.missing import ratio
+from cellweave.functions.missing import ColumnLike, as_column, ratio
 
 
 def stack_runs(runs: Mapping[str, DataFrame], label: str = "phase") -> DataFrame:
@@ -38,9 +38,65 @@ def pair_with_control(
     per key. All phases are paired in one join: the control is shuffled once on
     the cell key, whatever the number of treated runs.
     """
-    paired = treated.join(control, list(keys), "left")
-    return paired.withColumns(
-        {out: F.col(a) - F.col(b) for out, (a, b) in differences.items()}
+    return with_differences(treated.join(control, list(keys), "left"), differences)
+
+
+def with_differences(df: DataFrame, differences: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``{out: (a, b)}`` to a minus b."""
+    return df.withColumns({out: F.col(a) - F.col(b) for out, (a, b) in differences.items()})
+
+
+def pair_runs(
+    rows: DataFrame,
+    keys: Sequence[str],
+    run: str,
+    runs: Sequence[str],
+    control: str,
+    measures: Mapping[str, ColumnLike],
+    label: str = "phase",
+) -> DataFrame:
+    """Pair treated runs with the control when all of them are rows of one table.
+
+    The mean of each measure is taken per key and run in a single grouping: one
+    scan and one shuffle, where separate tables need a scan and a shuffle per
+    side. Rows combine per key before the shuffle, so a key that holds a large
+    share of the rows arrives as one partial row per task. The result has one
+    row per key and treated run, with control means under the suffix ``_con``.
+    """
+    names = (*runs, control)
+    aggregates = []
+    for i, name in enumerate(names):
+        here = F.col(run) == name
+        aggregates.append(F.count(F.when(here, F.lit(1))).alias(f"_rows_{i}"))
+        for out, value in measures.items():
+            aggregates.append(F.avg(F.when(here, as_column(value))).alias(f"_{out}_{i}"))
+    wide = rows.filter(F.col(run).isin(*names)).groupBy(*keys).agg(*aggregates)
+    treated = F.array(
+        *[
+            F.when(
+                F.col(f"_rows_{i}") > 0,
+                F.struct(
+                    F.lit(name).alias(label),
+                    *[F.col(f"_{out}_{i}").alias(out) for out in measures],
+                ),
+            )
+            for i, name in enumerate(runs)
+        ]
+    )
+    last = len(runs)
+    return (
+        wide.select(
+            *keys,
+            *[F.col(f"_{out}_{last}").alias(f"{out}_con") for out in measures],
+            F.explode(treated).alias("_run"),
+        )
+        .filter(F.col("_run").isNotNull())
+        .select(
+            f"_run.{label}",
+            *keys,
+            *[f"_run.{out}" for out in measures],
+            *[f"{out}_con" for out in measures],
+        )
     )
 
 

@@ -25,12 +25,16 @@ from cellweave.functions.calendar import month_start
 from cellweave.functions.missing import ratio
 from cellweave.functions.physics import cell_area
 from cellweave.operators.lookup import ordinal_table, pin_lookup
-from cellweave.operators.scenario import pair_with_control
+from cellweave.operators.scenario import pair_runs, with_differences
 from cellweave.sources.tables import read_files
 
 # Depth in metres of line numbers 1 to 7.
 DEPTHS = (0.0, 40.0, 80.0, 90.0, 100.0, 200.0, 300.0)
 
+# The treated runs and the name given to the control run.
+RUNS = ("A", "N", "R")
+CONTROL = "control"
+
 CELL_KEY = ("cell", "depth", "time")
 FIRST_MONTHS = 24
 REFERENCE_REGION = "1-URGENT"
@@ -140,14 +144,28 @@ class Views:
             )
         )
 
+    @property
+    def run(self):
+        """Name of the run a raw row belongs to."""
+        return F.when(F.col("scenario") == "F", F.lit(CONTROL)).otherwise(F.col("phase"))
+
+    def _paired(self, lines: DataFrame, keys: list[str], measures: dict) -> DataFrame:
+        rows = lines.withColumn("run", self.run)
+        paired = pair_runs(rows, keys, "run", RUNS, CONTROL, measures).withColumns(
+            {name: F.col(name) / 1000.0 for name in ("dic", "dic_con")}
+        )
+        return with_differences(
+            self._early_rows(paired, ["phase", "time"]),
+            {"dta": ("alk", "alk_con"), "ddic": ("dic", "dic_con")},
+        )
+
     @cached_property
     def paired(self) -> DataFrame:
         """Treated cells with control and differences dta, ddic."""
-        return pair_with_control(
-            self.treated,
-            self.control,
-            CELL_KEY,
-            {"dta": ("alk", "alk_con"), "ddic": ("dic", "dic_con")},
+        return self._paired(
+            self.lines,
+            list(CELL_KEY),
+            {"alk": F.col("quantity"), "dic": F.col("price")},
         )
 
     @cached_property
@@ -190,17 +208,21 @@ class Views:
 
         The quantity stands for flux and sea pCO2, the price for air pCO2.
         """
-        paired = pair_with_control(
-            self.surface_treated,
-            self.surface_control,
+        surface = F.col("layer") == 1
+        paired = self._paired(
+            self.lines.filter((F.col("scenario") == "O") | surface),
             ["cell", "time"],
-            {"dta": ("alk", "alk_con"), "ddic": ("dic", "dic_con")},
+            {
+                "hbls": F.col("discount"),
+                "alk": F.when(surface, F.col("quantity")),
+                "dic": F.when(surface, F.col("price")),
+            },
         )
         return paired.select(
             "phase",
             "cell",
             "time",
-            "hbls",
+            (F.col("hbls") * 3000.0).alias("hbls"),
             "dta",
             "ddic",
             F.col("dta").alias("dfg"),

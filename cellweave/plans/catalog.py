@@ -373,7 +373,7 @@ def ensemble_envelope(v: Views) -> DataFrame:
 
 @product
 def ensemble_deviation(v: Views) -> DataFrame:
-    return ensemble.deviations(
+    return scenario.with_differences(
         ensemble_series(v), {f"d_{c}": (c, f"{c}_mean") for c in SERIES_VALUES}
     ).select("phase", "month", "time", *[f"d_{c}" for c in SERIES_VALUES])
 
@@ -429,7 +429,7 @@ def depth_time_deviation(v: Views) -> DataFrame:
         )
         .filter(F.col("depth") < 200)
     )
-    return ensemble.deviations(
+    return scenario.with_differences(
         masked,
         {
             "d_dta": ("dta_sum", "dta_mean"),
@@ -471,7 +471,7 @@ def column_cell_means_top100(v: Views) -> DataFrame:
 def flux_deviation(v: Views) -> DataFrame:
     cells = v.early.with_month(v.early.surface.select("phase", "cell", "time", "dfg"))
     averaged = ensemble.group_means(cells, ["cell", "month"], {"dfg_mean": "dfg"})
-    return ensemble.deviations(averaged, {"d_dfg": ("dfg", "dfg_mean")})
+    return scenario.with_differences(averaged, {"d_dfg": ("dfg", "dfg_mean")})
 
 
 @product
@@ -484,7 +484,7 @@ def gradient_block_mean(v: Views) -> DataFrame:
 def gradient_deviation(v: Views) -> DataFrame:
     cells = v.early.with_month(v.early.surface.select("phase", "cell", "time", "ddpco2"))
     averaged = ensemble.group_means(cells, ["cell", "month"], {"ddpco2_mean": "ddpco2"})
-    return ensemble.deviations(averaged, {"d_ddpco2": ("ddpco2", "ddpco2_mean")})
+    return scenario.with_differences(averaged, {"d_ddpco2": ("ddpco2", "ddpco2_mean")})
 
 
 # --- mixing depth and subduction ------------------------------------------------------
@@ -504,14 +504,14 @@ def maximum_mixing_depth(v: Views) -> DataFrame:
 @product
 def maximum_mixing_deviation(v: Views) -> DataFrame:
     averaged = ensemble.group_means(maximum_mixing(v), ["cell"], {"hbls_mean": "hbls"})
-    return ensemble.deviations(averaged, {"d_hbls": ("hbls", "hbls_mean")})
+    return scenario.with_differences(averaged, {"d_hbls": ("hbls", "hbls_mean")})
 
 
 @product
 def monthly_mixing_deviation(v: Views) -> DataFrame:
     cells = v.early.with_month(v.early.mixing)
     averaged = ensemble.group_means(cells, ["cell", "month"], {"hbls_mean": "hbls"})
-    return ensemble.deviations(averaged, {"d_hbls": ("hbls", "hbls_mean")})
+    return scenario.with_differences(averaged, {"d_hbls": ("hbls", "hbls_mean")})
 
 
 @product
