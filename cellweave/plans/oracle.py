@@ -331,11 +331,11 @@ oracle("maximum_mixing_deviation", """SELECT *, hbls - hbls_mean AS d_hbls FROM
 oracle("monthly_mixing_deviation", """SELECT *, hbls - hbls_mean AS d_hbls FROM (SELECT *,
        avg(hbls) OVER (PARTITION BY cell, month) AS hbls_mean FROM mix24)""",
        "phase cell month time", "hbls hbls_mean d_hbls")
-oracle("weighted_mixing_depth", """SELECT *, avg(hbls_wmean) OVER (PARTITION BY month)
-       AS hbls_ovmean FROM (SELECT phase, month,
+oracle("weighted_mixing_depth", """SELECT *, CASE WHEN count(hbls_wmean) OVER w = count(*) OVER w
+       THEN avg(hbls_wmean) OVER w END AS hbls_ovmean FROM (SELECT phase, month,
        sum(hbls * dta_column * area) / nullif(sum(dta_column * area), 0) AS hbls_wmean
        FROM mix24 LEFT JOIN col USING (phase, cell, time) LEFT JOIN area USING (cell)
-       GROUP BY ALL)""",
+       GROUP BY ALL) WINDOW w AS (PARTITION BY month)""",
        "phase month", "hbls_wmean hbls_ovmean")
 SUBDUCTED = """SELECT *, dta_sub_int / nullif(dta_int, 0) AS frac_sub_dta,
        ddic_sub_int / nullif(ddic_int, 0) AS frac_sub_ddic FROM (SELECT c.phase, months.month,
