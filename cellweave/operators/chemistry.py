@@ -102,11 +102,9 @@ def removal_potential(
     control: DataFrame,
     treated: DataFrame,
     keys: list[str],
-    volume: DataFrame,
-    volume_keys: list[str],
     water: Water = Water(),
 ) -> DataFrame:
-    """Carbon the added alkalinity could take up, per cell, in moles.
+    """Carbon the added alkalinity could take up, in mmol per m3 of each cell.
 
     ``control`` holds ``alk, dic`` and its water state, ``treated`` holds
     ``alk`` and its water state. The control pCO2 is solved once, before the
@@ -116,9 +114,6 @@ def removal_potential(
         *keys, F.col("dic").alias("dic_con"), "pco2_calc"
     )
     joined = base.join(treated, keys, "full").dropna("any")
-    return (
-        joined.withColumn("dic_calc", dic("alk", "pco2_calc", water))
-        .withColumn("ddic", F.col("dic_calc") - F.col("dic_con"))
-        .join(volume, volume_keys, "left")
-        .withColumn("cdr_pot", F.col("ddic") * F.col("volume") / F.lit(1000.0))
+    return joined.withColumn("dic_calc", dic("alk", "pco2_calc", water)).withColumn(
+        "ddic", F.col("dic_calc") - F.col("dic_con")
     )

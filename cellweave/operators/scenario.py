@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.missing import ColumnLike, as_column, ratio
+from cellweave.functions.missing import ColumnLike, as_column, ratio, sum0
 
 
 def stack_runs(runs: Mapping[str, DataFrame], label: str = "phase") -> DataFrame:
@@ -121,8 +121,25 @@ def missing_share(
     """How much of the total on one grid is missing from another, per key."""
     left = whole.select(*keys, F.col(total).alias(f"{total}_whole"))
     right = part.select(*keys, F.col(total).alias(f"{total}_part"))
-    return (
-        left.join(right, list(keys), "inner")
-        .withColumn("difference", F.col(f"{total}_whole") - F.col(f"{total}_part"))
-        .withColumn("share_missing", ratio("difference", f"{total}_whole"))
+    return _with_share(left.join(right, list(keys), "inner"), total)
+
+
+def share_outside(
+    df: DataFrame, keys: Sequence[str], amount: str, inside: Column, total: str
+) -> DataFrame:
+    """``missing_share`` of a grid and a part of the same grid, in one grouping.
+
+    Keys without a cell inside have no counterpart and drop out.
+    """
+    both = df.groupBy(*keys).agg(
+        sum0(amount).alias(f"{total}_whole"),
+        sum0(F.when(inside, F.col(amount))).alias(f"{total}_part"),
+        F.count(F.when(inside, F.lit(1))).alias("_inside"),
     )
+    return _with_share(both.filter(F.col("_inside") > 0).drop("_inside"), total)
+
+
+def _with_share(df: DataFrame, total: str) -> DataFrame:
+    return df.withColumn(
+        "difference", F.col(f"{total}_whole") - F.col(f"{total}_part")
+    ).withColumn("share_missing", ratio("difference", f"{total}_whole"))

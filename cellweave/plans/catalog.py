@@ -134,13 +134,10 @@ def control_carbonate_proxy(v: Views) -> DataFrame:
 
 @product
 def grid_containment(v: Views) -> DataFrame:
-    cells = domain_cells(v)
     nep = STUDY_BOXES[-1]
-    keys = ["phase", "time"]
-    whole = integrate.totals(cells, keys, {"dta_sum": "dta_mol"})
-    inside = cells.filter(nep.holds("lat", "lon"))
-    part = integrate.totals(inside, keys, {"dta_sum": "dta_mol"})
-    return scenario.missing_share(whole, part, keys, "dta_sum")
+    return scenario.share_outside(
+        domain_cells(v), ["phase", "time"], "dta_mol", nep.holds("lat", "lon"), "dta_sum"
+    )
 
 
 @product
@@ -817,12 +814,12 @@ def distinct_positions(v: Views) -> DataFrame:
 @product
 def calendar_forms(v: Views) -> DataFrame:
     """Order dates as text, label, model seconds and month length, counted per month."""
-    text = v.table("orders").select(
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("text")
-    )
+    days = v.table("orders").groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+    text = days.select("n", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("text"))
     moment = calendar.parse_datetime("text")
     seconds = F.unix_timestamp(moment) - F.lit(calendar.EPOCH_1979)
     forms = text.select(
+        "n",
         calendar.year_month("text").alias("time"),
         calendar.mid_month(calendar.from_seconds_1979(seconds)).cast("string").alias("yr_mon"),
         calendar.month_of_year(moment).alias("moy"),
@@ -832,7 +829,7 @@ def calendar_forms(v: Views) -> DataFrame:
     )
     return (
         forms.groupBy("time", "yr_mon", "moy")
-        .agg(F.count(F.lit(1)).alias("orders"), F.min("model_seconds").alias("first_seconds"))
+        .agg(F.sum("n").alias("orders"), F.min("model_seconds").alias("first_seconds"))
         .withColumn("secs", calendar.month_seconds(calendar.month_date("time")).cast("bigint"))
     )
 
@@ -905,18 +902,15 @@ def alkalinity_perturbation(v: Views) -> DataFrame:
 
 
 def potential(v: Views) -> DataFrame:
-    levels = v.control_water.select("cell", "depth").distinct()
-    volume = integrate.attach_static(v.area, levels, ["cell"], "right").select(
-        "cell", "depth", (F.col("area") * physics.thickness_full("depth")).alias("volume")
-    )
     pressure = physics.pressure_bar("depth")
-    return chemistry.removal_potential(
+    cells = chemistry.removal_potential(
         v.control_water.withColumn("pressure", pressure),
         v.treated_water.withColumn("pressure", pressure),
         list(CELL_KEY),
-        volume,
-        ["cell", "depth"],
     )
+    placed = integrate.attach_static(cells, v.area, ["cell"])
+    volume = F.col("area") * physics.thickness_full("depth")
+    return integrate.cell_moles(placed, {"cdr_pot": "ddic"}, volume)
 
 
 @product

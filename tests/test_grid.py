@@ -147,3 +147,22 @@ def test_missing_share(spark):
     assert rows(found.select("time", "difference", "share_missing"), "time") == [
         ("t", 2.0, 0.2), ("u", -1.0, None),
     ]
+
+
+def test_share_outside_equals_two_grids(spark):
+    cells = spark.createDataFrame(
+        [("t", 1, 8.0), ("t", 2, 2.0), ("u", 2, 5.0), ("v", 1, None), ("v", 2, 1.0)],
+        "time string, cell int, x double",
+    )
+    inside = F.col("cell") == 1
+    sums = {"s": "x"}
+    two = scenario.missing_share(
+        integrate.totals(cells, ["time"], sums),
+        integrate.totals(cells.filter(inside), ["time"], sums),
+        ["time"],
+        "s",
+    )
+    single = scenario.share_outside(cells, ["time"], "x", inside, "s")
+    assert rows(single, "time") == rows(two, "time") == [
+        ("t", 10.0, 8.0, 2.0, 0.2), ("v", 1.0, 0.0, 1.0, 1.0),
+    ]
