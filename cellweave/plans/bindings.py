@@ -178,13 +178,18 @@ class Views:
 
     @cached_property
     def surface_treated(self) -> DataFrame:
-        """(phase, cell, time) with hbls and, at depth 0, fg, pco2oc, pco2air, alk, dic."""
+        """(phase, cell, time) with hbls and, at depth 0, alk and dic.
+
+        The mixing depth is averaged over whole hundredths, which add up exactly:
+        it is compared with depth levels, and the last bit must not depend on
+        the order of the rows.
+        """
         at_surface = F.col("layer") == 1
         quantity = F.avg(F.when(at_surface, F.col("quantity")))
         price = F.avg(F.when(at_surface, F.col("price"))) / 1000.0
         return (
             self.treated_lines.groupBy("phase", "cell", "time").agg(
-                (F.avg("discount") * 3000.0).alias("hbls"),
+                (F.avg(F.rint(F.col("discount") * 100.0)) * 30.0).alias("hbls"),
                 quantity.alias("alk"),
                 price.alias("dic"),
             )
@@ -213,7 +218,7 @@ class Views:
             self.lines.filter((F.col("scenario") == "O") | surface),
             ["cell", "time"],
             {
-                "hbls": F.col("discount"),
+                "hbls": F.rint(F.col("discount") * 100.0),
                 "alk": F.when(surface, F.col("quantity")),
                 "dic": F.when(surface, F.col("price")),
             },
@@ -222,7 +227,7 @@ class Views:
             "phase",
             "cell",
             "time",
-            (F.col("hbls") * 3000.0).alias("hbls"),
+            (F.col("hbls") * 30.0).alias("hbls"),
             "dta",
             "ddic",
             F.col("dta").alias("dfg"),

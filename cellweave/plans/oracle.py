@@ -53,7 +53,7 @@ BASE = {
     "area": f"""SELECT *, {area('lat')} AS area FROM (
         SELECT s_suppkey AS cell, 5 + (s_suppkey * 37 % 481) / 8.0e0 AS lat,
         -160 + (s_suppkey * 53 % 561) / 8.0e0 AS lon FROM supplier)""",
-    "surf_t": """SELECT phase, cell, time, 3000 * avg(d) AS hbls,
+    "surf_t": """SELECT phase, cell, time, 30 * avg(round(d * 100)) AS hbls,
         avg(q) FILTER (WHERE depth = 0) AS alk, avg(p) FILTER (WHERE depth = 0) / 1000 AS dic
         FROM li WHERE scenario = 'O' GROUP BY ALL""",
     "surf": """SELECT s.phase, s.cell, s.time, hbls, s.alk - c.alk_con AS dta,
