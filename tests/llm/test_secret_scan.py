@@ -1,0 +1,74 @@
+import hashlib
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from cellweave.llm import secret_scan
+
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+
+
+def base(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def expected(text):
+    found = base(text)
+    named = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in found)
+    return (*[sum(k == i for _, k, _ in found) for i in range(3)], hashlib.sha256(named.encode()).hexdigest())
+
+
+def held(df, docs):
+    got = Counter(
+        (r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)
+        for r in secret_scan.digest(secret_scan.scan(docs)).collect()
+    )
+    want = Counter((r.doc_id, *expected(r.text)) for r in docs.select("doc_id", "text").collect())
+    assert got == want
+
+
+def test_base_spans_match_brute_force(spark, documents):
+    held(spark, documents)
+
+
+def test_tricky_texts(spark, odd_documents, no_documents):
+    held(spark, odd_documents)
+    assert secret_scan.digest(secret_scan.scan(no_documents)).count() == 0
+    texts = [
+        "password=token:abcdefghij and secret=short token = 'abcdefgh'",
+        "PassWord" + " " * 200 + ":" + " " * 90 + "ABCDEFGH",
+        "token=secret=abcdefgh api_key:apikey=12345678",
+        "AKIA" + "A" * 11 + " AKIA" + "B" * 12 + "AKIA" + "C" * 30,
+        "f" * 31 + " " + "0" * 32 + "g" + "ab" * 40,
+        "paſſword=abcdefgh toKen=abcdefghi",
+        "password=" + "x" * 100000,
+        "é😀 token: é secret:ééé😀 secret=😀 secret=abcdefgh😀",
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], odd_documents.schema.names[:5])
+    held(spark, docs)
+
+
+def test_ownership_and_redaction(spark):
+    key = "Abcdefgh1234Abcdefgh1234"
+    rows = [(i, f"see password=example12345 {i}", "en", f"owner{i}") for i in range(4)]
+    rows += [(9, f"x password=livevalue99 y {key} z", "en", "owner9"), (10, "Zbcdefgh1234Abcdefgh1234Z", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
+    assert got[0].n_copied == 1 and got[0].n_live == 0
+    assert got[9].n_live == 2 and "key:" in got[9].spans and "key:" in got[10].spans
+    text = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert text[0] == "see password=example12345 0"
+    assert text[9] == "x [secret] y [secret] z" and text[10] == "[secret]"
+
+
+def test_redaction_keeps_all_rows(spark, odd_documents):
+    out = secret_scan.redact(odd_documents)
+    assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
+    assert out.where(F.col("doc_id") == 7).first().text.count("[secret]") == 2
