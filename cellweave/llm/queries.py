@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixture, secret_scan, url_trust
+from . import mixture, packing, secret_scan, toxicity, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
+    "op5_genetic_packing": packing.query,
     "op7_secret_scan": secret_scan.query,
+    "op9_toxicity": toxicity.query,
     "op10_source_mix": mixture.query,
 }
 SQL: dict[str, str] = {}
