@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitslice, lattice, mixture, packing, secret_scan, toxicity, url_trust
+from . import bitslice, lattice, mixture, packing, pii, secret_scan, toxicity, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_lattice_dedup": lattice.query,
     "op5_genetic_packing": packing.query,
     "op7_secret_scan": secret_scan.query,
+    "op8_weak_supervision_pii": pii.query,
     "op9_toxicity": toxicity.query,
     "op10_source_mix": mixture.query,
 }
