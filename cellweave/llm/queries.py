@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bitslice, lattice, mixture, packing, pii, secret_scan, toxicity, url_trust
+from . import bitslice, lattice, mixture, oddsketch, packing, pii, secret_scan, toxicity, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
     "op3_bit_sliced_search": bitslice.query,
     "op4_lattice_dedup": lattice.query,
     "op5_genetic_packing": packing.query,
+    "op6_odd_sketch_dedup": oddsketch.query,
     "op7_secret_scan": secret_scan.query,
     "op8_weak_supervision_pii": pii.query,
     "op9_toxicity": toxicity.query,
