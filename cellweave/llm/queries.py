@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitslice, lattice, mixture, oddsketch, packing, pii, secret_scan, toxicity, url_trust
+from . import bitslice, gated_lm, lattice, mixture, oddsketch, packing, pii, secret_scan, toxicity, url_trust
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
+    "op2_gated_lm": gated_lm.query,
     "op3_bit_sliced_search": bitslice.query,
     "op4_lattice_dedup": lattice.query,
     "op5_genetic_packing": packing.query,
