@@ -10,12 +10,10 @@ interpreted, many times slower than the batch form.
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -24,10 +22,6 @@ from cellweave.functions import carbonate
 from cellweave.functions.missing import ColumnLike, as_column
 from cellweave.functions.physics import to_mmol_per_m3, to_mol_per_kg
 
-# The kernel travels with the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(carbonate)
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 @dataclass(frozen=True)
 class Water:
@@ -110,10 +104,10 @@ def removal_potential(
     ``alk`` and its water state. The control pCO2 is solved once, before the
     join that repeats it for every treated run; cells without a partner drop out.
     """
-    base = control.withColumn("pco2_calc", pco2("alk", "dic", water)).select(
+    base = control.dropna("any").withColumn("pco2_calc", pco2("alk", "dic", water)).select(
         *keys, F.col("dic").alias("dic_con"), "pco2_calc"
     )
-    joined = base.join(treated, keys, "full").dropna("any")
+    joined = base.dropna("any").join(treated.dropna("any"), keys, "inner")
     return joined.withColumn("dic_calc", dic("alk", "pco2_calc", water)).withColumn(
         "ddic", F.col("dic_calc") - F.col("dic_con")
     )

@@ -1,39 +1,42 @@
-"""Small lookup tables: built once, checked for size, then joined."""
+"""Small lookup tables and ordinals, without a job while a plan is built."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows above which a lookup table is joined by shuffle instead of being pinned.
-LOOKUP_ROWS = 20_000
 
+def attach_lookup(
+    df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join a table with a lookup; adaptive execution measures it and picks the join."""
+    return df.join(lookup, list(keys), how)
 
-def pin_lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Turn a small table into literal rows of the plan.
 
-    At most ``max_rows`` + 1 rows are fetched. If the table is larger it is
-    returned as it came, so joins on it shuffle; if it fits, the planner knows
-    its exact size and broadcasts it, and the (much larger) other side of the
-    join stays where it is.
+def ordered_values(df: DataFrame, value: str, by: str) -> Column:
+    """The sorted distinct values of each group, as one map for use in any expression.
+
+    It is an uncorrelated scalar subquery: it runs with the query that uses it, at most
+    once, and what it carries is one entry per group and value, never rows of the table.
+    The values are distinct months or levels, so groups are few and short.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    held = df.groupBy(by).agg(F.sort_array(F.collect_set(value)).alias("_values"))
+    return held.agg(F.map_from_entries(F.collect_list(F.struct(by, "_values")))).scalar()
 
 
-def attach_lookup(
-    df: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_rows: int = LOOKUP_ROWS,
-) -> DataFrame:
-    """Join a table with a lookup that is expected, but not assumed, to be small."""
-    return df.join(pin_lookup(lookup, max_rows), list(keys), how)
+def first_values(df: DataFrame, value: str, by: str, size: int) -> Column:
+    """The distinct values among the first ``size`` of each group, as one array (a scalar subquery)."""
+    held = df.groupBy(by).agg(F.sort_array(F.collect_set(value)).alias("_values"))
+    early = held.select(F.explode(F.slice("_values", 1, size)).alias("_value"))
+    return early.agg(F.collect_set("_value")).scalar()
+
+
+def ordinal_in(values: Column, by: str, value: str) -> Column:
+    """1-based place of ``value`` among its group's ``ordered_values``; NULL if absent."""
+    place = F.array_position(F.element_at(values, F.col(by)), F.col(value))
+    return F.nullif(place, F.lit(0)).cast("int")
 
 
 def ordinal_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "ordinal"):

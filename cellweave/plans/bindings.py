@@ -18,13 +18,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.calendar import month_start
 from cellweave.functions.missing import ratio
 from cellweave.functions.physics import cell_area
-from cellweave.operators.lookup import ordinal_table, pin_lookup
+from cellweave.operators.lookup import first_values, ordered_values, ordinal_in
 from cellweave.operators.scenario import pair_runs, with_differences
 from cellweave.sources.tables import read_files
 
@@ -94,16 +94,18 @@ class Views:
         )
 
     @cached_property
-    def periods(self) -> DataFrame:
-        """The months of each treated run, numbered: one row per run and month."""
-        treated = self._all_lines.filter(F.col("scenario") == "O")
-        return pin_lookup(ordinal_table(treated, "time", ["phase"], "month"))
+    def periods(self) -> Column:
+        """The months of each treated run in order."""
+        return ordered_values(self._all_lines.filter(F.col("scenario") == "O"), "time", "phase")
 
     def _early_rows(self, lines: DataFrame, keys: list[str]) -> DataFrame:
         if self.first is None:
             return lines
-        chosen = self.periods.filter(F.col("month") <= self.first).select(*keys)
-        return lines.join(chosen, keys, "left_semi")
+        if "phase" in keys:
+            return lines.filter(ordinal_in(self.periods, "phase", "time") <= self.first)
+        treated = self._all_lines.filter(F.col("scenario") == "O")
+        early = first_values(treated, "time", "phase", self.first)
+        return lines.filter(F.array_contains(early, F.col("time")))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -122,7 +124,7 @@ class Views:
 
     def with_month(self, df: DataFrame) -> DataFrame:
         """Add the month number of the treated run."""
-        return df.join(self.periods, ["phase", "time"], "left")
+        return df.withColumn("month", ordinal_in(self.periods, "phase", "time"))
 
     @cached_property
     def treated(self) -> DataFrame:
@@ -237,6 +239,35 @@ class Views:
             ),
         )
 
+    @cached_property
+    def surface_seasonal(self) -> DataFrame:
+        """Cells of the surface layer beside the control of their calendar month.
+
+        The control is a mean per cell and month of the year, so that it covers most
+        cells, but not all.
+        """
+        treated = (
+            self.treated_lines.filter(F.col("layer") == 1)
+            .groupBy("phase", "cell", "time")
+            .agg(F.avg("quantity").alias("alk"), (F.avg("price") / 1000.0).alias("dic"))
+        )
+        control = (
+            self._all_lines.filter((F.col("scenario") == "F") & (F.col("layer") == 1))
+            .groupBy("cell", F.month("time").alias("season"))
+            .agg(F.avg("quantity").alias("alk_con"), (F.avg("price") / 1000.0).alias("dic_con"))
+        )
+        paired = treated.withColumn("season", F.month("time")).join(control, ["cell", "season"], "left")
+        dta, ddic = F.col("alk") - F.col("alk_con"), F.col("dic") - F.col("dic_con")
+        return paired.select(
+            "phase",
+            "cell",
+            "time",
+            dta.alias("dta"),
+            dta.alias("dfg"),
+            (dta - ddic).alias("alk_pot"),
+            (ddic - dta).alias("ddpco2"),
+        )
+
     @cached_property
     def mixing(self) -> DataFrame:
         """(phase, cell, time) with hbls."""

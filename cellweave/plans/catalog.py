@@ -37,23 +37,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PRODUCTS: dict[str, Query] = {}
 
-# Last month of each treated run in its files.
-RUN_ENDS = {"A": date(1999, 5, 1), "N": date(1998, 5, 1), "R": date(2000, 5, 1)}
+# Last month that counts of the one run whose last file goes beyond its end.
+RUN_ENDS = {"N": date(1998, 5, 1)}
 
 
-def as_stored(df: DataFrame) -> DataFrame:
-    """The form in which results leave the engine.
-
-    Measures take single precision, as model output is stored, with noise near
-    zero removed: sums of doubles depend on the order of the rows, and in this
-    form equal results are equal values. Months get their ``YYYY-MM`` label
-    here, so that plans group and join on a date.
-    """
-
-    forms = {
-        "double": "cast(cast(rint({0} * 1e9) / 1e9 AS float) AS double) + 0e0 AS {0}",
-        "date": "cast({0} AS string) AS {0}",
-    }
+def labelled(df: DataFrame) -> DataFrame:
+    """Months get their ``YYYY-MM`` label last, so that plans group and join on a date."""
+    forms = {"date": "cast({0} AS string) AS {0}"}
     return df.selectExpr(
         *[
             "date_format(time, 'yyyy-MM') AS time"
@@ -64,12 +54,32 @@ def as_stored(df: DataFrame) -> DataFrame:
     )
 
 
+def as_stored(df: DataFrame) -> DataFrame:
+    """Measures in single precision, with noise near zero removed, for comparison with
+    another engine: sums of doubles depend on the order of the rows, and in this form
+    equal results are equal values. The products themselves are not rounded."""
+    form = "cast(cast(rint({0} * 1e9) / 1e9 AS float) AS double) + 0e0 AS {0}"
+    return df.selectExpr(
+        *[form.format(name) if kind == "double" else name for name, kind in df.dtypes]
+    )
+
+
+def comparable(query: Query) -> Query:
+    """A product in the form that is compared with its reference SQL."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return as_stored(query(spark, folder))
+
+    return run
+
+
 def product(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
     """Register a product under its function name."""
 
     @wraps(function)
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return as_stored(function(Views(spark, folder)))
+        return labelled(function(Views(spark, folder)))
 
     PRODUCTS[function.__name__] = query
     return function
@@ -80,7 +90,7 @@ def product(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFra
 
 @product
 def scenario_difference_native(v: Views) -> DataFrame:
-    treated = scenario.drop_land(v.treated, ["alk"])
+    treated = scenario.drop_land(until(v.treated, RUN_ENDS), ["alk"])
     paired = scenario.pair_with_control(
         treated,
         v.control,
@@ -93,12 +103,13 @@ def scenario_difference_native(v: Views) -> DataFrame:
 @product
 def scenario_difference_regridded(v: Views) -> DataFrame:
     treated = until(v.treated, RUN_ENDS)
-    return scenario.pair_with_control(
+    paired = scenario.pair_with_control(
         treated,
         v.control,
         CELL_KEY,
         {"dta": ("alk", "alk_con"), "ddic": ("dic", "dic_con")},
     )
+    return paired.drop("alk", "dic", "alk_con", "dic_con")
 
 
 @product
@@ -140,23 +151,31 @@ def grid_containment(v: Views) -> DataFrame:
     )
 
 
+@product
+def two_grid_containment(v: Views) -> DataFrame:
+    """What the totals over the North-East Pacific grid miss of those over the whole one."""
+    nep, cells = STUDY_BOXES[-1], domain_cells(v)
+    whole = integrate.totals(cells, ["phase", "time"], {"dta_sum": "dta_mol"})
+    part = integrate.totals(cells.filter(nep.holds("lat", "lon")), ["phase", "time"], {"dta_sum": "dta_mol"})
+    return scenario.missing_share(whole, part, ["phase", "time"], "dta_sum")
+
+
 @product
 def cumulative_surface_alkalinity(v: Views) -> DataFrame:
     scan = read_matching(v.spark, v.folder, "lineitem*.parquet")
     layer = scan.filter(F.col("l_linenumber") < 5)
-    runs = layer.groupBy(
-        F.col("l_linestatus").alias("scenario"),
+    # one grouping for both runs; a key that only one of them has gives NULL and adds nothing
+    quantity, run = F.col("l_quantity"), F.col("l_linestatus")
+    paired = layer.groupBy(
         F.col("l_suppkey").alias("cell"),
         F.col("l_linenumber").alias("layer"),
         calendar.month_start("l_shipdate").alias("time"),
-    ).agg(F.avg("l_quantity").alias("alk"))
-    keys = ["cell", "layer", "time"]
-    treated = runs.filter(F.col("scenario") == "O").select(*keys, F.col("alk").alias("alk_10x"))
-    control = runs.filter(F.col("scenario") == "F").select(*keys, "alk")
-    merged = scenario.merge_runs(treated, control, keys).withColumn(
-        "dta", F.col("alk_10x") - F.col("alk")
+    ).agg(
+        (
+            F.avg(F.when(run == "O", quantity)) - F.avg(F.when(run == "F", quantity))
+        ).alias("dta")
     )
-    return integrate.totals(merged, [], {"dta_total": "dta"})
+    return integrate.totals(paired, [], {"dta_total": "dta"})
 
 
 # --- integrals ------------------------------------------------------------------------
@@ -258,7 +277,7 @@ def regional_wind(v: Views) -> DataFrame:
 @product
 def unused_alkalinity(v: Views) -> DataFrame:
     return drivers.regional_means(
-        placed_surface(v).filter(F.col("dta").isNotNull()),
+        placed_surface(v),
         ["phase", "month", "time"],
         {"alk_pot_mean": "alk_pot"},
         whole="Domain",
@@ -307,21 +326,22 @@ def driver_table(v: Views) -> DataFrame:
     )
 
 
-def complete_surface(v: Views) -> DataFrame:
-    """Surface cells that have a control partner, with wind and uptake."""
-    cells = scenario.drop_land(placed_surface(v), ["alk_pot", "ddpco2"])
+def seasonal_surface(v: Views) -> DataFrame:
+    """All cells of the surface layer in the first months, with wind and uptake."""
+    numbered = v.early.with_month(v.early.surface_seasonal)
+    cells = integrate.attach_static(numbered, v.area, ["cell"])
     return drivers.with_uptake(cells.join(v.early.wind, ["cell", "time"], "left"))
 
 
 @product
 def surface_drivers_weighted(v: Views) -> DataFrame:
-    return drivers.weighted_drivers(complete_surface(v))
+    return drivers.weighted_drivers(seasonal_surface(v))
 
 
 @product
 def unused_alkalinity_by_alkalinity(v: Views) -> DataFrame:
     local = STUDY_BOXES[0]
-    return complete_surface(v).groupBy("phase", "month").agg(
+    return seasonal_surface(v).groupBy("phase", "month").agg(
         integrate.weighted_mean("alk_pot", "dta").alias("alkpot_wmean"),
         F.avg(F.when(local.holds("lat", "lon"), F.col("alk_pot"))).alias("ualk_mean"),
     )
@@ -336,9 +356,8 @@ def driver_table_long(v: Views) -> DataFrame:
 
 @product
 def driver_correlations(v: Views) -> DataFrame:
-    table = driver_table(v).filter(F.col("region") == "NE Pacific")
     others = [m for m in drivers.MEASURES if m != "co2_upsum"]
-    return table.agg(
+    return driver_table(v).groupBy("region").agg(
         *[series.correlation("co2_upsum", m).alias(f"cor_{m}") for m in others],
         *[
             series.correlation("co2_upsum", m, missing="strict").alias(f"cor_strict_{m}")

@@ -160,11 +160,11 @@ def oracle(name: str, query: str, exact: str, doubles: str, extra: dict | None =
 
 # --- scenario differences -------------------------------------------------------------
 
-oracle("scenario_difference_native", "SELECT * FROM pair WHERE alk IS NOT NULL",
+UNTIL = "(phase <> 'N' OR time <= '1998-05')"
+oracle("scenario_difference_native", f"SELECT * FROM pair WHERE alk IS NOT NULL AND {UNTIL}",
+       "phase cell time", "depth dta ddic")
+oracle("scenario_difference_regridded", f"SELECT * FROM pair WHERE {UNTIL}",
        "phase cell time", "depth dta ddic")
-oracle("scenario_difference_regridded", """SELECT * FROM pair WHERE time <=
-       CASE phase WHEN 'A' THEN '1999-05' WHEN 'N' THEN '1998-05' WHEN 'R' THEN '2000-05' END""",
-       "phase cell time", "depth alk dic alk_con dic_con dta ddic")
 oracle("surface_flux_difference", """SELECT s.*, alk AS fg_co2_oae, alk_con AS fg_co2,
        alk - alk_con AS dfg FROM surf_t s
        LEFT JOIN (SELECT * FROM control WHERE depth = 0) USING (cell, time)""",
@@ -183,6 +183,13 @@ oracle("grid_containment", """SELECT *, difference / nullif(dta_sum_whole, 0) AS
        FROM (SELECT *, lat BETWEEN 10 AND 60 AND lon BETWEEN -155 AND -95 AS inside FROM mol)
        GROUP BY ALL HAVING bool_or(inside))""",
        "phase time", "dta_sum_whole dta_sum_part difference share_missing")
+oracle("two_grid_containment", """SELECT *, dta_sum_whole - dta_sum_part AS difference,
+       (dta_sum_whole - dta_sum_part) / nullif(dta_sum_whole, 0) AS share_missing FROM
+       (SELECT phase, time, coalesce(sum(dta_mol), 0) AS dta_sum_whole FROM mol GROUP BY ALL) a JOIN
+       (SELECT phase, time, coalesce(sum(dta_mol), 0) AS dta_sum_part FROM mol
+           WHERE lat BETWEEN 10 AND 60 AND lon BETWEEN -155 AND -95 GROUP BY ALL) b
+       USING (phase, time)""",
+       "phase time", "dta_sum_whole dta_sum_part difference share_missing")
 oracle("cumulative_surface_alkalinity", """SELECT sum(a.alk - b.alk) AS dta_total FROM
        (SELECT cell, depth, time, avg(q) AS alk FROM li
            WHERE scenario = 'O' AND depth < 100 GROUP BY ALL) a
@@ -218,9 +225,8 @@ oracle("regional_wind", f"""SELECT region, time, avg(wind_speed) AS wind_avg
        UNION ALL SELECT 'Domain', time, avg(wind_speed) FROM wind GROUP BY ALL""",
        "region time", "wind_avg")
 oracle("unused_alkalinity", f"""SELECT region, phase, month, time, avg(alk_pot) AS alk_pot_mean
-       FROM surf24 JOIN {BOXES} ON {IN_BOX} WHERE dta IS NOT NULL GROUP BY ALL
-       UNION ALL SELECT 'Domain', phase, month, time, avg(alk_pot) FROM surf24
-       WHERE dta IS NOT NULL GROUP BY ALL""",
+       FROM surf24 JOIN {BOXES} ON {IN_BOX} GROUP BY ALL
+       UNION ALL SELECT 'Domain', phase, month, time, avg(alk_pot) FROM surf24 GROUP BY ALL""",
        "region phase month time", "alk_pot_mean")
 oracle("cell_uptake", "SELECT * FROM surf24", "phase cell time month", "lat lon co2_uptake")
 oracle("regional_uptake", f"""SELECT region, phase, month, time,
@@ -243,16 +249,33 @@ oracle("regional_proxy", f"""SELECT region, time, avg(alk_con - dic_con) AS co3p
        "region time", "co3prox_mean")
 MEASURES = "co2_upsum alk_pot_mean wind_avg ddpco2_mean co3prox_mean"
 oracle("driver_table", "SELECT * FROM drivers", "region phase month time", MEASURES)
-WEIGHTED = """SELECT s.*, wind_speed, alk_pot * area / 1000 AS w FROM surf24 s
-       LEFT JOIN wind USING (cell, time) WHERE alk_pot IS NOT NULL AND ddpco2 IS NOT NULL"""
+WEIGHTED = """SELECT s.phase, m.month, lat, lon, dta, alk_pot, ddpco2, wind_speed,
+       alk_pot * area / 1000 AS w,
+       dta * area * day(last_day((s.time || '-01')::DATE)) * 86400 / 1000 AS co2_uptake FROM
+       (SELECT tr.phase, tr.cell, tr.time, tr.alk - se.alk AS dta,
+           (tr.alk - se.alk) - (tr.dic - se.dic) AS alk_pot,
+           (tr.dic - tr.alk) - (se.dic - se.alk) AS ddpco2
+           FROM (SELECT * FROM treated WHERE depth = 0) tr LEFT JOIN
+           (SELECT cell, substr(time, 6) AS season, avg(q) AS alk, avg(p) / 1000 AS dic FROM li
+               WHERE scenario = 'F' AND depth = 0 GROUP BY ALL) se
+           ON se.cell = tr.cell AND se.season = substr(tr.time, 6)) s
+       JOIN months m USING (phase, time) LEFT JOIN area USING (cell)
+       LEFT JOIN wind USING (cell, time) WHERE m.month <= 24"""
+
+
+def strict_mean(value: str, weight: str) -> str:
+    return (f"CASE WHEN count(*) FILTER (WHERE {value} IS NULL OR {weight} IS NULL) = 0 "
+            f"THEN sum({value} * {weight}) / nullif(sum({weight}), 0) END")
+
+
 oracle("surface_drivers_weighted", f"""SELECT phase, month,
-       sum(ddpco2 * w) / nullif(sum(w), 0) AS ddpco2_wmean,
-       sum(wind_speed * w) / nullif(sum(w), 0) AS wind_wmean,
+       {strict_mean('ddpco2', 'w')} AS ddpco2_wmean,
+       {strict_mean('wind_speed', 'w')} AS wind_wmean,
        coalesce(sum(w), 0) AS ualk_sum, coalesce(sum(co2_uptake), 0) AS co2_upsum
        FROM ({WEIGHTED}) GROUP BY ALL""",
        "phase month", "ddpco2_wmean wind_wmean ualk_sum co2_upsum")
 oracle("unused_alkalinity_by_alkalinity", f"""SELECT phase, month,
-       sum(alk_pot * dta) / nullif(sum(dta), 0) AS alkpot_wmean,
+       {strict_mean('alk_pot', 'dta')} AS alkpot_wmean,
        avg(alk_pot) FILTER (WHERE lat BETWEEN 27.5 AND 37.5 AND lon BETWEEN -127 AND -115)
        AS ualk_mean FROM ({WEIGHTED}) GROUP BY ALL""",
        "phase month", "alkpot_wmean ualk_mean")
@@ -261,11 +284,11 @@ oracle("driver_table_long", " UNION ALL ".join(
        for m in MEASURES.split()),
        "region phase month time driver", "value")
 OTHERS = MEASURES.split()[1:]
-oracle("driver_correlations", "SELECT " + ", ".join(
+oracle("driver_correlations", "SELECT region, " + ", ".join(
        f"corr(co2_upsum, {m}) AS cor_{m}, CASE WHEN count({m}) = count(*) THEN "
        f"corr(co2_upsum, {m}) END AS cor_strict_{m}" for m in OTHERS)
-       + " FROM drivers WHERE region = 'NE Pacific'",
-       "", " ".join(f"cor_{m} cor_strict_{m}" for m in OTHERS))
+       + " FROM drivers GROUP BY region",
+       "region", " ".join(f"cor_{m} cor_strict_{m}" for m in OTHERS))
 
 # --- ensemble statistics --------------------------------------------------------------
 

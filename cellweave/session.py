@@ -6,6 +6,10 @@ builds one or overrides settings of the one it is given.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,17 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once per application, for functions that run there."""
+    context = spark.sparkContext
+    if getattr(context, "_cellweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cellweave-")) / "cellweave.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._cellweave_shipped = True

@@ -8,15 +8,20 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.functions.missing import clean_measures
+
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def read_files(
     spark: SparkSession, paths: Sequence[str], schema=None, provenance: str | None = None
 ) -> DataFrame:
-    """One scan over an explicit list of files; ``provenance`` names a source-file column."""
+    """One scan over an explicit list of files; ``provenance`` names a source-file column.
+
+    As in all readers here, NaN becomes NULL directly on the scan.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    df = reader.parquet(*paths)
+    df = clean_measures(reader.parquet(*paths))
     return df if provenance is None else df.withColumn(provenance, F.input_file_name())
 
 
@@ -25,7 +30,7 @@ def read_matching(spark: SparkSession, folder: str, glob: str, schema=None) -> D
     reader = spark.read.option("pathGlobFilter", glob)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(folder)
+    return clean_measures(reader.parquet(folder))
 
 
 def read_partitions(
@@ -35,7 +40,7 @@ def read_partitions(
     places: Iterable[str] | None = None,
 ) -> DataFrame:
     """A ``year=/location=`` layout; only the partitions asked for are listed and read."""
-    df = spark.read.parquet(path)
+    df = clean_measures(spark.read.parquet(path))
     if years is not None:
         df = df.filter(F.col("year").isin(*years))
     if places is not None:
@@ -63,13 +68,14 @@ def write_table(
     """Write Parquet, by default one folder level per phase or year.
 
     ``sort_by`` orders rows inside each file, so row-group statistics can prune
-    on depth or position.
+    on depth or position. Overwriting a partitioned table replaces the phases or
+    years that ``df`` holds and leaves the others.
     """
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode(mode)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 

@@ -8,8 +8,10 @@ import pytest
 from conftest import SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cellweave.plans.catalog import PRODUCTS
 
-QUERIES, SQL = queries(), oracle_sql()
+SQL = oracle_sql()
+QUERIES = {name: query for name, query in queries().items() if name in PRODUCTS}
 
 
 def connect(folder):
@@ -37,7 +39,7 @@ def con():
 
 
 def test_every_product_has_reference_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(PRODUCTS) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -90,4 +92,33 @@ def test_pairing_reads_the_runs_once(spark):
 
 def test_month_numbers_do_not_sort_the_cells(spark):
     plan = plan_of(spark, "maximum_mixing_depth")
-    assert "Window" not in plan and "LocalTableScan" in plan
+    assert "Window" not in plan and "Subquery" in plan
+
+
+@pytest.mark.parametrize("name", sorted(PRODUCTS))
+def test_no_job_while_a_plan_is_built(spark, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("a job while the plan is built")
+
+    for action in ("collect", "count", "first", "head", "take", "toArrow", "toPandas", "toLocalIterator", "isEmpty", "checkpoint"):
+        monkeypatch.setattr(DataFrame, action, refuse)
+    PRODUCTS[name](spark, SMALL)
+
+
+def test_strict_means_take_both_branches(spark):
+    rows = QUERIES["surface_drivers_weighted"](spark, "/root/testdata/sf0.01").collect()
+    missing = sum(r.ddpco2_wmean is None for r in rows)
+    assert 0 < missing < len(rows)
+
+
+def test_driver_correlations_per_region(spark):
+    rows = QUERIES["driver_correlations"](spark, SMALL).collect()
+    assert {r.region for r in rows} == {"Local", "CCS", "NE Pacific"}
+
+
+def test_no_full_outer_join_where_an_inner_one_is_meant(spark):
+    for name in ("removal_potential_cells", "removal_potential_total", "cumulative_surface_alkalinity"):
+        assert "FullOuter" not in plan_of(spark, name)
+    assert plan_of(spark, "cumulative_surface_alkalinity").count("FileScan") == 1

@@ -5,9 +5,11 @@ import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
-from cellweave.operators.lookup import attach_lookup, attach_ordinal, pin_lookup
+from cellweave.operators.integrate import row_of_maximum
+from cellweave.operators.lookup import attach_ordinal
 from cellweave.sources import chunks as c
 from cellweave.sources import tables as t
+from cellweave.sources.tables import read_files, read_matching, read_partitions, write_table
 
 DIMS = ("time", "eta", "xi")
 
@@ -147,17 +149,31 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
     spark.sql("DROP DATABASE bucketed CASCADE")
 
 
-def test_lookup_is_pinned_only_below_its_bound(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    assert "LocalRelation" in pin_lookup(small)._jdf.queryExecution().optimizedPlan().toString()
-    large = pin_lookup(small, max_rows=5)
-    assert "LocalRelation" not in large._jdf.queryExecution().optimizedPlan().toString()
-    df = spark.range(20).withColumnRenamed("id", "k")
-    for bound in (5, 100):
-        assert attach_lookup(df, small, ["k"], "left_semi", bound).count() == 10
-
-
 def test_ordinal_of_a_coordinate(spark):
     df = spark.createDataFrame([(5.0,), (0.0,), (5.0,), (90.0,)], "depth double")
     found = attach_ordinal(df, "depth", out="layer")
     assert rows(found, "layer", "depth") == [(0.0, 1), (5.0, 2), (5.0, 2), (90.0, 3)]
+
+
+def test_nan_is_missing_from_the_scan_on(spark, tmp_path):
+    nan = float("nan")
+    rows = [("A", 1, 2000, "x", nan), ("A", 1, 2000, "x", 4.0), ("A", 2, 2001, "y", nan), ("A", 2, 2001, "y", 5.0)]
+    df = spark.createDataFrame(rows, "phase string, cell int, year int, location string, value double")
+    write_table(df, f"{tmp_path}/t", ["year", "location"])
+    df.write.parquet(f"{tmp_path}/one/p.parquet")
+    for read in (
+        read_files(spark, [f"{tmp_path}/one/p.parquet"]),
+        read_matching(spark, f"{tmp_path}/one/p.parquet", "*.parquet"),
+        read_partitions(spark, f"{tmp_path}/t", years=[2000, 2001]),
+    ):
+        assert read.where("value is null").count() == 2
+        got = {r.cell: r for r in read.groupBy("cell").agg(F.avg("value").alias("m"), F.max("value").alias("x"), F.sum("value").alias("s")).collect()}
+        assert (got[1].m, got[1].x, got[1].s) == (4.0, 4.0, 4.0)
+        best = row_of_maximum(read.withColumn("month", F.col("cell")), ["phase"], "value", "month", ["year"])
+        assert [r.value for r in best.collect()] == [5.0]
+
+
+def test_writing_one_phase_leaves_the_others(spark, tmp_path):
+    for phase in ("A", "N", "A"):
+        write_table(spark.createDataFrame([(phase, 1.0)], "phase string, v double"), f"{tmp_path}/t", ["phase"])
+    assert sorted(r.phase for r in spark.read.parquet(f"{tmp_path}/t").collect()) == ["A", "N"]
