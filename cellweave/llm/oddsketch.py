@@ -11,8 +11,10 @@ Equal sets are one node. Buckets of the same members are looked at once; large o
 split into blocks, and pairs of blocks are compared in tasks of their own. A task does not
 emit its pairs: it returns the strongest spanning forest of its candidate pairs, at most
 one edge for each member. After these are confirmed, only candidate pairs between
-different components can still change the result, and all of these are confirmed too.
-Full sets are made only for nodes that stand in a candidate pair.
+different components can still change the result. Full sets go to the buckets where such
+pairs are left, and all of them are confirmed there, each pair in one bucket only; what
+comes out are links that join components. Full sets are made only for nodes that stand in
+a candidate pair.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; a null id
 links with nothing; repeated rows are one document with several texts, and their rows
@@ -236,49 +238,96 @@ def strongest_forest(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidate_pairs(rows: dict[str, np.ndarray], whole: bool):
-    """Pairs of one group's rows to confirm: a strongest forest, or, if `whole`, all pairs
-    of different components. With two blocks, only pairs across them."""
+def candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of one group's pairs, and which are to be confirmed; with two blocks, pairs across them."""
     sketches = np.stack([np.frombuffer(s, np.uint64) for s in rows["sketch"]])
     near = estimates(sketches, rows["filled"], rows["n_shingles"], slice(None), slice(None))
     allowed = near >= PERCENT / 100 - MARGIN
     allowed &= rows["id"][:, None] != rows["id"][None, :]
     if rows["first"][0] != rows["second"][0]:
         allowed &= rows["block"][:, None] != rows["block"][None, :]
-    if whole:
-        allowed &= rows["part"][:, None] != rows["part"][None, :]
-        i, j = np.nonzero(np.triu(allowed, 1))
-    elif len(near) == 2:
+    return near, allowed
+
+
+def forest_pairs(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The strongest forest of one group's candidate pairs."""
+    near, allowed = candidates(rows)
+    if len(near) == 2:
         i, j = np.nonzero(np.triu(allowed, 1))
     else:
         i, j = strongest_forest(np.where(allowed, near, -1.0))
     a, b = rows["id"][i], rows["id"][j]
-    return np.minimum(a, b), np.maximum(a, b)
+    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
 
-def comparing(whole: bool):
-    """A map over rows that come sorted by (bucket, first, second): candidate pairs (a, b)."""
+def open_pairs(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Candidate pairs between different components that belong to this bucket, as a matrix.
+
+    Of the buckets that two nodes share, the least is looked at in any case and owns the pair.
+    """
+    _, allowed = candidates(rows)
+    allowed &= rows["part"][:, None] != rows["part"][None, :]
+    i, j = np.nonzero(np.triu(allowed, 1))
+    bands, bucket = rows["bands"], rows["bucket"][0]
+    own = np.zeros(allowed.shape, bool)
+    for low in range(0, len(i), 50_000):
+        x, y = i[low : low + 50_000], j[low : low + 50_000]
+        same = bands[x] == bands[y]
+        least = np.where(same, bands[x], np.iinfo(np.int64).max).min(1)
+        x, y = x[least == bucket], y[least == bucket]
+        own[x, y] = own[y, x] = True
+    return own
+
+
+def open_rows(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The group's rows that stand in an open pair."""
+    some = open_pairs(rows).any(1)
+    return {k: rows[k][some] for k in ("bucket", "first", "second", "id")}
+
+
+def joining_links(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """All open pairs of the group are confirmed on full sets; links that join components come out."""
+    own, parts, links = open_pairs(rows), rows["part"].copy(), []
+    sets = [np.frombuffer(s, np.uint64) for s in rows["items"]]
+    for x in range(len(sets)):
+        others = np.flatnonzero(own[x, x + 1 :]) + x + 1
+        others = others[parts[others] != parts[x]]
+        for low in range(0, len(others), 256):
+            some = others[low : low + 256]
+            sizes = np.array([len(sets[y]) for y in some])
+            whole = np.concatenate([sets[y] for y in some])
+            at = np.minimum(np.searchsorted(sets[x], whole), len(sets[x]) - 1)
+            same = np.add.reduceat((sets[x][at] == whole).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+            linked = 100 * same >= PERCENT * (len(sets[x]) + sizes - same)
+            for y in some[linked]:
+                if parts[y] != parts[x]:
+                    links.append((rows["id"][x], rows["id"][y]))
+                    parts[parts == max(parts[x], parts[y])] = min(parts[x], parts[y])
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return {"a": pairs.min(1), "b": pairs.max(1)} if len(pairs) else {"a": pairs[:, 0], "b": pairs[:, 1]}
+
+
+def by_group(work, names: tuple[str, ...]):
+    """A map over rows that come sorted by (bucket, first, second): `work` on each group's columns."""
+    keys = ("bucket", "first", "second")
 
     def emit(held):
+        columns = {name: pa.chunked_array([h.column(name) for h in held]) for name in held[0].schema.names}
         columns = {
-            name: np.concatenate([h.column(name).to_numpy(zero_copy_only=False) for h in held])
-            for name in held[0].schema.names
+            k: v.combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if k == "bands" else v.to_numpy()
+            for k, v in columns.items()
         }
-        edge = np.flatnonzero(
-            (columns["bucket"][1:] != columns["bucket"][:-1])
-            | (columns["first"][1:] != columns["first"][:-1])
-            | (columns["second"][1:] != columns["second"][:-1])
-        )
-        bounds = [0, *(edge + 1).tolist(), len(columns["id"])]
+        edge = np.zeros(len(columns["id"]) - 1, bool)
+        for k in keys:
+            edge |= columns[k][1:] != columns[k][:-1]
+        bounds = [0, *(np.flatnonzero(edge) + 1).tolist(), len(columns["id"])]
         out = [
-            candidate_pairs({k: v[low:high] for k, v in columns.items()}, whole)
+            work({k: v[low:high] for k, v in columns.items()})
             for low, high in zip(bounds[:-1], bounds[1:], strict=True)
             if high - low > 1
         ]
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        pairs = np.unique(np.c_[a, b], axis=0)
         return pa.RecordBatch.from_pydict(
-            {"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())}
+            {n: pa.array(np.concatenate([o[n] for o in out]) if out else [], pa.int64()) for n in names}
         )
 
     def run(batches):
@@ -286,15 +335,13 @@ def comparing(whole: bool):
         for batch in batches:
             if not len(batch):
                 continue
-            keys = [batch.column(k).to_numpy() for k in ("bucket", "first", "second")]
-            tail = np.logical_and.reduce([k == k[-1] for k in keys])
+            tail = np.logical_and.reduce([(c := batch.column(k).to_numpy()) == c[-1] for k in keys])
             cut = len(batch) - int(np.argmin(tail[::-1])) if not tail.all() else 0
             if cut:
                 yield emit([*held, batch.slice(0, cut)])
                 held = [batch.slice(cut)]
             else:
-                same = not held or all(held[-1].column(k)[-1] == batch.column(k)[0] for k in ("bucket", "first", "second"))
-                if not same:
+                if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
                     yield emit(held)
                     held = []
                 held.append(batch)
@@ -340,40 +387,43 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     rows = pin(
         banded.join(buckets.select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), "bucket")
-        .join(nodes.select("id", "n_shingles", "filled", "sketch"), "id")
+        .join(nodes.select("id", "n_shingles", "filled", "sketch", "bands"), "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     )
 
-    def pairs(rows, whole):
-        return (
-            rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .withColumn("first", F.least("block", "other"))
-            .withColumn("second", F.greatest("block", "other"))
-            .drop("other", "blocks")
-            .repartition("bucket", "first", "second")
-            .sortWithinPartitions("bucket", "first", "second")
-            .mapInArrow(comparing(whole), "a long, b long")
-            .distinct()
-        )
+    rows = (
+        rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("first", F.least("block", "other"))
+        .withColumn("second", F.greatest("block", "other"))
+        .drop("other", "blocks")
+    )
+    key = ["bucket", "first", "second"]
 
-    def confirmed(some, sets):
-        both = some.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
+    def grouped(rows, work, names):
+        return (
+            rows.repartition(*key)
+            .sortWithinPartitions(*key)
+            .mapInArrow(by_group(work, names), ", ".join(f"{n} long" for n in names))
         )
-        return pin(both.mapInArrow(confirm, "a long, b long, linked boolean"))
 
-    tried = pin(pairs(rows.withColumn("part", F.col("id")), False))
+    plain = rows.drop("bands")
+    tried = pin(grouped(plain, forest_pairs, ("a", "b")).distinct())
     asked = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
     sets = pin(text.join(asked, "doc_id", "left_semi").mapInArrow(full_sets, "id long, items binary"))
-    links = confirmed(tried, sets)
-    parts = components(links.where("linked"))
-    open_rows = rows.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
-    mixed_buckets = open_rows.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-    rest = pairs(open_rows.join(mixed_buckets.select("bucket"), "bucket", "left_semi"), True).join(
-        tried, ["a", "b"], "left_anti"
+    both = tried.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
+    )
+    links = pin(both.mapInArrow(confirm, "a long, b long, linked boolean").where("linked").select("a", "b"))
+    parted = (
+        rows.join(components(links), "id", "left")
+        .withColumn("part", F.coalesce("component_id", "id"))
+        .drop("component_id")
     )
-    more = confirmed(rest, sets).where("linked")
-    whole = components(links.where("linked").select("a", "b").union(more.select("a", "b")))
+    mixed_buckets = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    parted = pin(parted.join(mixed_buckets.select("bucket"), "bucket", "left_semi"))
+    left = pin(grouped(parted, open_rows, (*key, "id")))
+    more = grouped(parted.join(left, [*key, "id"]).join(sets, "id"), joining_links, ("a", "b"))
+    whole = components(links.union(more))
     named = nodes.select("key", "id").join(whole, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     return (
         sketched.select("doc_id", "n_shingles", "key")
