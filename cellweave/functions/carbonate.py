@@ -11,7 +11,8 @@ bar. Sources of the fixed values below:
 * pressure: Millero (1995) with the corrections of Lewis and Wallace (1998)
 
 The functions take and return NumPy arrays: an Arrow batch of cells is solved
-at once, NaN marks a missing value and spreads to the result.
+at once, NaN marks a missing value and spreads to the result. A sample that has not
+converged is missing.
 """
 
 from __future__ import annotations
@@ -155,22 +156,22 @@ class Equilibrium:
     def protons(self, alk, carbonate):
         """[H+] at which the alkalinity is ``alk``; ``carbonate`` gives value and slope."""
         h = np.full_like(alk, 1e-8)
+        moving = np.ones(alk.shape, bool)
         for _ in range(NEWTON_STEPS):
             minor, minor_slope = self.minor_alkalinity(h)
             major, major_slope = carbonate(h)
             step = np.clip(
                 -(major + minor - alk) / (major_slope + minor_slope), -LARGEST_STEP, LARGEST_STEP
             )
-            h = h * np.exp(step)
-            if not np.any(np.abs(step) > TOLERANCE):
+            # a sample stops by itself, so its result does not depend on its batch
+            h = np.where(moving, h * np.exp(step), h)
+            moving &= np.abs(step) > TOLERANCE
+            if not moving.any():
                 break
-        return h
+        return np.where(moving, np.nan, h)
 
 
-def pco2_from_dic(alk, dic, salt, temp, pressure, phosphate, silicate):
-    """pCO2 in microatmospheres from alkalinity and DIC."""
-    eq = Equilibrium(salt, temp, pressure, phosphate, silicate)
-
+def _pco2(eq, alk, dic):
     def carbonate(h):
         pool = h * h + eq.k1 * h + eq.k1 * eq.k2
         value = dic * (eq.k1 * h + 2.0 * eq.k1 * eq.k2) / pool
@@ -182,9 +183,7 @@ def pco2_from_dic(alk, dic, salt, temp, pressure, phosphate, silicate):
     return co2 / eq.k0 / eq.fugacity * 1e6
 
 
-def dic_from_pco2(alk, pco2, salt, temp, pressure, phosphate, silicate):
-    """DIC in mol/kg from alkalinity and pCO2 in microatmospheres."""
-    eq = Equilibrium(salt, temp, pressure, phosphate, silicate)
+def _dic(eq, alk, pco2):
     co2 = pco2 * 1e-6 * eq.fugacity * eq.k0
 
     def carbonate(h):
@@ -194,3 +193,20 @@ def dic_from_pco2(alk, pco2, salt, temp, pressure, phosphate, silicate):
 
     h = eq.protons(alk, carbonate)
     return co2 * (1.0 + eq.k1 / h + eq.k1 * eq.k2 / (h * h))
+
+
+def pco2_from_dic(alk, dic, salt, temp, pressure, phosphate, silicate):
+    """pCO2 in microatmospheres from alkalinity and DIC."""
+    return _pco2(Equilibrium(salt, temp, pressure, phosphate, silicate), alk, dic)
+
+
+def dic_from_pco2(alk, pco2, salt, temp, pressure, phosphate, silicate):
+    """DIC in mol/kg from alkalinity and pCO2 in microatmospheres."""
+    return _dic(Equilibrium(salt, temp, pressure, phosphate, silicate), alk, pco2)
+
+
+def response(alk, dic, more, salt, temp, pressure, phosphate, silicate):
+    """pCO2, pCO2 at alkalinity ``more``, and DIC at ``more`` and the first pCO2."""
+    eq = Equilibrium(salt, temp, pressure, phosphate, silicate)
+    before = _pco2(eq, alk, dic)
+    return before, _pco2(eq, more, dic), _dic(eq, more, before)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cellweave.functions import carbonate
 from cellweave.functions.missing import ColumnLike, as_column
@@ -80,6 +80,39 @@ def _dic(
     )
 
 
+RESPONSE = StructType(
+    [StructField(name, DoubleType()) for name in ("pco2_calc", "pco2_calc_pert", "dic_pert")]
+)
+
+
+@F.arrow_udf(RESPONSE)
+def _response(
+    alk: pa.Array,
+    dic: pa.Array,
+    more: pa.Array,
+    salt: pa.Array,
+    temp: pa.Array,
+    pressure: pa.Array,
+    phosphate: pa.Array,
+    silicate: pa.Array,
+) -> pa.Array:
+    arrays = (alk, dic, more, salt, temp, pressure, phosphate, silicate)
+    values = [a.to_numpy(zero_copy_only=False).astype(float) for a in arrays]
+    with np.errstate(all="ignore"):
+        solved = carbonate.response(*values)
+    return pa.StructArray.from_arrays(
+        [pa.array(r, mask=~np.isfinite(r)) for r in solved], names=RESPONSE.names
+    )
+
+
+def response(alk: ColumnLike, dic: ColumnLike, added: float, water: Water = Water()) -> Column:
+    """Struct of pCO2, pCO2 with ``added`` alkalinity, and the DIC (mmol per m3) that then
+    restores the first pCO2; the water's constants are worked out once for all three."""
+    more = as_column(alk) + added
+    solved = _response(to_mol_per_kg(alk), to_mol_per_kg(dic), to_mol_per_kg(more), *water.columns())
+    return solved.withField("dic_pert", to_mmol_per_m3(solved["dic_pert"]))
+
+
 def pco2(alk: ColumnLike, dic: ColumnLike, water: Water = Water()) -> Column:
     """pCO2 in microatmospheres of water with this alkalinity and DIC in mmol per m3."""
     return _pco2(to_mol_per_kg(alk), to_mol_per_kg(dic), *water.columns())

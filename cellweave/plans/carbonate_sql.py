@@ -12,8 +12,7 @@ degrees Celsius, salinity in practical units, pressure in bar. Sources:
   Wallace (1998)
 
 Each step is a set of named expressions over the columns of the step before
-it. Spark turns the chain into projections inside one generated stage, so no
-row leaves the JVM.
+it. They serve the reference SQL only; Spark runs the batch kernel.
 """
 
 from __future__ import annotations
@@ -141,14 +140,6 @@ def other_alkalinity(h: str) -> str:
     )
 
 
-def other_slope(h: str) -> str:
-    """Leading terms of d(other alkalinity) / d(ln h)."""
-    return (
-        f"(-cw_bt * cw_kb * {h} / ((cw_kb + {h}) * (cw_kb + {h})) - cw_kw / {h}"
-        f" - cw_sit * cw_ksi * {h} / ((cw_ksi + {h}) * (cw_ksi + {h})) - {h} / cw_zs)"
-    )
-
-
 def carbonate_from_dic(h: str, dic: str) -> str:
     return (
         f"({dic} * cw_k1 * ({h} + 2e0 * cw_k2)"
@@ -156,21 +147,10 @@ def carbonate_from_dic(h: str, dic: str) -> str:
     )
 
 
-def carbonate_from_dic_slope(h: str, dic: str) -> str:
-    return (
-        f"(-{dic} * cw_k1 * {h} * ({h} * {h} + cw_k1 * cw_k2 + 4e0 * cw_k2 * {h})"
-        f" / (({h} * {h} + cw_k1 * ({h} + cw_k2)) * ({h} * {h} + cw_k1 * ({h} + cw_k2))))"
-    )
-
-
 def carbonate_from_co2(h: str, co2: str) -> str:
     return f"({co2} * cw_k1 * ({h} + 2e0 * cw_k2) / ({h} * {h}))"
 
 
-def carbonate_from_co2_slope(h: str, co2: str) -> str:
-    return f"(-{co2} * cw_k1 * ({h} + 4e0 * cw_k2) / ({h} * {h}))"
-
-
 def co2_from_dic(h: str, dic: str) -> str:
     return f"({dic} * {h} * {h} / ({h} * {h} + cw_k1 * ({h} + cw_k2)))"
 

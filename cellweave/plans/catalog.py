@@ -904,13 +904,8 @@ def pco2_comparison(v: Views) -> DataFrame:
 @product
 def alkalinity_perturbation(v: Views) -> DataFrame:
     """Response of pCO2 and DIC to 10 mmol per m3 of added alkalinity."""
-    first = surface_water(v).select(
-        "*",
-        chemistry.pco2("alk", "dic").alias("pco2_calc"),
-        chemistry.pco2(F.col("alk") + 10.0, "dic").alias("pco2_calc_pert"),
-    )
-    second = first.withColumn("dic_pert", chemistry.dic(F.col("alk") + 10.0, "pco2_calc"))
-    return second.select(
+    solved = surface_water(v).withColumn("_r", chemistry.response("alk", "dic", 10.0))
+    return solved.select("cell", "time", "dic", "_r.*").select(
         "cell",
         "time",
         "pco2_calc",

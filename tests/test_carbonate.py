@@ -102,3 +102,20 @@ def test_removal_potential(spark):
     assert set(got) == {"a", "b"}
     assert got["a"]["ddic"] == pytest.approx(0.0, abs=1e-6)
     assert 30.0 < got["b"]["ddic"] < 50.0
+
+
+def test_result_does_not_depend_on_the_batch():
+    rng = np.random.default_rng(3)
+    n = 400
+    water = [rng.uniform(30, 37, n), rng.uniform(0, 30, n), np.zeros(n), np.full(n, 5e-7), np.full(n, 1e-5)]
+    alk, dic = rng.uniform(2.0e-3, 2.5e-3, n), rng.uniform(1.7e-3, 2.2e-3, n)
+    whole = carbonate.pco2_from_dic(alk, dic, *water)
+    alone = [carbonate.pco2_from_dic(alk[i : i + 1], dic[i : i + 1], *[w[i : i + 1] for w in water])[0] for i in range(n)]
+    assert np.array_equal(whole, alone)
+    assert all(np.isfinite(whole))
+
+
+def test_unconverged_is_missing(monkeypatch):
+    one = [np.array([v]) for v in (2.3e-3, 2.0e-3, 35.0, 20.0, 0.0, 5e-7, 1e-5)]
+    monkeypatch.setattr(carbonate, "NEWTON_STEPS", 1)
+    assert np.isnan(carbonate.pco2_from_dic(*one)[0])

@@ -122,3 +122,8 @@ def test_no_full_outer_join_where_an_inner_one_is_meant(spark):
     for name in ("removal_potential_cells", "removal_potential_total", "cumulative_surface_alkalinity"):
         assert "FullOuter" not in plan_of(spark, name)
     assert plan_of(spark, "cumulative_surface_alkalinity").count("FileScan") == 1
+
+
+def test_perturbation_is_one_arrow_call(spark):
+    plan = plan_of(spark, "alkalinity_perturbation")
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("_response(") <= 2
