@@ -80,21 +80,24 @@ def write_table(
 
 
 def save_bucketed(
-    df: DataFrame, table: str, keys: Sequence[str], buckets: int, mode: str = "overwrite"
+    df: DataFrame,
+    table: str,
+    keys: Sequence[str],
+    buckets: int,
+    mode: str = "overwrite",
+    path: str | None = None,
 ) -> DataFrame:
-    """Save a cell table bucketed and sorted by its join key.
+    """Save a cell table bucketed and sorted by its join key, under ``path`` if given
+    (a folder all executors share), else in the session's warehouse.
 
     Later joins and groupings on the key read the buckets in place instead of
     shuffling the cells again. Hash on the cell key, never on the phase, whose
     few values would make a few huge buckets.
     """
-    (
-        df.write.mode(mode)
-        .format("parquet")
-        .bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .saveAsTable(table)
-    )
+    writer = df.write.mode(mode).format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
     return df.sparkSession.table(table)
 
 
