@@ -8,7 +8,7 @@ stream, starting over at the end of the stream; no source gets more slots than t
 passes hold. What a document gives is the overlap of its words with the taken blocks.
 
 Nothing but built-in expressions. A hot source is split: its running word counts are
-taken within hashed buckets and its slots are ranked within runs of slots, and the join
+taken within ranges of the shuffled order and its slots are ranked within runs of slots, and the join
 key (source, block) spreads it evenly.
 
 Cases: null text counts no words and takes none; a null source is a source of its own,
@@ -25,7 +25,8 @@ from .shared import WORD, pin, running_total
 
 #: Words of one slot.
 BLOCK = 256
-#: Rows per bucket of a source's stream, and slots per ranked run.
+#: Rows per bucket of a source's stream, about, and slots per ranked run.
+BUCKET = 1 << 12
 RUN = 1 << 15
 #: The golden ratio's fraction as a share of 2**40.
 GOLDEN = 679523144761
@@ -131,12 +132,12 @@ def mix(
     """doc_id, size, source_size, target, taken of each row of `docs` (doc_id, source, text)."""
     sized = pin(docs.select("doc_id", "source", word_count().alias("size")))
     sources = pin(source_targets(sized, weights, share, cap))
-    buckets = max(1, -(-sized.count() // RUN))
+    buckets = max(1, -(-sized.count() // BUCKET))
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     stream = (
         sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
         .select("doc_id", "size", "sid", "source_size", "target", order.alias("key"))
-        .withColumn("bucket", F.pmod(F.crc32("key"), F.lit(buckets)))
+        .withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
     )
     sums = stream.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = sums.select(
@@ -194,3 +195,48 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir):
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = rf"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
+    FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM sources),
+levels AS (
+    -- if the sources before this one, in the order of their caps' levels, are capped
+    SELECT 2e0 * source_size / weight AS own,
+        (1.5e0 * sum(source_size) OVER () - coalesce(sum(2e0 * source_size) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighed
+    WINDOW before AS (ORDER BY 2e0 * source_size / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+    SELECT *, least(2e0 * source_size, (SELECT max(level) FROM levels WHERE level <= own) * weight) AS target
+    FROM weighed),
+held AS (
+    SELECT sid, target, sum(target) OVER (ORDER BY sid) - target AS low, sum(target) OVER () AS total
+    FROM targets WHERE target > 0),
+bounds AS (
+    SELECT sid, floor(low / total * 1099511627776) AS lo, floor((low + target) / total * 1099511627776) AS hi FROM held),
+points AS (
+    SELECT i, CAST(i AS HUGEINT) * {GOLDEN} % 1099511627776 AS x
+    FROM range((SELECT CAST(ceil(round(max(total)) / {BLOCK}) AS BIGINT) FROM held)) r(i)),
+slots AS (
+    SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS block
+    FROM points JOIN bounds ON x >= lo AND x < hi),
+placed AS (
+    SELECT doc_id, size, sid, source_size, target, row_number() OVER () AS uid,
+        sum(size) OVER (PARTITION BY sid ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+parts AS (
+    SELECT *, unnest(range(pos // {BLOCK}, (pos + size - 1) // {BLOCK} + 1)) AS block
+    FROM (SELECT *, CAST(start + e * source_size AS BIGINT) AS pos FROM placed, range(2) r(e) WHERE size > 0)),
+taken AS (
+    SELECT uid, sum(least(pos + size, (block + 1) * {BLOCK}) - greatest(pos, block * {BLOCK})) AS taken
+    FROM parts JOIN slots USING (sid, block) GROUP BY uid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM placed LEFT JOIN taken USING (uid)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_source_mix": mixture.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_source_mix": mixture.SQL}

@@ -68,3 +68,16 @@ def test_mixed_documents(documents):
     out = mixture.mixed_documents(documents)
     copies = Counter(r.doc_id for r in out.select("doc_id").collect())
     assert out.columns == documents.columns and max(copies.values()) == 2
+
+
+def test_matches_sql(spark):
+    import os
+
+    import duckdb
+
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{os.path.join(folder, 'documents.parquet')}'")
+        want = Counter(con.execute(mixture.SQL).fetchall())
+        columns = ["doc_id", "size", "source_size", "target", "taken"]
+        assert Counter(tuple(r) for r in mixture.query(spark, folder).select(*columns).collect()) == want
