@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,54 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters whose lower case and composition leave no doubt.
+PLAIN = {c: c for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"}
+PLAIN |= {c.upper(): c for c in PLAIN if len(c.upper()) == 1}
+
+
+def byte_letters() -> list[str]:
+    """The vocabulary's letter for each byte: printable ones stand for themselves, the
+    others follow from code 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+def word_coder(tokenizer):
+    """A function of a word without white space: its ids.
+
+    Marks around a word of plain letters are pieces of their own, and the word is one
+    piece, which the tokenizer's model takes without the passes over longer texts. An
+    apostrophe before letters can start an ending, and special tokens hold marks: such
+    words go through the tokenizer whole.
+    """
+    letters = byte_letters()
+    model = tokenizer.model
+    plain = PLAIN.__contains__
+    marks: dict[str, list[int]] = {"": []}
+
+    def marked(text: str) -> list[int]:
+        if text not in marks:
+            if len(marks) > 10_000:
+                marks.clear()
+                marks[""] = []
+            marks[text] = tokenizer.encode(text, add_special_tokens=False).ids
+        return marks[text]
+
+    def ids(word: str) -> list[int]:
+        ahead = word.lstrip(punctuation)
+        core = ahead.rstrip(punctuation)
+        before, after = word[: len(word) - len(ahead)], ahead[len(core) :]
+        ascii_only = core.isascii()
+        if not (core.isalpha() if ascii_only else all(map(plain, core))) or "'" in before or "<|" in before:
+            return tokenizer.encode(word, add_special_tokens=False).ids
+        if not ascii_only or not core.islower():
+            core = "".join([letters[b] for b in "".join([PLAIN[c] for c in core]).encode()])
+        return marked(before) + [t.id for t in model.tokenize(core)] + marked(after)
+
+    return ids
+
+
 def cutting(path: str, capacity: int = CAPACITY, end: int = END):
     """A map over Arrow batches of (doc_id, text): the pieces of each document.
 
@@ -66,20 +116,24 @@ def cutting(path: str, capacity: int = CAPACITY, end: int = END):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        coded = word_coder(tokenizer)
+        # words seen lately, and those seen before them: frequent ones stay
         known: dict[bytes, bytes] = {}
+        older: dict[bytes, bytes] = {}
         tail = np.uint32(end).tobytes()
         for batch in batches:
             rows = ([], [], [], [], [])
             column = batch["text"].cast(pa.binary())
             for low in range(0, len(batch), 128):
-                split = [(t or b"").split() for t in column[low : low + 128].to_pylist()]
+                # the vocabulary is of lower case; only its special tokens are told by case
+                split = [
+                    (t if b"<|" in t else t.lower()).split()
+                    for t in (t or b"" for t in column[low : low + 128].to_pylist())
+                ]
                 if len(known) > CACHE:
-                    known.clear()
-                new = list(set().union(*split) - known.keys())
-                for word, code in zip(
-                    new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True
-                ):
-                    known[word] = np.array(code.ids, "<u4").tobytes()
+                    known, older = {}, known
+                for word in set().union(*split) - known.keys():
+                    known[word] = older.get(word) or array("I", coded(word.decode())).tobytes()
                 ids = batch["doc_id"][low : low + 128].to_pylist()
                 for doc_id, words in zip(ids, split, strict=True):
                     data = b"".join([known[w] for w in words]) + tail

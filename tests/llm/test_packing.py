@@ -55,7 +55,8 @@ def test_words_and_white_space(spark):
     texts = ["a b c d\u0085e\x1cf\x0bg", "It's they'LL we 've", "<|endoftext|> x<|startoftext|>y <| endoftext |>",
              "é ́x Å Å", "don 't \n's 1234 ½ ٣٤ 中文字 😀👍🏽", "﻿x ​ y퟿", "A" * 5000,
              "<|ENDOFTEXT|> <|EndOfText|>, Ça! ÉTÉ.. été?! dogs', can't. 12, x9. ½. İstanbul. ΣΑΣ, naïve… œuvre; ŒUVRE: ÿ Ÿ ẞ ß.",
-             "e\u0301. a\u030a, n\u0303! \u0301. .\u0301 ,.a .,. a.b a,b. |x| --a-- (the) the). _a_ a_,"]
+             "e\u0301. a\u030a, n\u0303! \u0301. .\u0301 ,.a .,. a.b a,b. |x| --a-- (the) the). _a_ a_,",
+             "'tis 'the 'stop 's. \"'llama (re've) ve' don't!! ##the### $$$ it's's word<|endoftext|>word !<|endoftext|>! <|x|> a<|b"]
     held(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=64)
 
 
