@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, pin
+from .shared import by_group, components, pin
 
 COSINE = 0.93
 TABLES = 5
@@ -140,24 +140,29 @@ LINKS = "rep long, links long, low long"
 
 def compare(least: float):
     """A function of one pair of blocks of a cell: links and local components of its rows."""
+    nothing = {k: np.zeros(0, np.int64) for k in ("rep", "links", "low")}
 
-    def run(key, pdf):
-        first, second, bucket = int(key[2]), int(key[3]), int(key[1])
-        pdf = pdf.sort_values(["rep", "home"], ascending=[True, False]).reset_index(drop=True)
-        rep, n, block = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["block"].to_numpy()
-        x = np.stack([np.frombuffer(b, np.float32) for b in pdf["vector"]]).astype(np.float64)
+    def run(rows):
+        first, second, bucket = rows["first"][0], rows["second"][0], rows["bucket"][0]
+        order = np.argsort(rows["rep"], kind="stable")
+        rep, n, block, home = (rows[k][order] for k in ("rep", "n", "block", "home"))
+        vectors, cells = rows["vector"][order], rows["cells"][order]
+        own, others = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        if not len(own) or not len(others) or not home.any():
+            return nothing
+        x = np.stack([np.frombuffer(v, np.float32) for v in vectors]).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        cells = np.stack([np.frombuffer(b, np.int64) for b in pdf["cells"]]).reshape(len(pdf), TABLES, 1 + PROBES)
-        home, dimension = pdf["home"].to_numpy(), x.shape[1]
-        salts = np.array([salt(dimension, t) for t in range(TABLES)])
+        cells = np.stack([np.frombuffer(c, np.int64) for c in cells]).reshape(len(x), TABLES, 1 + PROBES)
+        salts = np.array([salt(x.shape[1], t) for t in range(TABLES)])
         table = int(np.flatnonzero((cells[0] ^ salts[:, None] == bucket).any(1))[0])
         # a vector asks in a cell once, at home or from next door: rows are distinct by rep
-        own, others = np.flatnonzero(block == first), np.flatnonzero(block == second)
         near = x[own] @ x[others].T >= least
         near &= home[own][:, None] | home[others][None, :]
         if first == second:
             near &= own[:, None] < others[None, :]
         i, j = np.nonzero(near)
+        if not len(i):
+            return nothing
         i, j = own[i], others[j]
         met = np.zeros(len(i), bool)
         for t in range(table):
@@ -180,7 +185,7 @@ def compare(least: float):
                 break
             low = after
         some = links > 0
-        return pd.DataFrame({"rep": rep[some], "links": links[some], "low": rep[low[some]]})
+        return {"rep": rep[some], "links": links[some], "low": rep[low[some]]}
 
     return run
 
@@ -222,7 +227,12 @@ def near_duplicates(table: DataFrame, least: float = COSINE) -> DataFrame:
         .withColumn("second", F.greatest("block", "other"))
         .drop("other", "blocks")
     )
-    found = pin(blocked.groupBy("label", "bucket", "first", "second").applyInPandas(compare(least), LINKS))
+    key = ("label", "bucket", "first", "second")
+    found = pin(
+        blocked.repartition(*key)
+        .sortWithinPartitions(*key)
+        .mapInArrow(by_group(compare(least), key, ("rep", "links", "low")), LINKS)
+    )
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     out = (

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, pin
+from .shared import by_group, components, pin
 
 WORDS = 4
 #: A link holds when 100 * intersection >= PERCENT * union.
@@ -146,6 +146,8 @@ def odd_sketch(items: np.ndarray) -> tuple[bytes, int]:
     return np.packbits(odd).tobytes(), len(sample)
 
 
+#: A pair of blocks of a bucket.
+KEY = ("bucket", "first", "second")
 SKETCHED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, filled int"
 
 
@@ -282,7 +284,7 @@ def open_pairs(rows: dict[str, np.ndarray]) -> np.ndarray:
 def open_rows(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The group's rows that stand in an open pair."""
     some = open_pairs(rows).any(1)
-    return {k: rows[k][some] for k in ("bucket", "first", "second", "id")}
+    return {k: rows[k][some] for k in (*KEY, "id")}
 
 
 def joining_links(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -307,50 +309,6 @@ def joining_links(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"a": pairs.min(1), "b": pairs.max(1)} if len(pairs) else {"a": pairs[:, 0], "b": pairs[:, 1]}
 
 
-def by_group(work, names: tuple[str, ...]):
-    """A map over rows that come sorted by (bucket, first, second): `work` on each group's columns."""
-    keys = ("bucket", "first", "second")
-
-    def emit(held):
-        columns = {name: pa.chunked_array([h.column(name) for h in held]) for name in held[0].schema.names}
-        columns = {
-            k: v.combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if k == "bands" else v.to_numpy()
-            for k, v in columns.items()
-        }
-        edge = np.zeros(len(columns["id"]) - 1, bool)
-        for k in keys:
-            edge |= columns[k][1:] != columns[k][:-1]
-        bounds = [0, *(np.flatnonzero(edge) + 1).tolist(), len(columns["id"])]
-        out = [
-            work({k: v[low:high] for k, v in columns.items()})
-            for low, high in zip(bounds[:-1], bounds[1:], strict=True)
-            if high - low > 1
-        ]
-        return pa.RecordBatch.from_pydict(
-            {n: pa.array(np.concatenate([o[n] for o in out]) if out else [], pa.int64()) for n in names}
-        )
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            tail = np.logical_and.reduce([(c := batch.column(k).to_numpy()) == c[-1] for k in keys])
-            cut = len(batch) - int(np.argmin(tail[::-1])) if not tail.all() else 0
-            if cut:
-                yield emit([*held, batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-            else:
-                if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
-                    yield emit(held)
-                    held = []
-                held.append(batch)
-        if held:
-            yield emit(held)
-
-    return run
-
-
 def confirm(batches):
     """a, b, linked of pairs with both sets."""
     for batch in batches:
@@ -397,13 +355,11 @@ def groups(docs: DataFrame) -> DataFrame:
         .withColumn("second", F.greatest("block", "other"))
         .drop("other", "blocks")
     )
-    key = ["bucket", "first", "second"]
-
     def grouped(rows, work, names):
         return (
-            rows.repartition(*key)
-            .sortWithinPartitions(*key)
-            .mapInArrow(by_group(work, names), ", ".join(f"{n} long" for n in names))
+            rows.repartition(*KEY)
+            .sortWithinPartitions(*KEY)
+            .mapInArrow(by_group(work, KEY, names), ", ".join(f"{n} long" for n in names))
         )
 
     plain = rows.drop("bands")
@@ -421,8 +377,8 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     mixed_buckets = parted.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
     parted = pin(parted.join(mixed_buckets.select("bucket"), "bucket", "left_semi"))
-    left = pin(grouped(parted, open_rows, (*key, "id")))
-    more = grouped(parted.join(left, [*key, "id"]).join(sets, "id"), joining_links, ("a", "b"))
+    left = pin(grouped(parted, open_rows, (*KEY, "id")))
+    more = grouped(parted.join(left, [*KEY, "id"]).join(sets, "id"), joining_links, ("a", "b"))
     whole = components(links.union(more))
     named = nodes.select("key", "id").join(whole, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     return (
