@@ -201,9 +201,17 @@ class Streams:
             yield low, min(low + size, len(self.target)), int((self.loads > low).sum())
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def choice(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probabilities of the places `at` under a softmax, and the gradient of
+    minus their sum. Works in place."""
+    rows = np.arange(len(at))
+    x -= x.max(1, keepdims=True)
+    picked = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    x[rows, at] -= 1
+    return picked - np.log(total[:, 0]), x
 
 
 class Network:
@@ -212,58 +220,63 @@ class Network:
 
     def run(self, inputs, starts, h, keep: bool):
         """States after each step, and what backpropagation needs."""
-        w, steps = self.w, []
-        a = w["x"][inputs] + w["b"]
-        out = np.empty((*inputs.shape, HIDDEN), np.float32)
+        w, steps, gates = self.w, [], 2 * HIDDEN
+        # a gate is (1 + tanh(x / 2)) / 2; the halves go into the weights
+        x, u = w["x"] + w["b"], w["u"].copy()
+        x[:, :gates] *= 0.5
+        u[:, :gates] *= 0.5
+        a, fresh = x[inputs], starts.any(1)
+        out = np.empty((*inputs.shape, HIDDEN), x.dtype)
         for t in range(len(inputs)):
-            h = h * ~starts[t][:, None]
-            g = h @ w["u"]
-            zr = 0.5 * np.tanh(0.5 * (a[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])) + np.float32(0.5)
+            if fresh[t]:
+                h = h * ~starts[t][:, None]
+            g = h @ u
+            zr, n = a[t, :, :gates], a[t, :, gates:]
+            zr += g[:, :gates]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(a[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+            n += r * g[:, gates:]
+            np.tanh(n, out=n)
             if keep:
-                steps.append((h, z, r, n, g[:, 2 * HIDDEN :]))
+                steps.append((h, z, r, n, g[:, gates:]))
             h = n + z * (h - n)
             out[t] = h
         return out, h, steps
 
     def outputs(self, h: np.ndarray, y: np.ndarray, learn: bool):
         """Natural log probabilities of the classes `y`; with `learn`, gradients too."""
-        w, group = self.w, y >> 4
-        over_groups = log_softmax(h @ w["gw"] + w["gb"])
-        rows = np.arange(len(y))
-        out = over_groups[rows, group]
+        w, group, count = self.w, y >> 4, len(y)
+        out, d = choice(h @ w["gw"] + w["gb"], group)
         order = np.argsort(group, kind="stable")
         bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        sorted_h, sorted_y, inner = h[order], y[order] & (PER_GROUP - 1), np.empty(count, h.dtype)
         if learn:
-            d = np.exp(over_groups)
-            d[rows, group] -= 1
-            d /= len(y)
+            d /= count
             grads = {"gw": h.T @ d, "gb": d.sum(0), "cw": np.zeros_like(w["cw"]), "cb": np.zeros_like(w["cb"])}
-            dh = d @ w["gw"].T
+            dh, back = d @ w["gw"].T, np.empty_like(h)
         for k in range(GROUPS):
-            own = order[bounds[k] : bounds[k + 1]]
-            if not len(own):
+            own, part = slice(bounds[k], bounds[k + 1]), slice(k * PER_GROUP, (k + 1) * PER_GROUP)
+            if own.start == own.stop:
                 continue
-            part = slice(k * PER_GROUP, (k + 1) * PER_GROUP)
-            mine, at = h[own], y[own] - k * PER_GROUP
-            inside = log_softmax(mine @ w["cw"][part].T + w["cb"][part])
-            out[own] += inside[np.arange(len(own)), at]
+            inner[own], d = choice(sorted_h[own] @ w["cw"][part].T + w["cb"][part], sorted_y[own])
             if learn:
-                d = np.exp(inside)
-                d[np.arange(len(own)), at] -= 1
-                d /= len(y)
-                grads["cw"][part] = d.T @ mine
+                d /= count
+                grads["cw"][part] = d.T @ sorted_h[own]
                 grads["cb"][part] = d.sum(0)
-                dh[own] += d @ w["cw"][part]
+                back[own] = d @ w["cw"][part]
+        out[order] += inner
+        if learn:
+            dh[order] += back
         return (out, grads, dh) if learn else (out, None, None)
 
     def back(self, inputs, starts, steps, dout, grads) -> None:
         """Truncated backpropagation through the window's steps."""
-        w, dh = self.w, np.zeros(steps[0][0].shape, np.float32)
-        da = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+        w, dh = self.w, np.zeros(steps[0][0].shape, dout.dtype)
+        da = np.empty((*inputs.shape, 3 * HIDDEN), dout.dtype)
         dg = np.empty_like(da)
-        before = np.empty(dout.shape, np.float32)
+        before = np.empty_like(dout)
         for t in range(len(steps) - 1, -1, -1):
             h, z, r, n, gn = steps[t]
             dh = dh + dout[t]
@@ -372,14 +385,30 @@ def is_held_out():
     return F.coalesce(F.pmod(crc_of_id(), F.lit(7)) == 2, F.lit(False))
 
 
+def frequent_words(words: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HEAD words, all those from some count on, most frequent first.
+
+    The count is found from how many words there are in each step of the counts' logs, so
+    that no task or driver sorts more words than are kept.
+    """
+    stepped = words.where(F.length("word") <= LONGEST).withColumn("step", F.floor(16 * F.log2("n")))
+    cut, held = None, 0
+    for step, size in sorted(stepped.groupBy("step").count().collect(), reverse=True):
+        held += size
+        if held > HEAD:
+            break
+        cut = step
+    if cut is None:
+        return []
+    rows = stepped.where(F.col("step") >= cut).select("word", "n").collect()
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
 def train(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where(F.length("word") > 0)
-    head = [
-        (bytes(r.word), r.n)
-        for r in words.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").collect()
-    ]
+    head = frequent_words(words)
     totals = {r.ending: [r.tokens, r.types] for r in words.groupBy("ending").agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).collect()}
     for w, n in head[:SINGLES]:
         totals[ending(w)][0] -= n

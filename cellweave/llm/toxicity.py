@@ -57,7 +57,8 @@ def count_terms(batches):
     """(term, toxic, other): documents of the batch with each word and stem, by label."""
     for batch in batches:
         counts = (Counter(), Counter())
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+        for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
+            text = text.as_py()
             words = {w for w in map(clean, set((text or "").lower().split())) if 3 <= len(w) < LONGEST - 1}
             terms = set(words)
             terms.update(f"{w[:n]}*" for w in words for n in STEMS if len(w) > n)
@@ -219,16 +220,24 @@ class Finder:
         return [*np.log1p(counts).tolist(), float(counts[0] > 0), 10.0 * plain / (10 + len(tokens))]
 
 
+def feature_rows(finder: Finder, texts: pa.Array, size: int = 256) -> list[list[float]]:
+    """Features of each text; only `size` texts are held as words at a time."""
+    rows = []
+    for low in range(0, len(texts), size):
+        tokens = [(t or "").lower().split() for t in texts[low : low + size].to_pylist()]
+        finder.learn(tokens)
+        rows += [finder.features(t) for t in tokens]
+    return rows
+
+
 def finding(lexicon: list[str], also: str | None):
     """A map over Arrow batches: doc_id, the features, and the column `also`."""
 
     def run(batches):
         finder = Finder(Automaton(lexicon))
         for batch in batches:
-            tokens = [(t or "").lower().split() for t in batch["text"].to_pylist()]
-            for i in range(0, len(tokens), 256):
-                finder.learn(tokens[i : i + 256])
-            out = {"doc_id": batch["doc_id"], "features": pa.array([finder.features(t) for t in tokens], pa.list_(pa.float64()))}
+            rows = feature_rows(finder, batch["text"])
+            out = {"doc_id": batch["doc_id"], "features": pa.array(rows, pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(out | ({also: batch[also]} if also else {}))
 
     return run
@@ -322,10 +331,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         finder = Finder(Automaton(lexicon))
         for batch in batches:
-            tokens = [(t or "").lower().split() for t in batch["text"].to_pylist()]
-            for i in range(0, len(tokens), 256):
-                finder.learn(tokens[i : i + 256])
-            x = np.array([finder.features(t) for t in tokens]).reshape(-1, FEATURES)
+            x = np.array(feature_rows(finder, batch["text"])).reshape(-1, FEATURES)
             yield batch.filter(pa.array(probabilities(x, weights) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
