@@ -6,6 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import gated_lm
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

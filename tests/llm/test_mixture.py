@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import mixture
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -5,6 +5,8 @@ from itertools import combinations
 
 import numpy as np
 
+from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import oddsketch
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

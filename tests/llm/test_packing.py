@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import packing
 
 

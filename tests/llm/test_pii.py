@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 
+from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

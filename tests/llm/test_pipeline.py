@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from llm_fixtures import no_documents, odd_documents  # noqa: F401
+
 import corpus_pipeline
 from cellweave.llm import mixture, oddsketch, packing, secret_scan, toxicity
 

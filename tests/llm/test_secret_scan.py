@@ -4,6 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import secret_scan
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

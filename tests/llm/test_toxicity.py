@@ -3,6 +3,8 @@ import zlib
 
 import pytest
 
+from llm_fixtures import no_documents, odd_documents  # noqa: F401
+
 from cellweave.llm import toxicity
 
 DATA = "/root/testdata/sf0.1"
