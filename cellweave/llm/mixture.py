@@ -178,11 +178,13 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """`docs` as the mix holds them: a document stands once for each time that the mix
-    takes all or most of it, and not at all if it takes less than half."""
+    takes all or most of it, and not at all if it takes less than half. A document without
+    words (null, empty or blank text) has nothing to take or leave and stands once."""
+    times = F.try_divide(F.sum("taken"), F.sum("size"))
     copies = (
         mix(docs, **options)
         .groupBy("doc_id")
-        .agg((F.sum("taken") / F.sum("size")).alias("times"))
+        .agg(F.when(F.sum("size") == 0, F.lit(1.0)).otherwise(times).alias("times"))
         .select("doc_id", F.floor(F.col("times") + 0.5).cast("int").alias("_copies"))
         .where("_copies > 0")
     )

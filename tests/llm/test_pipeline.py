@@ -76,6 +76,28 @@ def test_odd_and_empty_documents(spark, odd_documents, no_documents, tmp_path):
             assert name == "packing" or docs.columns == columns
 
 
+def test_odd_documents_in_each_stage(spark, odd_documents, tmp_path):
+    """Labels that reject nothing: which rows each stage keeps."""
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    every = Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 1, 7: 1, None: 1})
+    want = {"toxicity": every, "near_duplicates": every - Counter([6]), "secrets": every - Counter([6])}
+    docs = odd_documents
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.pin(stage(spark, docs, str(tmp_path)))
+        assert Counter(r.doc_id for r in docs.collect()) == want[name], name
+    sums = defaultdict(lambda: [0, 0])
+    for r in mixture.mix(docs).collect():
+        sums[r.doc_id][0] += r.taken
+        sums[r.doc_id][1] += r["size"]
+    out = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    copies = Counter(r.doc_id for r in out.collect())
+    assert {i: copies[i] for i in (1, 2, 3)} == {1: 1, 2: 1, 3: 1}
+    for i in (4, 5, 7):
+        taken, size = sums[i]
+        assert copies[i] == int(taken / size + 0.5) * want["secrets"][i], i
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, out, str(tmp_path)).collect()} >= {1, 2, 3}
+
+
 def test_kept_documents_are_unlinked(stages):
     _, _, d2 = stages[1]
     assert oddsketch.groups(d2).where("not kept").count() == 0
