@@ -9,6 +9,8 @@ A logistic model over the counts of hits by distance and context gives the score
 
 The words are counted by Spark; the driver gets the lexicon (at most `TERMS` rows) and
 the hit counts of at most 2 * `SAMPLE` training rows, the documented bound of the fit.
+Each label's rows weigh in the fit as many as all distinct labelled training texts of that
+label, which Spark counts, so the class ratio does not depend on the bound.
 Scoring is a map over the documents without a shuffle.
 
 Cases: null and empty texts have no hits; repeated rows are scored each; without toxic
@@ -264,11 +266,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray | N
     hashed = docs.where((crc_of_id() % 5 != 0) & F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("key")
     )
-    keys = (
+    keys = pin(
         hashed.join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
         .groupBy("key")
         .agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     )
+    whole = dict(keys.where("toxic in (0, 1)").groupBy("toxic").count().collect())
     parts = [keys.where(F.col("toxic") == v).orderBy("key").limit(SAMPLE) for v in (0, 1)]
     picked = pin(parts[0].union(parts[1]))
     # at most 2 * SAMPLE rows of three numbers
@@ -293,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray | N
     lexicon = choose_terms([tuple(r) for r in counts.collect()], toxic, other)
     rows = sample.mapInArrow(finding(lexicon, "toxic"), "doc_id long, features array<double>, toxic int").collect()
     x, y = np.array([r.features for r in rows]), np.array([float(r.toxic) for r in rows])
-    return lexicon, fit(x, y, np.ones(len(y)))
+    return lexicon, fit(x, y, np.array([whole[r.toxic] / sizes[r.toxic] for r in rows]))
 
 
 def probabilities(x: np.ndarray, weights: np.ndarray | None) -> np.ndarray:

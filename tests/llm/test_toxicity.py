@@ -62,6 +62,24 @@ def test_held_out_accuracy(spark):
     assert clean.count() == sum(r.predicted == 0 for r in rows.values())
 
 
+def test_class_ratio_does_not_depend_on_the_sample(spark, monkeypatch):
+    """Sampled rows weigh as many as the distinct labelled training texts of their label."""
+    rows = [(i, f"{'zorgl you' if i % 8 == 0 else 'plain'} text {i % 1200}", int(i % 8 == 0)) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "toxic")
+    texts = {(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5}
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda x, y, w: seen.append((y, w)) or fit(x, y, w))
+    for sample in (10_000, 100):
+        monkeypatch.setattr(toxicity, "SAMPLE", sample)
+        toxicity.train(docs, labels)
+        y, w = seen.pop()
+        for label in (0, 1):
+            whole = sum(v == label for _, v in texts)
+            assert (y == label).sum() == min(sample, whole)
+            assert w[y == label].sum() == pytest.approx(whole)
+
+
 @pytest.mark.parametrize("marks", [[], [(4, 1, 0), (5, 0, 1), (None, None, None)]])
 def test_odd_rows(spark, odd_documents, no_documents, marks):
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
