@@ -37,7 +37,8 @@ KINDS = (
     ("key", KEY, r"[A-Za-z0-9+/_-]{24}", 24),
 )
 BASE = ("assign", "access", "hex")
-#: Owners or repositories from which on a value counts as a copied example.
+#: Owners from which on a value counts as a copied example; with this many repositories
+#: two owners do. A single owner's value is never one.
 COPIED_OWNERS = 3
 COPIED_REPOSITORIES = 3
 OPEN, MID, SHUT, SPARE = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -113,7 +114,8 @@ def ownership(found: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
         .withColumn(
             "copied",
-            (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES),
+            (F.col("owners") >= COPIED_OWNERS)
+            | ((F.col("owners") >= 2) & (F.col("repositories") >= COPIED_REPOSITORIES)),
         )
     )
 

@@ -74,3 +74,12 @@ def test_redaction_keeps_all_rows(spark, odd_documents):
     out = secret_scan.redact(odd_documents)
     assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
     assert out.where(F.col("doc_id") == 7).first().text.count("[secret]") == 2
+
+
+def test_one_owners_value_is_never_a_copied_example(spark):
+    key = "Abcdefgh1234Abcdefgh1234"
+    rows = [(i, f"password=livevalue99 {key}", lang, "owner") for i, lang in enumerate(("en", "de", "fr", "es"))]
+    rows += [(9 + i, "password=shared12345", lang, f"owner{i % 2}") for i, lang in enumerate(("en", "de", "fr"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for r in secret_scan.redact(docs).collect():
+        assert r.text == ("[secret] [secret]" if r.doc_id < 9 else "password=shared12345")
