@@ -130,13 +130,27 @@ def mix(
     seed: str = "mix",
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of `docs` (doc_id, source, text)."""
-    sized = pin(docs.select("doc_id", "source", word_count().alias("size")))
+    return mixed_rows(docs, weights, share, cap, block, seed).drop("source", "text_hash")
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights=(5, 2, 1),
+    share: float = 1.5,
+    cap: int = 2,
+    block: int = BLOCK,
+    seed: str = "mix",
+) -> DataFrame:
+    """The columns of `mix`, and source and text_hash, which tell the rows of one id apart."""
+    sized = pin(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash")))
     sources = pin(source_targets(sized, weights, share, cap))
     buckets = max(1, -(-sized.count() // BUCKET))
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     stream = (
         sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
-        .select("doc_id", "size", "sid", "source_size", "target", order.alias("key"))
+        .select(
+            "doc_id", sized["source"], "text_hash", "size", "sid", "source_size", "target", order.alias("key")
+        )
         .withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
     )
     sums = stream.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
@@ -147,7 +161,7 @@ def mix(
     )
     within = F.sum("size").over(
         Window.partitionBy("sid", "bucket")
-        .orderBy("key", "doc_id", "size")
+        .orderBy("key", "doc_id", "size", "text_hash")
         .rowsBetween(Window.unboundedPreceding, 0)
     ) - F.col("size")
     placed = (
@@ -155,7 +169,8 @@ def mix(
         .join(before, ["sid", "bucket"])
         .withColumn("start", F.col("before") + F.col("within"))
     )
-    own = ["doc_id", "size", "sid", "source_size", "target", "start"]
+    own = ["doc_id", "source", "text_hash", "size", "sid", "source_size", "target", "start"]
+    names = ["doc_id", "source", "text_hash", "size", "source_size", "target"]
     passes = placed.where("size > 0").withColumn(
         "at", F.explode(F.array(*[F.col("start") + e * F.col("source_size") for e in range(cap)]))
     )
@@ -169,27 +184,31 @@ def mix(
         .groupBy(*own)
         .agg(F.sum(F.when(F.col("hit"), overlap).otherwise(F.lit(0))).cast("long").alias("taken"))
     )
-    return taken.select("doc_id", "size", "source_size", "target", "taken").union(
-        placed.where("size = 0").select(
-            "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")
-        )
+    return taken.select(*names, "taken").union(
+        placed.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """`docs` as the mix holds them: a document stands once for each time that the mix
     takes all or most of it, and not at all if it takes less than half. A document without
-    words (null, empty or blank text) has nothing to take or leave and stands once."""
+    words (null, empty or blank text) has nothing to take or leave and stands once. Rows of
+    one id, source and text, null or not, are one document here and share what it is given."""
     times = F.try_divide(F.sum("taken"), F.sum("size"))
     copies = (
-        mix(docs, **options)
-        .groupBy("doc_id")
+        mixed_rows(docs, **options)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
         .agg(F.when(F.sum("size") == 0, F.lit(1.0)).otherwise(times).alias("times"))
-        .select("doc_id", F.floor(F.col("times") + 0.5).cast("int").alias("_copies"))
+        .select("_id", "_source", "_hash", F.floor(F.col("times") + 0.5).cast("int").alias("_copies"))
         .where("_copies > 0")
     )
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_id"))
+        & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.xxhash64("text") == F.col("_hash"))
+    )
     return (
-        docs.join(copies, "doc_id")
+        docs.join(copies, same)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(*docs.columns)
     )

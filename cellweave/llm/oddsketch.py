@@ -148,7 +148,7 @@ def odd_sketch(items: np.ndarray) -> tuple[bytes, int]:
 
 #: A pair of blocks of a bucket.
 KEY = ("bucket", "first", "second")
-SKETCHED = "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary, filled int"
+SKETCHED = "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch binary, filled int"
 
 
 def sketch(batches):
@@ -167,6 +167,7 @@ def sketch(batches):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch["doc_id"],
+                    "text_hash": batch["text_hash"],
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "key": pa.array(keys, pa.binary()),
                     "bands": pa.array(bands, pa.list_(pa.int64())),
@@ -322,8 +323,13 @@ def confirm(batches):
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of `docs` (doc_id, text)."""
+    return grouped_rows(docs).drop("text_hash")
+
+
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """The columns of `groups` and text_hash, which tells the texts of one id apart."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = pin(text.mapInArrow(sketch, SKETCHED))
+    sketched = pin(text.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sketch, SKETCHED))
     nodes = pin(
         sketched.where("n_shingles > 0 and doc_id is not null")
         .groupBy("key")
@@ -382,10 +388,11 @@ def groups(docs: DataFrame) -> DataFrame:
     whole = components(links.union(more))
     named = nodes.select("key", "id").join(whole, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
     return (
-        sketched.select("doc_id", "n_shingles", "key")
+        sketched.select("doc_id", "text_hash", "n_shingles", "key")
         .join(named, "key", "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         )
@@ -394,9 +401,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is the first of its group."""
-    gone = groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` whose text is in a group with no smaller id, each judged by its own text.
+
+    Rows of a null id are all kept.
+    """
+    gone = (
+        grouped_rows(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    )
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir):

@@ -155,12 +155,19 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "lang", put: str = "[secret]") -> DataFrame:
-    """`docs` with live-looking spans replaced in `text` and `n_chars` brought up to date."""
+    """`docs` with live-looking spans replaced in `text` and `n_chars` brought up to date.
+
+    Rows meet their spans by id and text, so null and repeated ids are replaced too.
+    """
     spans = (
         scan(docs, owner, repository)
-        .select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"]).alias("_spans"))
+        .select(
+            F.col("doc_id").alias("_id"),
+            F.col("text_hash").alias("_hash"),
+            F.filter("spans", lambda s: s["live"]).alias("_spans"),
+        )
         .where(F.size("_spans") > 0)
-        .dropDuplicates(["doc_id", "text_hash"])
+        .dropDuplicates(["_id", "_hash"])
     )
 
     def cut(acc, s):
@@ -173,7 +180,8 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "lang", put
 
     whole = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
     text = F.concat(whole["out"], F.substr(F.col("text"), whole["at"] + 1, F.char_length("text")))
-    marked = docs.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    marked = docs.join(spans, same, "left")
     changed = marked.withColumn("_new", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
     return changed.select(
         *[

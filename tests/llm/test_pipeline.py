@@ -98,6 +98,25 @@ def test_odd_documents_in_each_stage(spark, odd_documents, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.packed(spark, out, str(tmp_path)).collect()} >= {1, 2, 3}
 
 
+def test_null_and_repeated_ids(spark):
+    """Each row is judged by its own text: none is lost or kept for its id alone."""
+    word = " ".join(f"w{i}" for i in range(40))
+    rows = [
+        (None, "password=livevalue99 one two three", "en", "a", 34),
+        (1, word, "en", "a", len(word)),
+        (2, word, "en", "a", len(word)),
+        (2, "another text of the same id that nothing links", "en", "a", 46),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = oddsketch.deduplicate(docs)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r[0], r[1]) for r in rows if r[:2] != (2, word))
+    safe = {r.doc_id: r.text for r in secret_scan.redact(docs).where("doc_id is null").collect()}
+    assert safe == {None: "[secret] one two three"}
+    # all is taken twice; the rows of one id apart
+    out = Counter((r.doc_id, r.text) for r in mixture.mixed_documents(docs, share=2.0, block=1).collect())
+    assert out == Counter({(r[0], r[1]): 2 for r in rows})
+
+
 def test_kept_documents_are_unlinked(stages):
     _, _, d2 = stages[1]
     assert oddsketch.groups(d2).where("not kept").count() == 0
