@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import bitslice, gated_lm, lattice, mixture, oddsketch, packing, pii, secret_scan, toxicity, url_trust
+from . import (
+    bitslice,
+    gated_lm,
+    lattice,
+    line_dedup,
+    mixture,
+    oddsketch,
+    packing,
+    pii,
+    secret_scan,
+    toxicity,
+    url_trust,
+)
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
@@ -15,5 +27,6 @@ QUERIES = {
     "op8_weak_supervision_pii": pii.query,
     "op9_toxicity": toxicity.query,
     "op10_source_mix": mixture.query,
+    "op12_line_dedup": line_dedup.query,
 }
-SQL: dict[str, str] = {"op10_source_mix": mixture.SQL}
+SQL: dict[str, str] = {"op10_source_mix": mixture.SQL, "op12_line_dedup": line_dedup.SQL}
