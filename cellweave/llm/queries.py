@@ -11,9 +11,11 @@ from . import (
     oddsketch,
     packing,
     pii,
+    prefix_trie,
     secret_scan,
     toxicity,
     url_trust,
+    va_clusters,
 )
 
 QUERIES = {
@@ -27,6 +29,13 @@ QUERIES = {
     "op8_weak_supervision_pii": pii.query,
     "op9_toxicity": toxicity.query,
     "op10_source_mix": mixture.query,
+    "op11_va_clusters": va_clusters.query,
     "op12_line_dedup": line_dedup.query,
+    "op13_prefix_trie": prefix_trie.query,
+}
+SQL: dict[str, str] = {
+    "op10_source_mix": mixture.SQL,
+    "op11_va_clusters": va_clusters.SQL,
+    "op12_line_dedup": line_dedup.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
-SQL: dict[str, str] = {"op10_source_mix": mixture.SQL, "op12_line_dedup": line_dedup.SQL}
