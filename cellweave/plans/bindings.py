@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from cellweave.functions.calendar import month_start
 from cellweave.functions.missing import ratio
 from cellweave.functions.physics import cell_area
+from cellweave.operators.integrate import attach_static, column_integral
 from cellweave.operators.lookup import first_values, ordered_values, ordinal_in
 from cellweave.operators.scenario import pair_runs, with_differences
+from cellweave.sources.array_files import write_arrays
+from cellweave.sources.maps import write_map
+from cellweave.sources.shared import fingerprint, kept_buckets, kept_path, kept_table
 from cellweave.sources.tables import read_files
 
 # Depth in metres of line numbers 1 to 7.
@@ -71,9 +75,9 @@ class Views:
     @cached_property
     def early(self) -> Views:
         """The same views restricted to the first months of each run."""
-        early = Views(self.spark, self.folder, FIRST_MONTHS)
+        early = type(self)(self.spark, self.folder, FIRST_MONTHS)
         early._tables = self._tables
-        early.periods = self.periods
+        early.calendar, early.periods = self.calendar, self.periods
         return early
 
     @cached_property
@@ -93,18 +97,33 @@ class Views:
             F.col("l_tax").alias("tax"),
         )
 
+    def source_key(self, *names: str) -> str:
+        """Fingerprint of the files of these tables."""
+        return fingerprint(self.spark, [f"{self.folder}/{name}.parquet" for name in names])
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """(phase, time): the months of the treated runs, kept from the first plan that
+        needs them, so that no plan scans the lines for its months."""
+        treated = self._all_lines.filter(F.col("scenario") == "O")
+        return kept_table(
+            self.spark,
+            "calendar",
+            self.source_key("lineitem"),
+            lambda: treated.select("phase", "time").distinct().coalesce(1),
+        )
+
     @cached_property
     def periods(self) -> Column:
         """The months of each treated run in order."""
-        return ordered_values(self._all_lines.filter(F.col("scenario") == "O"), "time", "phase")
+        return ordered_values(self.calendar, "time", "phase")
 
     def _early_rows(self, lines: DataFrame, keys: list[str]) -> DataFrame:
         if self.first is None:
             return lines
         if "phase" in keys:
             return lines.filter(ordinal_in(self.periods, "phase", "time") <= self.first)
-        treated = self._all_lines.filter(F.col("scenario") == "O")
-        early = first_values(treated, "time", "phase", self.first)
+        early = first_values(self.calendar, "time", "phase", self.first)
         return lines.filter(F.array_contains(early, F.col("time")))
 
     @cached_property
@@ -349,6 +368,57 @@ class Views:
             F.col("_v.values").alias("values"),
         )
 
+    @cached_property
+    def array_files(self) -> str:
+        """Folder of array files: two variables on (time, eta, xi), 64 time steps a file."""
+
+        def write(path: str) -> None:
+            blocks = self.table("embeddings").select(
+                F.array(F.col("vec_id").cast("int"), F.lit(0), F.lit(0)).alias("starts"),
+                F.array(F.lit(1), F.lit(8), F.lit(8)).alias("sizes"),
+                F.col("embedding").cast("array<double>").alias("alk"),
+                F.reverse(F.col("embedding").cast("array<double>")).alias("dic"),
+            )
+            write_arrays(blocks, path, ["time", "eta", "xi"], steps=64)
+
+        return kept_path(self.spark, "arrays", self.source_key("embeddings"), write)
+
+    @cached_property
+    def run_files(self) -> dict[str, str]:
+        """A file per treated run with its cells of the surface layer."""
+
+        def write(path: str) -> None:
+            for run in RUNS:
+                cells = self.treated.filter((F.col("phase") == run) & (F.col("depth") == 0)).drop("phase")
+                cells.write.parquet(f"{path}/run_{run}.parquet")
+
+        path = kept_path(self.spark, "runs", self.source_key("lineitem"), write)
+        return {run: f"{path}/run_{run}.parquet" for run in RUNS}
+
+    @cached_property
+    def series_by_place(self) -> str:
+        """Folder of the raw series in a ``year=/location=`` layout."""
+
+        def write(path: str) -> None:
+            placed = self.series.withColumns(
+                {"year": F.year("ts"), "location": F.substring("region", 1, 1).cast("int")}
+            )
+            dealt = placed.repartition("year", "location")
+            dealt.write.partitionBy("year", "location").parquet(path)
+
+        return kept_path(self.spark, "series", self.source_key("orders"), write)
+
+    @cached_property
+    def map_cells(self) -> DataFrame:
+        """Column amounts with position, laid out for maps."""
+
+        def write(path: str) -> None:
+            amounts = column_integral(self.paired, ["phase", "cell", "time"])
+            write_map(attach_static(amounts, self.area, ["cell"]).drop("area"), path, group_bytes=1 << 18)
+
+        path = kept_path(self.spark, "map", self.source_key("lineitem", "supplier"), write)
+        return read_files(self.spark, [path])
+
     def _water(self, df: DataFrame) -> DataFrame:
         """Stand-in sea-water state from the raw measures of a cell."""
         return df.select(
@@ -374,3 +444,31 @@ class Views:
     @cached_property
     def treated_water(self) -> DataFrame:
         return self._water_means(self.treated_lines, ["phase", "cell", "depth"]).drop("dic")
+
+
+class StagedViews(Views):
+    """The views over one table of paired cells in buckets of the cell, kept between plans.
+
+    Everything that groups, ranks or joins by cell and further columns reads the buckets in
+    place: the cells are shuffled once, when the table is written, and never again.
+    """
+
+    #: Buckets for tables of this size; a cluster's table takes a few per core.
+    buckets = 16
+
+    def _kept(self, name: str, build) -> DataFrame:
+        return kept_buckets(self.spark, name, self.source_key("lineitem"), build, "cell", self.buckets)
+
+    def _whole(self) -> Views:
+        """All rows of all runs, whatever this object is restricted to."""
+        return Views(self.spark, self.folder)
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        kept = self._kept("paired", lambda: self._whole().paired)
+        return self._early_rows(kept, ["phase", "time"])
+
+    @cached_property
+    def surface(self) -> DataFrame:
+        kept = self._kept("surface", lambda: self._whole().surface)
+        return self._early_rows(kept, ["phase", "time"])

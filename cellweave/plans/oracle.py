@@ -565,3 +565,39 @@ oracle("removal_potential_cells", "SELECT *, cdr_pot / 1e6 AS cdr_pot_e6 FROM po
 oracle("removal_potential_total", """SELECT phase, coalesce(sum(cdr_pot), 0) AS cum_cdr_pot
        FROM potential GROUP BY phase""",
        "phase", "cum_cdr_pot", POTENTIAL)
+
+
+# --- layouts --------------------------------------------------------------------------
+
+oracle("array_file_block", """SELECT * FROM chunk WHERE time BETWEEN 60 AND 299
+       AND eta BETWEEN 2 AND 5 AND xi BETWEEN 1 AND 3""", "time eta xi", "alk dic")
+oracle("array_file_means", "SELECT eta, xi, count(alk) AS steps, avg(alk) AS alk_mean FROM chunk GROUP BY ALL",
+       "eta xi steps", "alk_mean")
+for _name in ("column_integral_full", "column_integral_top100", "surface_cell_means", "column_cell_means",
+              "column_cell_means_top100", "flux_deviation", "gradient_block_mean", "gradient_deviation"):
+    SQL[f"staged_{_name}"] = SQL[_name]
+oracle("series_of_places", """SELECT r_name AS place, strftime(o_orderdate, '%Y-%m-15') AS yr_mon,
+       avg(o_totalprice / 1000) AS value_mean
+       FROM orders JOIN region ON r_regionkey + 1 = CAST(substr(o_orderpriority, 1, 1) AS INTEGER)
+       WHERE r_name LIKE 'A%' AND year(o_orderdate) >= 1996 GROUP BY ALL""", "place yr_mon", "value_mean")
+
+
+def running(size: int, by: str) -> str:
+    ahead = f"({by} ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)"
+    return f"""SELECT event_id, event_type, sum(value) OVER ({by} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value_sum,
+       CASE WHEN count(value) OVER {ahead} = {size} THEN avg(value) OVER {ahead} END AS value_mean FROM events"""
+
+
+oracle("long_running_series", running(12, ""), "event_id", "value_sum value_mean")
+oracle("long_series_by_user", running(3, "PARTITION BY event_type"), "event_id event_type", "value_sum value_mean")
+oracle("runs_with_a_cut", """SELECT phase, time, count(*) AS cells, sum(alk) AS alk_sum FROM treated
+       WHERE depth = 0 AND (phase = 'A' OR phase = 'N' AND time <= '1998-05') GROUP BY ALL""",
+       "phase time cells", "alk_sum")
+oracle("box_table_membership", """SELECT box, count(*) AS points, avg(value) AS value_mean FROM
+       (SELECT o_totalprice AS value, 5 + (o_orderkey * 37 % 481) / 8.0e0 AS lat,
+           -160 + (o_orderkey * 53 % 561) / 8.0e0 AS lon FROM orders)
+       JOIN (SELECT cell AS box, lat AS y, lon AS x, (cell % 40 + 1) / 16.0e0 AS h FROM points)
+       ON lat BETWEEN y - h AND y + h AND lon BETWEEN x - h AND x + h GROUP BY box""", "box points", "value_mean")
+oracle("map_layout_slice", """SELECT cell, lat, lon, least(dta_column, 100) / 10 AS fill FROM col JOIN area USING (cell)
+       WHERE phase = 'N' AND time = '1996-07' AND lat BETWEEN 10 AND 60 AND lon BETWEEN -155 AND -95""",
+       "cell", "lat lon fill")

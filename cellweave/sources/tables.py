@@ -5,12 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.missing import clean_measures
-
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
+from cellweave.sources.shared import CHECKPOINT_SETTING, shared_root  # noqa: F401
 
 
 def read_files(
@@ -48,6 +47,55 @@ def read_partitions(
     return df
 
 
+def read_files_until(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    cutoffs: Mapping[str, object],
+    wanted: Sequence[str] | None = None,
+    time: str = "time",
+    label: str = "run",
+    schema=None,
+) -> DataFrame:
+    """One scan over named files, of which some count up to a last period only.
+
+    ``paths`` names the files in the order of their runs; ``cutoffs`` gives the last period
+    of those that are not used to their end (the last file of a run, as a rule). ``wanted``
+    selects files: the predicate is on the path that Spark knows of each file, so that the
+    others are left out when files are listed and are never opened. The name comes back
+    in the column ``label``.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    scan = reader.parquet(*paths.values())
+    place = F.col("_metadata.file_path")
+    names = list(paths if wanted is None else wanted)
+
+    def of(name: str) -> Column:
+        own = "/" + paths[name].rstrip("/").rsplit("/", 1)[-1]
+        return place.endswith(own) | place.contains(f"{own}/")
+
+    if wanted is not None:
+        chosen = F.lit(False)
+        for name in names:
+            chosen = chosen | of(name)
+        scan = scan.filter(chosen)
+    run, within = F.lit(None).cast("string"), F.lit(True)
+    for name in names:
+        run = F.when(of(name), F.lit(name)).otherwise(run)
+        if name in cutoffs:
+            within = within & (~of(name) | (F.col(time) <= F.lit(cutoffs[name])))
+    return clean_measures(scan.filter(within).withColumn(label, run))
+
+
+def read_places(spark: SparkSession, path: str, places: DataFrame, on: Sequence[str] = ("location",)) -> DataFrame:
+    """A ``year=/location=`` layout, of the places that are rows of a table.
+
+    Where the table of places is small (Spark measures it), its rows are sent out before
+    the scan and only the folders of these places are listed: the partitions are pruned
+    while the query runs, by what a filter on the other table leaves.
+    """
+    return clean_measures(spark.read.parquet(path)).join(places, list(on))
+
+
 def until(
     df: DataFrame, cutoffs: Mapping[str, object], phase: str = "phase", time: str = "time"
 ) -> DataFrame:
@@ -109,9 +157,7 @@ def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     size of the table.
     """
     spark = df.sparkSession
-    root = root or spark.conf.get(CHECKPOINT_SETTING, None)
-    if not root:
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+    root = root or shared_root(spark)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
