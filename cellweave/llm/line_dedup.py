@@ -71,7 +71,8 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
     )
     lines = marked.select("doc_id", "t1", "t2", F.inline("marks"))
     nameless = F.max(F.when(F.col("doc_id").isNull(), 1).otherwise(0))
-    common = (
+    # written first, so that both sides of the join are plain and a hot line's rows can be split
+    common = pin(
         lines.groupBy("h1", "h2")
         .agg((F.count_distinct("doc_id") + nameless).alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
