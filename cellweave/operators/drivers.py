@@ -28,13 +28,38 @@ def regional_totals(df, keys, sums, boxes=STUDY_BOXES, whole=None) -> DataFrame:
     return totals(expand_regions(df, boxes=boxes, whole=whole), ["region", *keys], sums)
 
 
-def cumulative_uptake(uptake: DataFrame, integrated: DataFrame) -> DataFrame:
-    """Uptake per month, its running sum, and the share of the integrated carbon gain."""
-    monthly = totals(uptake, ["phase", "month"], {"co2_sum_ind": "co2_uptake"})
+def cumulative_uptake(monthly: DataFrame) -> DataFrame:
+    """Add the running sum of the monthly uptake ``co2_sum_ind`` and its share of the
+    integrated carbon gain ``ddic_sum``."""
     summed = running_sum(monthly, ["phase"], "month", "co2_sum_ind", "co2_sum_cum")
-    return summed.join(
-        integrated.select("phase", "month", "ddic_sum"), ["phase", "month"], "left"
-    ).withColumn("fraction", ratio("co2_sum_cum", "ddic_sum"))
+    return summed.withColumn("fraction", ratio("co2_sum_cum", "ddic_sum"))
+
+
+def drivers_of_runs(cells: DataFrame, runs, boxes=STUDY_BOXES) -> DataFrame:
+    """``driver_table`` from cells that hold all runs: (region, phase, time) and measures.
+
+    ``cells`` has wind_speed and co3_prox, and for each run a struct of co2_uptake, alk_pot
+    and ddpco2, NULL where the run has no such cell. Cells are expanded into regions and
+    grouped once, and what belongs to no run meets the runs without a join.
+    """
+    expanded = expand_regions(cells, boxes=boxes)
+    aggregates = [F.avg("wind_speed").alias("wind_avg"), F.avg("co3_prox").alias("co3prox_mean")]
+    for run in runs:
+        aggregates.append(
+            F.struct(
+                F.count(run).alias("cells"),
+                F.lit(run).alias("phase"),
+                sum0(f"{run}.co2_uptake").alias("co2_upsum"),
+                F.avg(f"{run}.alk_pot").alias("alk_pot_mean"),
+                F.avg(f"{run}.ddpco2").alias("ddpco2_mean"),
+            ).alias(run)
+        )
+    grouped = expanded.groupBy("region", "time").agg(*aggregates)
+    return (
+        grouped.withColumn("_run", F.explode(F.array(*runs)))
+        .filter("_run.cells > 0")
+        .select("region", "_run.phase", "time", "_run.co2_upsum", "_run.alk_pot_mean", "wind_avg", "_run.ddpco2_mean", "co3prox_mean")
+    )
 
 
 def driver_table(cells: DataFrame, wind: DataFrame, proxy: DataFrame, boxes=STUDY_BOXES):

@@ -61,7 +61,8 @@ def pair_runs(
     scan and one shuffle, where separate tables need a scan and a shuffle per
     side. Rows combine per key before the shuffle, so a key that holds a large
     share of the rows arrives as one partial row per task. The result has one
-    row per key and treated run, with control means under the suffix ``_con``.
+    row per key and treated run, with control means under the suffix ``_con``. A run that
+    is not among ``runs`` is an error: it would be lost.
     """
     names = (*runs, control)
     aggregates = []
@@ -70,7 +71,9 @@ def pair_runs(
         aggregates.append(F.count(F.when(here, F.lit(1))).alias(f"_rows_{i}"))
         for out, value in measures.items():
             aggregates.append(F.avg(F.when(here, as_column(value))).alias(f"_{out}_{i}"))
-    wide = rows.filter(F.col(run).isin(*names)).groupBy(*keys).agg(*aggregates)
+    unknown = F.concat(F.lit("unknown run: "), F.coalesce(F.col(run).cast("string"), F.lit("NULL")))
+    known = F.when(F.col(run).isin(*names), F.lit(True)).otherwise(F.raise_error(unknown).cast("boolean"))
+    wide = rows.filter(known).groupBy(*keys).agg(*aggregates)
     treated = F.array(
         *[
             F.when(
@@ -115,6 +118,14 @@ def drop_land(df: DataFrame, measures: Iterable[str]) -> DataFrame:
     return df.dropna("any", subset=list(measures))
 
 
+def require_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df``, or an error where a key is missing: NULL keys would meet no partner in a join."""
+    for key in keys:
+        missing = F.raise_error(F.lit(f"missing key: {key}")).cast("boolean")
+        df = df.filter(F.when(F.col(key).isNotNull(), F.lit(True)).otherwise(missing))
+    return df
+
+
 def missing_share(
     whole: DataFrame, part: DataFrame, keys: Sequence[str], total: str
 ) -> DataFrame:

@@ -83,6 +83,15 @@ def against_reference(
     return df.join(reference, date, "inner").dropna("any", subset=[value, "reference"])
 
 
+def beside_reference(df: DataFrame, is_reference: Column, value: str, date: str = "yr_mon") -> DataFrame:
+    """Add ``reference``: the value of the series that is the reference, on equal dates.
+
+    One pass: the window sees the few series of a date, and no row meets another in a join.
+    """
+    window = Window.partitionBy(date)
+    return df.withColumn("reference", F.max(F.when(is_reference, F.col(value))).over(window))
+
+
 def reference_series(df: DataFrame, region_value: str, value: str, region: str = "region"):
     return df.filter(F.col(region) == region_value).select(
         "yr_mon", F.col(value).alias("reference")

@@ -21,9 +21,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.calendar import month_start
+from cellweave.functions.calendar import mid_month, month_seconds, month_start
 from cellweave.functions.missing import ratio
-from cellweave.functions.physics import cell_area
+from cellweave.functions.physics import cell_area, monthly_uptake
 from cellweave.operators.integrate import attach_static, column_integral
 from cellweave.operators.lookup import first_values, ordered_values, ordinal_in
 from cellweave.operators.scenario import pair_runs, with_differences
@@ -42,6 +42,8 @@ CONTROL = "control"
 CELL_KEY = ("cell", "depth", "time")
 FIRST_MONTHS = 24
 REFERENCE_REGION = "1-URGENT"
+# The region whose values are checked, and the least that counts there.
+CHECKED_REGION, CHECKED_LEAST = "3-MEDIUM", 20000.0
 REGIONS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
@@ -91,6 +93,7 @@ class Views:
             F.col("l_linenumber").alias("layer"),
             depth.alias("depth"),
             month_start("l_shipdate").alias("time"),
+            F.col("l_shipdate").alias("day"),
             F.col("l_quantity").alias("quantity"),
             F.col("l_extendedprice").alias("price"),
             F.col("l_discount").alias("discount"),
@@ -301,6 +304,37 @@ class Views:
             )
         )
 
+    @cached_property
+    def driver_cells(self) -> DataFrame:
+        """(cell, time) with position, area, wind_speed, co3_prox and a column per treated
+        run that holds its uptake, unused alkalinity and gradient: one grouping of the lines."""
+        surface, control = F.col("layer") == 1, F.col("scenario") == "F"
+
+        def means(here: Column, name: str) -> list[Column]:
+            return [
+                F.avg(F.when(here & surface, F.col("quantity"))).alias(f"q_{name}"),
+                (F.avg(F.when(here & surface, F.col("price"))) / 1000.0).alias(f"p_{name}"),
+            ]
+
+        aggregates = [(F.avg("tax") * 100.0).alias("wind_speed"), *means(control, CONTROL)]
+        for run in RUNS:
+            here = ~control & (F.col("phase") == run)
+            aggregates += [F.count(F.when(here, F.lit(1))).alias(f"rows_{run}"), *means(here, run)]
+        wide = attach_static(self.lines.groupBy("cell", "time").agg(*aggregates), self.area, ["cell"])
+        q, p = F.col(f"q_{CONTROL}"), F.col(f"p_{CONTROL}")
+        runs = {}
+        for run in RUNS:
+            dta, ddic = F.col(f"q_{run}") - q, F.col(f"p_{run}") - p
+            measures = F.struct(
+                monthly_uptake(dta, "area", month_seconds("time")).alias("co2_uptake"),
+                (dta - ddic).alias("alk_pot"),
+                ((F.col(f"p_{run}") - F.col(f"q_{run}")) - (p - q)).alias("ddpco2"),
+            )
+            runs[run] = F.when(F.col(f"rows_{run}") > 0, measures)
+        return wide.select(
+            "cell", "time", "lat", "lon", "wind_speed", (q - p).alias("co3_prox"), *[c.alias(n) for n, c in runs.items()]
+        )
+
     @cached_property
     def points(self) -> DataFrame:
         """(cell) with lat, lon, value."""
@@ -320,11 +354,13 @@ class Views:
         )
 
     @cached_property
-    def line_metrics(self) -> DataFrame:
-        """(region, yr_mon) with depth_26_mean, salt_26_mean from the lines of each order.
+    def monthly(self) -> DataFrame:
+        """(region, yr_mon) with sst_mean, t50_mean, depth_26_mean, salt_26_mean, from one
+        scan of the orders and one of their lines.
 
-        Lines are added up per order before the join, so an order holding a
-        large share of the lines meets its one order row as a single row.
+        Lines are added up per order before the join, so an order holding a large share of
+        the lines meets its one order row as a single row. Low values of one region do not
+        count as sst; the reference region has no line metrics.
         """
         per_order = (
             self.table("lineitem")
@@ -338,14 +374,19 @@ class Views:
         orders = self.table("orders").select(
             "o_orderkey",
             F.col("o_orderpriority").alias("region"),
-            F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), F.lit(15)).alias("yr_mon"),
+            F.col("o_orderdate").alias("ts"),
+            F.col("o_totalprice").alias("value"),
         )
+        counts = (F.col("region") != CHECKED_REGION) | (F.col("value") >= CHECKED_LEAST)
+        measured = F.col("region") != REFERENCE_REGION
         return (
-            orders.join(per_order, "o_orderkey", "inner")
-            .groupBy("region", "yr_mon")
+            orders.join(per_order, "o_orderkey", "left")
+            .groupBy("region", mid_month("ts").alias("yr_mon"))
             .agg(
-                ratio(F.sum("quantity"), F.sum("lines")).alias("depth_26_mean"),
-                ratio(F.sum("discount") * 100.0, F.sum("lines")).alias("salt_26_mean"),
+                F.avg(F.when(counts, F.col("value") / 1000.0)).alias("sst_mean"),
+                F.avg(F.col("value") / 10000.0).alias("t50_mean"),
+                F.when(measured, ratio(F.sum("quantity"), F.sum("lines"))).alias("depth_26_mean"),
+                F.when(measured, ratio(F.sum("discount") * 100.0, F.sum("lines"))).alias("salt_26_mean"),
             )
         )
 
@@ -446,6 +487,29 @@ class Views:
         return self._water_means(self.treated_lines, ["phase", "cell", "depth"]).drop("dic")
 
 
+class MonthViews(Views):
+    """The views restricted to one treated run, its control, and one of its months.
+
+    The month is known by its number; its dates come from the calendar before the lines are
+    read, as bounds of the raw date and of the run that reach the scan.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, phase: str, month: int):
+        super().__init__(spark, folder)
+        self.phase, self.month = phase, month
+
+    def _bound(self, months: int) -> Column:
+        own = self.calendar.filter(F.col("phase") == self.phase)
+        first = F.get(F.sort_array(F.collect_set("time")), F.lit(self.month - 1))
+        return own.agg(F.add_months(first, months).cast("timestamp_ntz")).scalar()
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        run = (F.col("scenario") == "F") | (F.col("phase") == self.phase)
+        day = F.col("day")
+        return self._all_lines.filter(run & (day >= self._bound(0)) & (day < self._bound(1)))
+
+
 class StagedViews(Views):
     """The views over one table of paired cells in buckets of the cell, kept between plans.
 

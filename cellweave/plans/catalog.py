@@ -26,8 +26,13 @@ from cellweave.operators.lookup import attach_lookup, attach_ordinal
 from cellweave.operators.slices import map_slice
 from cellweave.plans.bindings import (
     CELL_KEY,
+    CHECKED_LEAST,
+    CHECKED_REGION,
+    FIRST_MONTHS,
     REFERENCE_REGION,
     REGIONS,
+    RUNS,
+    MonthViews,
     Views,
 )
 from cellweave.sources import chunks as arrays
@@ -90,7 +95,8 @@ def product(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFra
 
 @product
 def scenario_difference_native(v: Views) -> DataFrame:
-    treated = scenario.drop_land(until(v.treated, RUN_ENDS), ["alk"])
+    cells = scenario.drop_land(until(v.treated, RUN_ENDS), ["alk"])
+    treated = scenario.require_keys(cells, ["phase", *CELL_KEY])
     paired = scenario.pair_with_control(
         treated,
         v.control,
@@ -302,8 +308,14 @@ def regional_uptake(v: Views) -> DataFrame:
 
 @product
 def cumulative_uptake(v: Views) -> DataFrame:
-    integrated = ensemble.number_rows(domain_integral_native(v.early), ["phase"], "time")
-    return drivers.cumulative_uptake(drivers.with_uptake(placed_surface(v)), integrated)
+    """Uptake at the surface against the gain of all layers, from one pass over the cells."""
+    cells = domain_cells(v.early)
+    uptake = physics.monthly_uptake("dta", "area", calendar.month_seconds("time"))
+    sums = {"co2_sum_ind": F.when(F.col("depth") == 0, uptake), "ddic_sum": "ddic_mol"}
+    monthly = v.early.with_month(integrate.totals(cells, ["phase", "time"], sums)).drop("time")
+    return drivers.cumulative_uptake(monthly).select(
+        "phase", "month", "co2_sum_ind", "co2_sum_cum", "ddic_sum", "fraction"
+    )
 
 
 @product
@@ -320,6 +332,15 @@ def regional_proxy(v: Views) -> DataFrame:
 
 @product
 def driver_table(v: Views) -> DataFrame:
+    found = v.early.with_month(drivers.drivers_of_runs(v.early.driver_cells, RUNS))
+    return found.filter(F.col("month") <= FIRST_MONTHS).select(
+        "region", "phase", "month", "time", *drivers.MEASURES
+    )
+
+
+@product
+def driver_table_joined(v: Views) -> DataFrame:
+    """The same from tables that are apart: cells of the runs, wind and proxy by region."""
     wind = drivers.regional_means(placed_wind(v.early), ["time"], {"wind_avg": "wind_speed"})
     return drivers.driver_table(
         drivers.with_uptake(placed_surface(v)), wind, regional_proxy(v.early)
@@ -566,7 +587,7 @@ def subducted_under_current(v: Views) -> DataFrame:
 
 
 def sst_series(v: Views) -> DataFrame:
-    checked = series.quality_rule(v.series, "3-MEDIUM", F.col("value") >= 20000.0)
+    checked = series.quality_rule(v.series, CHECKED_REGION, F.col("value") >= CHECKED_LEAST)
     return series.monthly_series(checked, {"sst_mean": F.col("value") / 1000.0})
 
 
@@ -576,10 +597,7 @@ def sst_anomalies(v: Views) -> DataFrame:
 
 @product
 def regional_monthly_series(v: Views) -> DataFrame:
-    t50 = series.monthly_series(v.series, {"t50_mean": F.col("value") / 10000.0})
-    metrics = v.line_metrics.filter(F.col("region") != REFERENCE_REGION)
-    joined = scenario.merge_runs(sst_series(v), t50, ["region", "yr_mon"])
-    return scenario.merge_runs(joined, metrics, ["region", "yr_mon"])
+    return v.monthly
 
 
 @product
@@ -600,29 +618,21 @@ def running_annual_mean(v: Views) -> DataFrame:
 @product
 def anomaly_correlation(v: Views) -> DataFrame:
     found = sst_anomalies(v).select("region", "yr_mon", "sst_anom")
-    reference = series.reference_series(found, REFERENCE_REGION, "sst_anom")
-    others = found.filter(F.col("region") != REFERENCE_REGION)
-    pairs = series.against_reference(others, reference, "sst_anom")
+    beside = series.beside_reference(found, F.col("region") == REFERENCE_REGION, "sst_anom")
+    pairs = beside.filter(F.col("region") != REFERENCE_REGION).dropna("any", subset=["sst_anom", "reference"])
     return pairs.groupBy("region").agg(series.correlation("reference", "sst_anom").alias("cor"))
 
 
-def metric_table(v: Views) -> DataFrame:
+# Short names of the measures of a month.
+METRICS = {"t50_mean": "t50", "depth_26_mean": "depth26", "salt_26_mean": "salt26"}
+
+
+def metric_table(v: Views, measures=METRICS) -> DataFrame:
     """Long (region, yr_mon, metric, metric_mean), metrics under their short names."""
-    t50 = series.monthly_series(v.series, {"t50_mean": F.col("value") / 10000.0})
-    metrics = v.line_metrics.filter(F.col("region") != REFERENCE_REGION)
-    wide = scenario.merge_runs(t50, metrics, ["region", "yr_mon"])
-    long = series.lengthen(
-        wide,
-        ["region", "yr_mon"],
-        ["t50_mean", "depth_26_mean", "salt_26_mean"],
-        "metric",
-        "metric_mean",
-    )
-    short = (
-        F.when(F.col("metric") == "t50_mean", "t50")
-        .when(F.col("metric") == "depth_26_mean", "depth26")
-        .when(F.col("metric") == "salt_26_mean", "salt26")
-    )
+    long = series.lengthen(v.monthly, ["region", "yr_mon"], list(measures), "metric", "metric_mean")
+    short = F.lit(None).cast("string")
+    for name, own in measures.items():
+        short = F.when(F.col("metric") == name, F.lit(own)).otherwise(short)
     return long.withColumn("metric", short)
 
 
@@ -647,11 +657,16 @@ def metric_running_means(v: Views) -> DataFrame:
 
 @product
 def metric_correlation(v: Views) -> DataFrame:
+    """Each metric of each region against the anomalies of the reference region's sst,
+    which runs along as a metric of its own."""
+    table = metric_table(v, {**METRICS, "sst_mean": "sst"})
     found = series.anomalies(
-        metric_table(v), ["region", "metric"], "metric_mean", "metric_clim", "metric_anom"
-    )
-    reference = series.reference_series(sst_anomalies(v), REFERENCE_REGION, "sst_anom")
-    pairs = series.against_reference(found, reference, "metric_anom")
+        table.filter((F.col("metric") != "sst") | F.col("metric_mean").isNotNull()),
+        ["region", "metric"], "metric_mean", "metric_clim", "metric_anom",
+    )
+    is_reference = (F.col("metric") == "sst") & (F.col("region") == REFERENCE_REGION)
+    beside = series.beside_reference(found, is_reference, "metric_anom")
+    pairs = beside.filter(F.col("metric") != "sst").dropna("any", subset=["metric_anom", "reference"])
     return pairs.groupBy("region", "metric").agg(
         series.correlation("reference", "metric_anom").alias("cor")
     )
@@ -714,14 +729,13 @@ def open_box_means(v: Views) -> DataFrame:
 
 @product
 def map_of_column_alkalinity(v: Views) -> DataFrame:
-    cells = integrate.attach_static(
-        v.with_month(column_amounts(v, top100=False)), v.area, ["cell"]
-    )
+    """Month and run reach the scan; nothing else is paired."""
+    one = MonthViews(v.spark, v.folder, "N", 10)
+    cells = integrate.attach_static(column_amounts(one, top100=False), v.area, ["cell"])
     return map_slice(
         cells,
         "dta_column",
         phase="N",
-        month=10,
         box=STUDY_BOXES[-1],
         cap=100.0,
         blank_zero=True,

@@ -17,7 +17,7 @@ from cellweave.plans import catalog
 from cellweave.plans.bindings import StagedViews, Views, position
 from cellweave.plans.catalog import PRODUCTS, labelled, product
 from cellweave.sources.array_files import read_arrays
-from cellweave.sources.tables import read_files_until, read_places
+from cellweave.sources.tables import read_files, read_files_until, read_places
 
 #: The block of the grid that is read from the array files: start and count.
 BLOCK = {"time": (60, 240), "eta": (2, 4), "xi": (1, 3)}
@@ -100,6 +100,17 @@ def runs_with_a_cut(v: Views) -> DataFrame:
     return cells.groupBy("phase", "time").agg(F.count(F.lit(1)).alias("cells"), sum0("alk").alias("alk_sum"))
 
 
+@product
+def listed_run_files(v: Views) -> DataFrame:
+    """One scan over a list of three files, counted per file."""
+    scan = read_files(v.spark, list(v.run_files.values()), provenance="path")
+    return (
+        scan.withColumn("file", F.regexp_extract("path", r"/(run_[^/]*)\.parquet", 1))
+        .groupBy("file")
+        .agg(F.count(F.lit(1)).alias("cells"), sum0("dic").alias("dic_sum"))
+    )
+
+
 def many_boxes(v: Views) -> DataFrame:
     """A box around each customer's position, from a cell to some degrees wide."""
     half = (F.col("c_custkey") % 40 + 1) / F.lit(16.0)

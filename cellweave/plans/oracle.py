@@ -601,3 +601,6 @@ oracle("box_table_membership", """SELECT box, count(*) AS points, avg(value) AS
 oracle("map_layout_slice", """SELECT cell, lat, lon, least(dta_column, 100) / 10 AS fill FROM col JOIN area USING (cell)
        WHERE phase = 'N' AND time = '1996-07' AND lat BETWEEN 10 AND 60 AND lon BETWEEN -155 AND -95""",
        "cell", "lat lon fill")
+oracle("listed_run_files", """SELECT 'run_' || phase AS file, count(*) AS cells, sum(dic) AS dic_sum
+       FROM treated WHERE depth = 0 GROUP BY phase""", "file cells", "dic_sum")
+SQL["driver_table_joined"] = SQL["driver_table"]

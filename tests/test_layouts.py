@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from cellweave.operators import boxes as b
 from cellweave.operators import long_series as ls
+from cellweave.operators import scenario, series
 from cellweave.plans.bindings import Views
 from cellweave.plans.catalog import PRODUCTS
 from cellweave.plans.layouts import STAGED
@@ -53,14 +54,49 @@ def scan_metrics(df):
 # --- the calendar and the buckets -----------------------------------------------------
 
 
-@pytest.mark.parametrize("name, lines", [("cumulative_uptake", 2), ("driver_table", 3), ("weighted_mixing_depth", 2),
-                                         ("subducted_under_current", 2), ("surface_drivers_weighted", 3)])
+@pytest.mark.parametrize("name, lines", [("cumulative_uptake", 1), ("driver_table", 1), ("weighted_mixing_depth", 2),
+                                         ("subducted_under_current", 2), ("surface_drivers_weighted", 3),
+                                         ("driver_table_joined", 3), ("driver_correlations", 1)])
 def test_months_come_from_the_calendar(spark, name, lines):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert plan.count("lineitem.parquet") == lines  # one for each main branch
     assert "Subquery" in plan and "kept/calendar-" in plan
 
 
+@pytest.mark.parametrize("name", ["regional_monthly_series", "metric_anomalies", "metric_running_means", "metric_correlation"])
+def test_orders_are_read_once(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert plan.count("orders.parquet") == 1 and plan.count("lineitem.parquet") == 1
+
+
+def test_month_and_run_of_a_map_reach_the_scan(spark):
+    plan = plan_of(QUERIES["map_of_column_alkalinity"](spark, SMALL))
+    assert plan.count("lineitem.parquet") == 1
+    scan = next(x for x in plan.split("\n") if "FileScan" in x and "lineitem" in x)
+    assert "Or(EqualTo(l_linestatus,F),EqualTo(l_returnflag,N))" in scan
+    assert re.search(r"DataFilters: .*l_shipdate#\d+ >= Subq", scan)  # a bound that is known before the scan
+
+
+def test_series_beside_its_reference(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("b", 1, 5.0), ("b", 3, 7.0)], "region string, yr_mon int, x double")
+    found = series.beside_reference(df, F.col("region") == "a", "x")
+    assert rows(found, "region", "yr_mon") == [("a", 1, 2.0, 2.0), ("a", 2, None, None), ("b", 1, 5.0, 2.0), ("b", 3, 7.0, None)]
+
+
+@pytest.mark.parametrize("run", ["X", None])
+def test_unknown_runs_are_not_lost(spark, run):
+    raw = spark.createDataFrame([(1, "A", 1.0), (1, run, 2.0)], "cell int, run string, x double")
+    with pytest.raises(Exception, match="unknown run: (X|NULL)"):
+        scenario.pair_runs(raw, ["cell"], "run", ["A", "N"], "control", {"x": "x"}).collect()
+
+
+def test_keys_must_be_there(spark):
+    df = spark.createDataFrame([(1, 2), (1, None)], "cell int, depth int")
+    assert scenario.require_keys(df, ["cell"]).count() == 2
+    with pytest.raises(Exception, match="missing key: depth"):
+        scenario.require_keys(df, ["cell", "depth"]).collect()
+
+
 @pytest.fixture
 def no_broadcast(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
