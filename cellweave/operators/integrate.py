@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +41,14 @@ def with_cell_area(df: DataFrame, lat: str = "lat", out: str = "area") -> DataFr
     return df.withColumn(out, cell_area(lat))
 
 
-def totals(df: DataFrame, keys: Sequence[str], sums: Mapping[str, ColumnLike]) -> DataFrame:
+def totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    sums: Mapping[str, ColumnLike],
+    add: Callable[[ColumnLike], Column] = sum0,
+) -> DataFrame:
     """Sums that skip missing cells; one pass for all of them. No keys: one row."""
-    return df.groupBy(*keys).agg(*[sum0(value).alias(out) for out, value in sums.items()])
+    return df.groupBy(*keys).agg(*[add(value).alias(out) for out, value in sums.items()])
 
 
 def means(df: DataFrame, keys: Sequence[str], averages: Mapping[str, ColumnLike]) -> DataFrame:

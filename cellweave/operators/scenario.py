@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,7 @@ def pair_runs(
     control: str,
     measures: Mapping[str, ColumnLike],
     label: str = "phase",
+    mean: Callable[[Column], Column] = F.avg,
 ) -> DataFrame:
     """Pair treated runs with the control when all of them are rows of one table.
 
@@ -70,7 +71,7 @@ def pair_runs(
         here = F.col(run) == name
         aggregates.append(F.count(F.when(here, F.lit(1))).alias(f"_rows_{i}"))
         for out, value in measures.items():
-            aggregates.append(F.avg(F.when(here, as_column(value))).alias(f"_{out}_{i}"))
+            aggregates.append(mean(F.when(here, as_column(value))).alias(f"_{out}_{i}"))
     unknown = F.concat(F.lit("unknown run: "), F.coalesce(F.col(run).cast("string"), F.lit("NULL")))
     known = F.when(F.col(run).isin(*names), F.lit(True)).otherwise(F.raise_error(unknown).cast("boolean"))
     wide = rows.filter(known).groupBy(*keys).agg(*aggregates)

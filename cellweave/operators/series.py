@@ -18,10 +18,12 @@ def monthly_series(
     averages: Mapping[str, ColumnLike],
     region: str = "region",
     moment: str = "ts",
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Mean per region and month, dated at mid-month."""
+    """Mean per region and month, dated at mid-month, and any ``extra`` aggregates."""
     return df.groupBy(region, mid_month(moment).alias("yr_mon")).agg(
-        *[F.avg(as_column(value)).alias(out) for out, value in averages.items()]
+        *[F.avg(as_column(value)).alias(out) for out, value in averages.items()],
+        *[aggregate.alias(out) for out, aggregate in (extra or {}).items()],
     )
 
 

@@ -8,13 +8,15 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.functions.missing import sum0
+from cellweave.functions.exact import exact_mean, exact_sum
+from cellweave.functions.missing import ratio, sum0
+from cellweave.functions.physics import thickness_full
 from cellweave.functions.regions import STUDY_BOXES
-from cellweave.operators import long_series, series
+from cellweave.operators import integrate, long_series, scenario, series
 from cellweave.operators.boxes import join_boxes
 from cellweave.operators.slices import map_slice
 from cellweave.plans import catalog
-from cellweave.plans.bindings import StagedViews, Views, position
+from cellweave.plans.bindings import CELL_KEY, CONTROL, RUNS, StagedViews, Views, position
 from cellweave.plans.catalog import PRODUCTS, labelled, product
 from cellweave.sources.array_files import read_arrays
 from cellweave.sources.tables import read_files, read_files_until, read_places
@@ -138,3 +140,31 @@ def map_layout_slice(v: Views) -> DataFrame:
     """A month and box of the map layout: few row groups are read."""
     month = v.map_cells.filter((F.col("phase") == "N") & (F.col("time") == F.lit(date(1996, 7, 1))))
     return map_slice(month, "dta_column", box=STUDY_BOXES[-1], cap=100.0, divide_by=10.0, ids=("cell", "lat", "lon"))
+
+
+#: Products whose values are the same bits in any order of the rows, and in any engine:
+#: they are compared as they are.
+EXACT = ("exact_integrated_series", "exact_monthly_totals")
+
+
+@product
+def exact_integrated_series(v: Views) -> DataFrame:
+    """The depth integral of all cells per phase and month, from pairing to sum in exact
+    accumulation."""
+    rows = v.lines.withColumn("run", v.run)
+    paired = scenario.pair_runs(
+        rows, list(CELL_KEY), "run", RUNS, CONTROL, {"alk": F.col("quantity"), "dic": F.col("price")}, mean=exact_mean
+    )
+    thickness = thickness_full("depth")
+    sums = {
+        "dta_sum": (F.col("alk") - F.col("alk_con")) * thickness,
+        "ddic_sum": (F.col("dic") / 1000.0 - F.col("dic_con") / 1000.0) * thickness,
+    }
+    found = integrate.totals(paired, ["phase", "time"], sums, add=lambda x: F.coalesce(exact_sum(x), F.lit(0.0)))
+    return found.withColumn("cdr_eff", ratio("ddic_sum", "dta_sum"))
+
+
+@product
+def exact_monthly_totals(v: Views) -> DataFrame:
+    """Sum and mean per region and month of the raw series."""
+    return series.monthly_series(v.series, {}, extra={"total": exact_sum("value"), "mean": exact_mean("value")})

@@ -604,3 +604,32 @@ oracle("map_layout_slice", """SELECT cell, lat, lon, least(dta_column, 100) / 10
 oracle("listed_run_files", """SELECT 'run_' || phase AS file, count(*) AS cells, sum(dic) AS dic_sum
        FROM treated WHERE depth = 0 GROUP BY phase""", "file cells", "dic_sum")
 SQL["driver_table_joined"] = SQL["driver_table"]
+
+
+# --- exact accumulation ---------------------------------------------------------------
+
+
+def exact_sum(value: str) -> str:
+    """Whole parts and 2**-60ths as integers, rounded when they are summed."""
+    parts = f"sum(CAST(floor(({value} - floor({value})) * 1152921504606846976e0) AS HUGEINT))"
+    return (f"(CAST(sum(CAST(floor({value}) AS HUGEINT)) + {parts} // 1152921504606846976 AS DOUBLE) "
+            f"+ CAST(CAST({parts} % 1152921504606846976 AS BIGINT) AS DOUBLE) / 1152921504606846976e0)")
+
+
+def exact_mean(value: str) -> str:
+    return f"{exact_sum(value)} / CAST(count({value}) AS DOUBLE)"
+
+
+SQL["exact_monthly_totals"] = f"""SELECT o_orderpriority AS region, strftime(o_orderdate, '%Y-%m-15') AS yr_mon,
+    {exact_sum('o_totalprice')} AS total, {exact_mean('o_totalprice')} AS mean FROM orders GROUP BY ALL"""
+SQL["exact_integrated_series"] = f"""
+WITH li AS ({BASE['li']}),
+treated AS (SELECT phase, cell, depth, time, {exact_mean('q')} AS alk, {exact_mean('p')} / 1000 AS dic
+    FROM li WHERE scenario = 'O' GROUP BY ALL),
+control AS (SELECT cell, depth, time, {exact_mean('q')} AS alk_con, {exact_mean('p')} / 1000 AS dic_con
+    FROM li WHERE scenario = 'F' GROUP BY ALL),
+amounts AS (SELECT phase, time, (alk - alk_con) * ({THICKNESS}) AS a, (dic - dic_con) * ({THICKNESS}) AS d
+    FROM treated LEFT JOIN control USING (cell, depth, time)),
+sums AS (SELECT phase, time, coalesce({exact_sum('a')}, 0) AS dta_sum, coalesce({exact_sum('d')}, 0) AS ddic_sum
+    FROM amounts GROUP BY ALL)
+SELECT *, ddic_sum / nullif(dta_sum, 0) AS cdr_eff FROM sums"""
