@@ -12,6 +12,7 @@ from . import (
     packing,
     pii,
     prefix_trie,
+    reference,
     secret_scan,
     toxicity,
     url_trust,
@@ -34,6 +35,9 @@ QUERIES = {
     "op13_prefix_trie": prefix_trie.query,
 }
 SQL: dict[str, str] = {
+    "op3_bit_sliced_search": reference.EXACT_SEARCH,
+    "op4_lattice_dedup": reference.LATTICE_DEDUP,
+    "op6_odd_sketch_dedup": reference.ODD_SKETCH_DEDUP,
     "op10_source_mix": mixture.SQL,
     "op11_va_clusters": va_clusters.SQL,
     "op12_line_dedup": line_dedup.SQL,
