@@ -71,14 +71,17 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
     )
     lines = marked.select("doc_id", "t1", "t2", F.inline("marks"))
     nameless = F.max(F.when(F.col("doc_id").isNull(), 1).otherwise(0))
-    # written first, so that both sides of the join are plain and a hot line's rows can be split
-    common = pin(
+    common = (
         lines.groupBy("h1", "h2")
         .agg((F.count_distinct("doc_id") + nameless).alias("docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
+        .select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "keeper")
     )
+    # met on one hash and compared on the other: both sides are then dealt for this join
+    # alone, and adaptive execution can split the rows of a hot line
+    same = (F.col("h1") == F.col("c1")) & (F.col("h2").bitwiseXOR(F.col("c2")) == 0)
     return (
-        lines.join(common, ["h1", "h2"])
+        lines.join(common, same)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "t1", "t2")
         .agg(F.collect_set("pos").alias("positions"))
