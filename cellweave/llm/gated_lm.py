@@ -4,7 +4,9 @@ Words fall into 256 classes: the end of a document, the most frequent words, and
 others the ending of the word. A gated recurrent network reads classes. Its output is
 factored: a softmax over groups of classes, a softmax over the classes of the group, and
 within a class the word's smoothed share of it. The recurrent state is carried across
-windows from a document's first word to its end, in training and in scoring.
+windows: in scoring from a document's first word to its end, in training from the first to
+the last word of each part, where documents of more than `RUN` words are laid out in parts
+of that size so that streams stay even.
 
 Word counts are summed by Spark over the whole training part. The network learns from
 every training document once, in three rounds of data-parallel descent: each task starts
@@ -196,22 +198,34 @@ class Streams:
         # the end of one document is what the next one's first word follows
         self.input = np.vstack([np.zeros((1, count), np.uint8), self.target[:-1]])
 
+    def live(self, low: int, high: int, count: int) -> np.ndarray | None:
+        """Which steps of a window hold words, flat; None if all do."""
+        if self.loads[count - 1] >= high:
+            return None
+        return (np.arange(low, high)[:, None] < self.loads[None, :count]).ravel()
+
     def windows(self, size: int):
         for low in range(0, len(self.target), size):
             yield low, min(low + size, len(self.target)), int((self.loads > low).sum())
 
 
-def choice(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probabilities of the places `at` under a softmax, and the gradient of
-    minus their sum. Works in place."""
-    rows = np.arange(len(at))
-    x -= x.max(1, keepdims=True)
-    picked = x[rows, at]
+def choice(x: np.ndarray, at: np.ndarray, learn: bool) -> np.ndarray:
+    """Natural log probabilities of the places `at` under a softmax down the columns of x;
+    with `learn`, x becomes the gradient of minus their sum. Works in place."""
+    columns = np.arange(len(at))
+    x -= x.max(0)
+    picked = x[at, columns]
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    x /= total
-    x[rows, at] -= 1
-    return picked - np.log(total[:, 0]), x
+    total = x.sum(0)
+    if learn:
+        x /= total
+        x[at, columns] -= 1
+    return picked - np.log(total)
+
+
+def _thirds(x: np.ndarray) -> list[np.ndarray]:
+    """The columns of both gates and of the candidate, apart."""
+    return [np.ascontiguousarray(x[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3)]
 
 
 class Network:
@@ -219,82 +233,107 @@ class Network:
         self.w = weights
 
     def run(self, inputs, starts, h, keep: bool):
-        """States after each step, and what backpropagation needs."""
-        w, steps, gates = self.w, [], 2 * HIDDEN
-        # a gate is (1 + tanh(x / 2)) / 2; the halves go into the weights
-        x, u = w["x"] + w["b"], w["u"].copy()
-        x[:, :gates] *= 0.5
-        u[:, :gates] *= 0.5
-        a, fresh = x[inputs], starts.any(1)
-        out = np.empty((*inputs.shape, HIDDEN), x.dtype)
+        """States after each step, and what backpropagation needs: the states before, both
+        gates as tanh(x / 2), the candidates, and half of what the reset gate lets through.
+
+        A gate is (1 + tanh(x / 2)) / 2. All halves go into the weights or sums, and each
+        gate has an array of its own, so that no step works on strided rows.
+        """
+        half = np.float32(0.5)
+        x, (uz, ur, un) = self.w["x"] + self.w["b"], _thirds(self.w["u"] * half)
+        x[:, : 2 * HIDDEN] *= half
+        at = inputs.astype(np.intp)
+        zs, rs, ns = (part[at] for part in _thirds(x))
+        fresh, out = starts.any(1), np.empty((*inputs.shape, HIDDEN), x.dtype)
+        before, through = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
         for t in range(len(inputs)):
             if fresh[t]:
                 h = h * ~starts[t][:, None]
-            g = h @ u
-            zr, n = a[t, :, :gates], a[t, :, gates:]
-            zr += g[:, :gates]
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n += r * g[:, gates:]
-            np.tanh(n, out=n)
+            z, r, n = zs[t], rs[t], ns[t]
+            z += h @ uz
+            np.tanh(z, out=z)
+            r += h @ ur
+            np.tanh(r, out=r)
+            g = h @ un
+            n += g
             if keep:
-                steps.append((h, z, r, n, g[:, gates:]))
-            h = n + z * (h - n)
+                before[t], through[t] = h, g
+            g *= r
+            n += g
+            np.tanh(n, out=n)
+            # n + (1 + z) / 2 * (h - n)
+            h = h - n
+            gate = z + np.float32(1)
+            gate *= half
+            h *= gate
+            h += n
             out[t] = h
-        return out, h, steps
+        return out, h, (before, zs, rs, ns, through)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, learn: bool):
         """Natural log probabilities of the classes `y`; with `learn`, gradients too."""
         w, group, count = self.w, y >> 4, len(y)
-        out, d = choice(h @ w["gw"] + w["gb"], group)
+        x = w["gw"].T @ h.T
+        x += w["gb"][:, None]
+        out = choice(x, group, learn)
         order = np.argsort(group, kind="stable")
         bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
         sorted_h, sorted_y, inner = h[order], y[order] & (PER_GROUP - 1), np.empty(count, h.dtype)
         if learn:
-            d /= count
-            grads = {"gw": h.T @ d, "gb": d.sum(0), "cw": np.zeros_like(w["cw"]), "cb": np.zeros_like(w["cb"])}
-            dh, back = d @ w["gw"].T, np.empty_like(h)
+            x /= count
+            grads = {"gw": (x @ h).T, "gb": x.sum(1), "cw": np.zeros_like(w["cw"]), "cb": np.zeros_like(w["cb"])}
+            dh, back = x.T @ w["gw"].T, np.empty_like(h)
         for k in range(GROUPS):
             own, part = slice(bounds[k], bounds[k + 1]), slice(k * PER_GROUP, (k + 1) * PER_GROUP)
             if own.start == own.stop:
                 continue
-            inner[own], d = choice(sorted_h[own] @ w["cw"][part].T + w["cb"][part], sorted_y[own])
+            x = w["cw"][part] @ sorted_h[own].T
+            x += w["cb"][part][:, None]
+            inner[own] = choice(x, sorted_y[own], learn)
             if learn:
-                d /= count
-                grads["cw"][part] = d.T @ sorted_h[own]
-                grads["cb"][part] = d.sum(0)
-                back[own] = d @ w["cw"][part]
+                x /= count
+                grads["cw"][part] = x @ sorted_h[own]
+                grads["cb"][part] = x.sum(1)
+                back[own] = x.T @ w["cw"][part]
         out[order] += inner
         if learn:
             dh[order] += back
         return (out, grads, dh) if learn else (out, None, None)
 
-    def back(self, inputs, starts, steps, dout, grads) -> None:
+    def back(self, inputs, starts, kept, dout, grads) -> None:
         """Truncated backpropagation through the window's steps."""
-        w, dh = self.w, np.zeros(steps[0][0].shape, dout.dtype)
-        da = np.empty((*inputs.shape, 3 * HIDDEN), dout.dtype)
-        dg = np.empty_like(da)
-        before = np.empty_like(dout)
-        for t in range(len(steps) - 1, -1, -1):
-            h, z, r, n, gn = steps[t]
-            dh = dh + dout[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :HIDDEN] = dh * (h - n) * z * (1 - z)
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * gn * r * (1 - r)
-            da[t, :, 2 * HIDDEN :] = dn
-            dg[t] = da[t]
-            dg[t, :, 2 * HIDDEN :] *= r
-            before[t] = h
-            dh = (dh * z + dg[t] @ w["u"].T) * ~starts[t][:, None]
-        grads["u"] = before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        flat_da, flat_in = da.reshape(-1, 3 * HIDDEN), inputs.ravel()
-        grads["b"] = flat_da.sum(0)
+        before, zs, rs, ns, through = kept
+        half, (uz, ur, un) = np.float32(0.5), (np.ascontiguousarray(u.T) for u in _thirds(self.w["u"]))
+        # whole windows at once: gates from their tanh, and how each moves with its input
+        z, r = (g * half + half for g in (zs, rs))
+        by_z = (before - ns) * (z - z * z)
+        by_r = through * (r - r * r)
+        by_r *= np.float32(2)  # `through` is half of what the gate lets through
+        by_n = (1 - z) * (1 - ns * ns)
+        go_on = ~starts
+        dz, dr, dn, dg = (np.empty_like(dout) for _ in range(4))
+        dh = np.zeros(dout.shape[1:], dout.dtype)
+        for t in range(len(dout) - 1, -1, -1):
+            dh += dout[t]
+            np.multiply(dh, by_z[t], out=dz[t])
+            np.multiply(dh, by_n[t], out=dn[t])
+            np.multiply(dn[t], by_r[t], out=dr[t])
+            np.multiply(dn[t], r[t], out=dg[t])
+            dh *= z[t]
+            dh += dz[t] @ uz
+            dh += dr[t] @ ur
+            dh += dg[t] @ un
+            if not go_on[t].all():
+                dh *= go_on[t][:, None]
+        rows = before.reshape(-1, HIDDEN).T
+        grads["u"] = np.concatenate([rows @ d.reshape(-1, HIDDEN) for d in (dz, dr, dg)], axis=1)
+        da = np.concatenate([dz, dr, dn], axis=2).reshape(-1, 3 * HIDDEN)
+        flat_in = inputs.ravel()
+        grads["b"] = da.sum(0)
         order = np.argsort(flat_in, kind="stable")
         seen, first = np.unique(flat_in[order], return_index=True)
-        grads["x"] = np.zeros_like(w["x"])
-        grads["x"][seen] = np.add.reduceat(flat_da[order], first)
+        grads["x"] = np.zeros_like(self.w["x"])
+        grads["x"][seen] = np.add.reduceat(da[order], first)
 
 
 def learn(weights: dict[str, np.ndarray], documents: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
@@ -310,11 +349,14 @@ def learn(weights: dict[str, np.ndarray], documents: list[np.ndarray], rate: flo
     for step, (low, high, count) in enumerate(laid.windows(WINDOW), 1):
         inputs, starts = laid.input[low:high, :count], laid.start[low:high, :count]
         states, h, steps = net.run(inputs, starts, h[:count], True)
-        live = (np.arange(low, high)[:, None] < laid.loads[None, :count]).ravel()
-        rows = states.reshape(-1, HIDDEN)[live]
-        _, grads, dh = net.outputs(rows, laid.target[low:high, :count].ravel()[live], True)
-        dout = np.zeros((live.size, HIDDEN), np.float32)
-        dout[live] = dh
+        rows, target = states.reshape(-1, HIDDEN), laid.target[low:high, :count].ravel()
+        live = laid.live(low, high, count)
+        if live is None:
+            _, grads, dout = net.outputs(rows, target, True)
+        else:
+            _, grads, dh = net.outputs(rows[live], target[live], True)
+            dout = np.zeros_like(rows)
+            dout[live] = dh
         net.back(inputs, starts, steps, dout.reshape(states.shape), grads)
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
@@ -335,10 +377,13 @@ def log_likelihoods(weights: dict[str, np.ndarray], documents: list[np.ndarray])
     h = np.zeros((laid.target.shape[1], HIDDEN), np.float32)
     for low, high, count in laid.windows(2 * WINDOW):
         states, h, _ = net.run(laid.input[low:high, :count], laid.start[low:high, :count], h[:count], False)
-        live = (np.arange(low, high)[:, None] < laid.loads[None, :count]).ravel()
-        got, _, _ = net.outputs(states.reshape(-1, HIDDEN)[live], laid.target[low:high, :count].ravel()[live], False)
-        part = np.zeros(live.size)
-        part[live] = got
+        rows, target = states.reshape(-1, HIDDEN), laid.target[low:high, :count].ravel()
+        live = laid.live(low, high, count)
+        if live is None:
+            part, _, _ = net.outputs(rows, target, False)
+        else:
+            part = np.zeros(len(rows))
+            part[live], _, _ = net.outputs(rows[live], target[live], False)
         sums[low + 1 : high + 1, :count] = part.reshape(high - low, count)
     # running sums per stream; a document is the difference of two
     np.cumsum(sums, 0, out=sums)
