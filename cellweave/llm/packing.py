@@ -349,6 +349,12 @@ def pack_level(items: DataFrame, shards: int, level: int, capacity: int, filled:
     )
 
 
+def sequence_number(level: int):
+    """A number for each (level, shard, bin), exactly: 7, 32 and 24 bits. Full pieces, which
+    are sequences of their own, have negative numbers."""
+    return F.shiftleft(F.col("shard"), 24).bitwiseOR(F.col("bin").cast("long")).bitwiseOR(F.lit(level << 56).cast("long"))
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, shard: int = SHARD) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of `docs` (doc_id, text)."""
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -367,7 +373,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         done = pin(pack_level(left, shards, level, capacity, 0.0 if last else FILLED))
         whole = done.where("offset is not null").select(
             "uid",
-            F.xxhash64(F.lit(level), "shard", "bin").alias("sequence_id"),
+            sequence_number(level).alias("sequence_id"),
             F.col("offset").cast("long").alias("offset"),
         )
         placed = whole if placed is None else placed.union(whole)
@@ -376,7 +382,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         left = done.where("offset is null").select("uid", "length")
         level += 1
     full = pieces.where(F.col("length") == capacity).select(
-        "uid", F.xxhash64(F.lit(-1), "uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     placed = full if placed is None else placed.union(full)
     return pieces.join(placed, "uid").drop("uid")

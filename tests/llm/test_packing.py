@@ -62,6 +62,35 @@ def test_words_and_white_space(spark):
     held(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=64)
 
 
+def test_sequence_numbers_are_exact(spark):
+    parts = [(s, b) for s in (0, 1, 255, 256, (1 << 32) - 1) for b in (0, 1, 255, 65536, (1 << 24) - 1)]
+    df = spark.createDataFrame(parts, "shard long, bin int")
+    for level in (0, 1, 127):
+        found = {(r.shard, r.bin): r.n for r in df.select("shard", "bin", packing.sequence_number(level).alias("n")).collect()}
+        assert found == {(s, b): level << 56 | s << 24 | b for s, b in parts}
+        assert min(found.values()) >= 0  # full pieces have negative numbers
+
+
+def test_crossover_saves_bins_where_best_fit_does_not_do(spark, monkeypatch):
+    """Two to four pieces make a sequence: the algorithm finds fuller bins than best fit."""
+    rng = random.Random(5)
+    lengths = [rng.randint(1000, 1700) for _ in range(600)]
+    plain = packing.Packing(lengths, 4096)
+    plain.best_fit(sorted(range(600), key=lambda i: -lengths[i]))
+    made = []
+    monkeypatch.setattr(packing, "crossover", lambda *a, cross=packing.crossover: made.append(1) or cross(*a))
+    best = packing.evolve(lengths, 4096, [], 3, packing.GENERATIONS, packing.POPULATION)[0]
+    assert len(made) >= 50 and len(best.bins) <= len(plain.bins) - 3
+    assert sorted(i for b in best.bins for i in b) == list(range(600))
+    # the same through islands and levels
+    short = [n // 50 for n in lengths[:300]]
+    plain = packing.Packing(short, 82)
+    plain.best_fit(sorted(range(300), key=lambda i: -short[i]))
+    docs = spark.createDataFrame([(i, "a " * (n - 1)) for i, n in enumerate(short)], "doc_id long, text string")
+    used, _ = held(docs, capacity=82)
+    assert used < len(plain.bins)
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(1)
     lengths = [rng.randint(1, 60) for _ in range(200)]
