@@ -38,8 +38,9 @@ PERCENT = 80
 BANDS, PER_BAND = 20, 4
 SAMPLE_BITS = 10
 SKETCH_BITS = 11
-#: How far below the threshold an estimate may lie for its pair to be confirmed exactly.
-MARGIN = 0.05
+#: How many standard errors below the threshold an estimate may lie for its pair to be
+#: confirmed exactly.
+ERRORS = 6.0
 BLOCK = 1024
 SEED = 4_000_037
 #: Bytes of text that are hashed together.
@@ -204,6 +205,24 @@ def estimates(sketches: np.ndarray, filled: np.ndarray, sizes: np.ndarray, a: sl
     return same / held + 2 / held
 
 
+def spread(union: np.ndarray) -> np.ndarray:
+    """Standard error of `estimates` at the threshold, for unions of these sizes.
+
+    Three errors add up: how many ranges the union fills, which members the ranges choose,
+    and how evenly the parities of their difference fall.
+    """
+    bits, ranges, alike = float(1 << SKETCH_BITS), float(1 << SAMPLE_BITS), PERCENT / 100
+    load = union / ranges
+    empty = np.exp(-load)
+    held = ranges * -np.expm1(-load)
+    fills = ranges * empty * (1 - (1 + load) * empty) * alike**2
+    chosen = alike * (1 - alike) * held * np.maximum(0.0, 1 - held / union)
+    apart = 2 * (1 - alike) * held
+    left = np.exp(-2 * apart / bits)
+    parity = np.maximum(0.0, bits / 4 * (1 - left**2) - apart * left**2) / left**2 / 4
+    return np.sqrt(np.maximum(0.0, fills) + chosen + parity) / held
+
+
 def strongest_forest(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a maximum spanning forest of a symmetric matrix; -1 is no edge (Boruvka's rounds)."""
     n = len(weight)
@@ -245,7 +264,9 @@ def candidates(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of one group's pairs, and which are to be confirmed; with two blocks, pairs across them."""
     sketches = np.stack([np.frombuffer(s, np.uint64) for s in rows["sketch"]])
     near = estimates(sketches, rows["filled"], rows["n_shingles"], slice(None), slice(None))
-    allowed = near >= PERCENT / 100 - MARGIN
+    sizes = rows["n_shingles"].astype(float)
+    union = (sizes[:, None] + sizes[None, :]) / (1 + PERCENT / 100)
+    allowed = near >= PERCENT / 100 - ERRORS * spread(union)
     allowed &= rows["id"][:, None] != rows["id"][None, :]
     if rows["first"][0] != rows["second"][0]:
         allowed &= rows["block"][:, None] != rows["block"][None, :]

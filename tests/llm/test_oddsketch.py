@@ -104,3 +104,26 @@ def test_estimates_are_close_and_forest_spans():
     w = np.maximum(w, w.T)
     i, j = oddsketch.strongest_forest(np.where(w > 0.3, w, -1))
     assert len(i) == 39
+
+
+def test_filter_loses_no_pair_at_the_threshold():
+    """Pairs of similarity 0.8, the least that links: none of thousands is filtered out, and
+    the standard error that the margin rests on is the one that shows."""
+    rng = np.random.default_rng(3)
+    for union, pairs in ((10, 1500), (200, 1500), (1000, 1500), (3000, 600), (20000, 60)):
+        found = []
+        for _ in range(pairs):
+            items = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+            own = union // 10
+            a, b = np.sort(items[own:]), np.sort(np.r_[items[:own], items[2 * own :]])
+            made = [oddsketch.odd_sketch(x) for x in (a, b)]
+            rows = {
+                "sketch": [m[0] for m in made], "filled": np.array([m[1] for m in made]), "n_shingles": np.array([len(a), len(b)]),
+                "id": np.array([1, 2]), "first": np.array([0]), "second": np.array([0]),
+            }
+            near, allowed = oddsketch.candidates(rows)
+            assert allowed[0, 1]
+            found.append(near[0, 1])
+        if union >= 1000:
+            shown, stated = np.std(found), oddsketch.spread(np.array(float(union)))
+            assert 0.6 * stated < shown < 1.3 * stated
