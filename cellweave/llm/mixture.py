@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, pin, running_total
+from .shared import WORD, free_name, pin, running_total
 
 #: Words of one slot.
 BLOCK = 256
@@ -195,22 +195,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words (null, empty or blank text) has nothing to take or leave and stands once. Rows of
     one id, source and text, null or not, are one document here and share what it is given."""
     times = F.try_divide(F.sum("taken"), F.sum("size"))
+    copy, number = free_name("copy", docs.columns), free_name("number", docs.columns)
     copies = (
         mixed_rows(docs, **options)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
+        .groupBy("doc_id", "source", "text_hash")
         .agg(F.when(F.sum("size") == 0, F.lit(1.0)).otherwise(times).alias("times"))
-        .select("_id", "_source", "_hash", F.floor(F.col("times") + 0.5).cast("int").alias("_copies"))
-        .where("_copies > 0")
+        .withColumn("n", F.floor(F.col("times") + 0.5).cast("int"))
+        .where("n > 0")
+        .select(F.struct("doc_id", "source", "text_hash", "n").alias(copy))
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.xxhash64("text") == F.col("_hash"))
+        F.col("doc_id").eqNullSafe(F.col(copy)["doc_id"])
+        & F.col("source").eqNullSafe(F.col(copy)["source"])
+        & (F.xxhash64("text") == F.col(copy)["text_hash"])
     )
     return (
         docs.join(copies, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        .withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copy)["n"])))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_group, components, pin
+from .shared import by_group, components, free_name, pin
 
 WORDS = 4
 #: A link holds when 100 * intersection >= PERCENT * union.
@@ -426,11 +426,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows of a null id are all kept.
     """
+    own, text_hash = free_name("gone_id", docs.columns), free_name("gone_hash", docs.columns)
     gone = (
-        grouped_rows(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+        grouped_rows(docs).where("not kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()
     )
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    same = (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64("text") == F.col(text_hash))
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir):

@@ -2,12 +2,16 @@
 
 Candidates are found by patterns; their values are hashed, and for each hash the distinct
 owners and repositories that hold it are counted over the whole corpus. A value that many
-owners hold is a copied example; one that a single owner holds looks live. Mixed-case
-keys without a telling name in front become spans of kind `key` only where they look live.
+owners hold is a copied example; one that a single owner holds looks live. Beside the base
+kinds there are values after other telling names and bearer words (`named`), passwords in
+addresses of connections (`login`), bodies of private keys (`pem`) and mixed-case keys
+without anything telling in front (`key`). These become spans only where they look live
+and touch no base span and no added one of a kind before theirs.
 
 Nothing but built-in expressions. Matches are marked by a replacement and their places
 read off the pieces between the marks. Distinct owners are counted in two groupings, so a
-value that fills a third of all rows is combined before it is shuffled.
+value that fills a third of all rows is combined before it is shuffled; its rows meet the
+copied values, and no others, by value and one of `SALTS` numbers, so that they are spread.
 
 Cases: null text is empty and has no spans; repeated rows keep a row each; a null owner
 or repository counts as one of its own; an empty table gives an empty result; other
@@ -19,12 +23,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pin
+from .shared import free_name, pin
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"()(AKIA[A-Z0-9]+)"
 HEX = r"()([0-9a-f]+)"
+# The builder's own patterns of the added kinds.
+NAMED = (
+    r"""((?i:pwd|pass(?:phrase|code)|credentials?|(?:private|access|signing)_key)["']?\x20{0,8}[:=]\x20{0,8}["']?"""
+    r"""|(?i:bearer)\x20{1,8})([A-Za-z0-9+/_.=~-]+)"""
+)
+LOGIN = r"""()((?<=://[^\s/:@"'<>]{1,64}:)[^\s/:@"'<>]{1,256}(?=@))"""
+PEM = r"()((?<=-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)[A-Za-z0-9+/=\s]+(?=-----END))"
 KEY = (
     r"()((?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])"
     r"(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,})"
@@ -34,6 +45,9 @@ KINDS = (
     ("assign", ASSIGN, r"(?i:word|passwd|secret|token|key)[\"' ]*[:=]", 8),
     ("access", ACCESS, r"AKIA[A-Z0-9]{12}", 16),
     ("hex", HEX, r"[0-9a-f]{32}", 32),
+    ("named", NAMED, r"(?i:pwd|passphrase|passcode|credential|_key|bearer)", 8),
+    ("login", LOGIN, r"://[^\s/:@]{1,64}:", 4),
+    ("pem", PEM, r"PRIVATE KEY-----", 64),
     ("key", KEY, r"[A-Za-z0-9+/_-]{24}", 24),
 )
 BASE = ("assign", "access", "hex")
@@ -41,6 +55,8 @@ BASE = ("assign", "access", "hex")
 #: two owners do. A single owner's value is never one.
 COPIED_OWNERS = 3
 COPIED_REPOSITORIES = 3
+#: Tasks over which the rows of one copied value are spread.
+SALTS = 16
 OPEN, MID, SHUT, SPARE = "\ue000", "\ue001", "\ue002", "\ue003"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
@@ -127,26 +143,36 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
     """
     found = candidates(docs, owner, repository)
     empty = "array<struct<start:int,kind:int,end:int,live:boolean>>"
+    copied = ownership(found).where("copied").select(
+        "value_hash", "copied", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
     single = (
         found.select("uid", "doc_id", "text_hash", F.explode("found").alias("s"))
         .withColumn("value_hash", F.sha2("s.value", 256))
-        .join(ownership(found).select("value_hash", "copied"), "value_hash")
+        .withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+        .join(copied, ["value_hash", "salt"], "left")
         .groupBy("uid", "doc_id", "text_hash")
         .agg(
             F.array_sort(
                 F.collect_list(
-                    F.struct("s.start", "s.kind", "s.end", (~F.col("copied")).alias("live"))
+                    F.struct("s.start", "s.kind", "s.end", F.col("copied").isNull().alias("live"))
                 )
             ).alias("all")
         )
     )
     base = F.filter("all", lambda s: s["kind"] < len(BASE))
-    added = F.filter(
-        "all",
-        lambda s: (s["kind"] >= len(BASE))
-        & s["live"]
-        & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+
+    def first(s):
+        """No base span and no live one of an earlier kind touches s."""
+        return ~F.exists(
+            "all",
+            lambda b: (b["kind"] < s["kind"])
+            & (b["live"] | (b["kind"] < len(BASE)))
+            & (b["start"] < s["end"])
+            & (s["start"] < b["end"]),
+        )
+
+    added = F.filter("all", lambda s: (s["kind"] >= len(BASE)) & s["live"] & first(s))
     return single.select("doc_id", "text_hash", F.array_sort(F.concat(base, added)).alias("spans")).union(
         found.where(F.size("found") == 0).select(
             "doc_id", "text_hash", F.array().cast(empty).alias("spans")
@@ -159,15 +185,13 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "lang", put
 
     Rows meet their spans by id and text, so null and repeated ids are replaced too.
     """
+    held = free_name("held", docs.columns)
     spans = (
         scan(docs, owner, repository)
-        .select(
-            F.col("doc_id").alias("_id"),
-            F.col("text_hash").alias("_hash"),
-            F.filter("spans", lambda s: s["live"]).alias("_spans"),
-        )
-        .where(F.size("_spans") > 0)
-        .dropDuplicates(["_id", "_hash"])
+        .select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"]).alias("spans"))
+        .where(F.size("spans") > 0)
+        .dropDuplicates(["doc_id", "text_hash"])
+        .select(F.struct("doc_id", "text_hash", "spans").alias(held))
     )
 
     def cut(acc, s):
@@ -178,17 +202,18 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "lang", put
             F.when(fresh, piece).otherwise(acc["out"]).alias("out"),
         )
 
-    whole = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
+    own = F.col(held)
+    whole = F.aggregate(own["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
     text = F.concat(whole["out"], F.substr(F.col("text"), whole["at"] + 1, F.char_length("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    marked = docs.join(spans, same, "left")
-    changed = marked.withColumn("_new", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(own["doc_id"]) & (F.xxhash64("text") == own["text_hash"])
+    fresh = free_name("fresh", docs.columns)
+    changed = docs.join(spans, same, "left").withColumn(fresh, F.when(own.isNotNull(), text).otherwise(F.col("text")))
     return changed.select(
         *[
-            F.col("_new").alias("text") if c == "text"
-            else F.when(F.col("_spans").isNotNull(), F.char_length("_new").cast("long")).otherwise(F.col(c)).alias(c)
+            F.col(fresh).alias("text") if c == "text"
+            else F.when(own.isNotNull(), F.char_length(fresh).cast("long")).otherwise(F.col(c)).alias(c)
             if c == "n_chars"
-            else F.col(c)
+            else F.col(f"`{c}`")
             for c in docs.columns
         ]
     )

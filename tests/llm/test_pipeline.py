@@ -117,6 +117,23 @@ def test_null_and_repeated_ids(spark):
     assert out == Counter({(r[0], r[1]): 2 for r in rows})
 
 
+CLASHING = ("_id", "_hash", "_source", "_spans", "_copies", "_copy", "_new", "gone_id", "copy", "number", "held", "fresh", "n", "uid", "key", "text_hash")
+
+
+def test_clashing_names_in_each_stage(spark, tmp_path):
+    """Columns named as the stages name theirs come through with their values."""
+    spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, f"password=live{i}value99 one two three {i}", "en", "abc"[i % 3], 40, *[f"{n}{i}" for n in CLASHING]) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.pin(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING], name
+        for r in docs.collect():
+            assert [r[n] for n in CLASHING] == [f"{n}{r.doc_id}" for n in CLASHING], name
+    assert docs.count() > 0 and all(r.text.startswith("[password]") or "[secret]" in r.text for r in docs.collect())
+
+
 def test_kept_documents_are_unlinked(stages):
     _, _, d2 = stages[1]
     assert oddsketch.groups(d2).where("not kept").count() == 0
