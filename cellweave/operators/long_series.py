@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.missing import ColumnLike, as_column
+from cellweave.sources.shared import shared_root
 from cellweave.sources.tables import stage
 
 RANGE, TELL = "_range", "_tell"
@@ -31,7 +32,7 @@ def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
     number of the range and a number that tells equal rows apart."""
     told = df.withColumn(TELL, F.monotonically_increasing_id())
     dealt = told.repartitionByRange(*by, *order, TELL)
-    return stage(dealt.withColumn(RANGE, F.spark_partition_id()), "ranges")
+    return stage(dealt.withColumn(RANGE, F.spark_partition_id()), "ranges", shared_root(df.sparkSession))
 
 
 def running_totals(

@@ -745,6 +745,27 @@ def map_of_column_alkalinity(v: Views) -> DataFrame:
     )
 
 
+def surface_map(v: Views, value: str, **options) -> DataFrame:
+    """A surface measure of one run in its tenth month, over the North-East Pacific."""
+    cells = integrate.attach_static(MonthViews(v.spark, v.folder, "N", 10).surface, v.area, ["cell"])
+    return map_slice(cells, value, phase="N", box=STUDY_BOXES[-1], ids=("cell", "lat", "lon"), **options)
+
+
+@product
+def map_of_flux(v: Views) -> DataFrame:
+    return surface_map(v, "dfg", cap=20.0)
+
+
+@product
+def map_of_gradient(v: Views) -> DataFrame:
+    return surface_map(v, "ddpco2", valid=(-25.0, 25.0))
+
+
+@product
+def map_of_mixing_depth(v: Views) -> DataFrame:
+    return surface_map(v, "hbls", cap=200.0, blank_zero=True)
+
+
 @product
 def closing_step(v: Views) -> DataFrame:
     monthly = numbered_series(v).select("phase", "month", "dta_sum")

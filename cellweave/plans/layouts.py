@@ -86,7 +86,7 @@ def long_running_series(v: Views) -> DataFrame:
 
 
 @product
-def long_series_by_user(v: Views) -> DataFrame:
+def long_series_by_type(v: Views) -> DataFrame:
     """The same for the series of each event type, of which few hold all rows."""
     keys, order = ["event_type"], ["ts", "event_id"]
     ranges = long_series.in_ranges(v.table("events").select("event_id", "ts", "value", *keys), keys, order)

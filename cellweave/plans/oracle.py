@@ -589,7 +589,7 @@ def running(size: int, by: str) -> str:
 
 
 oracle("long_running_series", running(12, ""), "event_id", "value_sum value_mean")
-oracle("long_series_by_user", running(3, "PARTITION BY event_type"), "event_id event_type", "value_sum value_mean")
+oracle("long_series_by_type", running(3, "PARTITION BY event_type"), "event_id event_type", "value_sum value_mean")
 oracle("runs_with_a_cut", """SELECT phase, time, count(*) AS cells, sum(alk) AS alk_sum FROM treated
        WHERE depth = 0 AND (phase = 'A' OR phase = 'N' AND time <= '1998-05') GROUP BY ALL""",
        "phase time cells", "alk_sum")
@@ -633,3 +633,10 @@ amounts AS (SELECT phase, time, (alk - alk_con) * ({THICKNESS}) AS a, (dic - dic
 sums AS (SELECT phase, time, coalesce({exact_sum('a')}, 0) AS dta_sum, coalesce({exact_sum('d')}, 0) AS ddic_sum
     FROM amounts GROUP BY ALL)
 SELECT *, ddic_sum / nullif(dta_sum, 0) AS cdr_eff FROM sums"""
+
+ON_MAP = """FROM surf JOIN months USING (phase, time) JOIN area USING (cell)
+       WHERE phase = 'N' AND month = 10 AND lat BETWEEN 10 AND 60 AND lon BETWEEN -155 AND -95"""
+oracle("map_of_flux", f"SELECT cell, lat, lon, CASE WHEN dfg > 20 THEN 20 ELSE dfg END AS fill {ON_MAP}", "cell", "lat lon fill")
+oracle("map_of_gradient", f"SELECT cell, lat, lon, CASE WHEN ddpco2 BETWEEN -25 AND 25 THEN ddpco2 END AS fill {ON_MAP}",
+       "cell", "lat lon fill")
+oracle("map_of_mixing_depth", f"SELECT cell, lat, lon, nullif(least(hbls, 200), 0) AS fill {ON_MAP}", "cell", "lat lon fill")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.missing import clean_measures
-from cellweave.sources.shared import CHECKPOINT_SETTING, shared_root  # noqa: F401
+from cellweave.sources.shared import CHECKPOINT_SETTING
 
 
 def read_files(
@@ -157,7 +157,9 @@ def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     size of the table.
     """
     spark = df.sparkSession
-    root = root or shared_root(spark)
+    root = root or spark.conf.get(CHECKPOINT_SETTING, None)
+    if not root:
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

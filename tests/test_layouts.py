@@ -77,6 +77,12 @@ def test_month_and_run_of_a_map_reach_the_scan(spark):
     assert re.search(r"DataFilters: .*l_shipdate#\d+ >= Subq", scan)  # a bound that is known before the scan
 
 
+@pytest.mark.parametrize("name", ["map_of_flux", "map_of_gradient", "map_of_mixing_depth"])
+def test_maps_read_the_lines_once(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert plan.count("lineitem.parquet") == 1 and "l_shipdate" in plan and "Subq" in plan
+
+
 def test_series_beside_its_reference(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("b", 1, 5.0), ("b", 3, 7.0)], "region string, yr_mon int, x double")
     found = series.beside_reference(df, F.col("region") == "a", "x")
