@@ -42,7 +42,7 @@ IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z
 SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]{1,63})+"
 )
-# Gazetteers and words of context.
+# Word lists of this module: gazetteers and words of context.
 DOMAIN_ENDS = frozenset("com org net edu gov info io de fr es uk eu it nl ch at be us ca au jp br mx".split())
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "38", "22", "23", "24", "25", "26", "27")
 IBAN_LANDS = frozenset("AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split())

@@ -43,7 +43,7 @@ WINDOW = 6
 LONGEST = 32
 STRIP = ".,;:!?\"'()[]{}<>«»“”„‘’`*_-…¡¿|/\\"
 QUOTES = "\"“”„«»‘’`"
-# Words that report or name a term, and words that address someone.
+# Word lists of this module: words that report or name a term, and words that address someone.
 REPORTING = frozenset(
     "said says called calls wrote word words term quote quoted quotes dit dice sagte wort mot palabra slur insult".split()
 )
