@@ -13,6 +13,7 @@ from cellweave.plans import carbonate_sql as eq
 
 SQL: dict[str, str] = {}
 
+# The thickness of each layer, whole and down to 100 m.
 THICKNESS = (
     "CASE WHEN depth = 0 THEN 2.5 WHEN depth < 80 THEN 5 WHEN depth = 80 THEN 7.5 "
     "WHEN depth = 90 THEN 10 WHEN depth = 100 THEN 15 WHEN depth < 300 THEN 20 ELSE 10 END"
@@ -29,6 +30,7 @@ def area(lat: str) -> str:
     return f"({scale!r}::DOUBLE * cos(radians({lat})) / ({w} * {w}))"
 
 
+# The study boxes.
 BOXES = (
     "(VALUES ('Local', -127e0, -115e0, 27.5e0, 37.5e0), ('CCS', -140e0, -110e0, 22.5e0, 47.5e0), "
     "('NE Pacific', -155e0, -95e0, 10e0, 60e0)) AS b(region, x0, x1, y0, y1)"
