@@ -4,15 +4,15 @@ Words fall into 256 classes: the end of a document, the most frequent words, and
 others the ending of the word. A gated recurrent network reads classes. Its output is
 factored: a softmax over groups of classes, a softmax over the classes of the group, and
 within a class the word's smoothed share of it. The recurrent state is carried across
-windows: in scoring from a document's first word to its end, in training from the first to
-the last word of each part, where documents of more than `RUN` words are laid out in parts
-of that size so that streams stay even.
+windows from a document's first word to its end, in training and in scoring.
 
 Word counts are summed by Spark over the whole training part. The network learns from
 every training document once, in three rounds of data-parallel descent: each task starts
 from the same weights, and their mean by tokens, summed by Spark, starts the next round.
 The driver gets the weights, the class totals and the `HEAD` most frequent words, all of
-fixed size; the counts of other words reach the documents by a join.
+fixed size; the counts of other words reach the documents by a join. Texts are read twice:
+for the counts, and for a table of class sequences (a byte a token) that every round of
+training and the scoring read.
 
 Cases: null and empty texts are the end alone; repeated rows are learned and scored each;
 a null id is held out of nothing, so it is learned from; where nothing can be learned,
@@ -44,8 +44,6 @@ SINGLES = 95
 ENDINGS = CLASSES - 1 - SINGLES
 HIDDEN = 24
 STREAMS, WINDOW = 256, 16
-#: Longest run of a document's words that training lays out in one stream.
-RUN = 4096
 #: Tokens that are laid out in streams together.
 CHUNK = 8_000_000
 #: Sixteenths of the training documents in each round, and its first step size.
@@ -234,40 +232,42 @@ class Network:
 
     def run(self, inputs, starts, h, keep: bool):
         """States after each step, and what backpropagation needs: the states before, both
-        gates as tanh(x / 2), the candidates, and half of what the reset gate lets through.
+        gates, the candidates, and minus twice what the reset gate lets through.
 
-        A gate is (1 + tanh(x / 2)) / 2. All halves go into the weights or sums, and each
-        gate has an array of its own, so that no step works on strided rows.
+        A gate is 1 / (1 + exp(-x)), a candidate 2 / (1 + exp(-2 x)) - 1: exponentials cost
+        a third of hyperbolic tangents here. The factors go into the weights, and each gate
+        has an array of its own, so that no step works on strided rows.
         """
-        half = np.float32(0.5)
-        x, (uz, ur, un) = self.w["x"] + self.w["b"], _thirds(self.w["u"] * half)
-        x[:, : 2 * HIDDEN] *= half
+        one, two = np.float32(1), np.float32(2)
+        factor = np.repeat(np.float32([-1, -1, -2]), HIDDEN)
+        uz, ur, un = _thirds(self.w["u"] * factor)
         at = inputs.astype(np.intp)
-        zs, rs, ns = (part[at] for part in _thirds(x))
-        fresh, out = starts.any(1), np.empty((*inputs.shape, HIDDEN), x.dtype)
+        zs, rs, ns = (part[at] for part in _thirds((self.w["x"] + self.w["b"]) * factor))
+        fresh, out = starts.any(1), np.empty((*inputs.shape, HIDDEN), ns.dtype)
         before, through = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
-        for t in range(len(inputs)):
-            if fresh[t]:
-                h = h * ~starts[t][:, None]
-            z, r, n = zs[t], rs[t], ns[t]
-            z += h @ uz
-            np.tanh(z, out=z)
-            r += h @ ur
-            np.tanh(r, out=r)
-            g = h @ un
-            n += g
-            if keep:
-                before[t], through[t] = h, g
-            g *= r
-            n += g
-            np.tanh(n, out=n)
-            # n + (1 + z) / 2 * (h - n)
-            h = h - n
-            gate = z + np.float32(1)
-            gate *= half
-            h *= gate
-            h += n
-            out[t] = h
+        with np.errstate(over="ignore"):  # exp(-x) of a closed gate may be infinite: 1 / inf is 0
+            for t in range(len(inputs)):
+                if fresh[t]:
+                    h = h * ~starts[t][:, None]
+                z, r, n = zs[t], rs[t], ns[t]
+                for gate, u in ((z, uz), (r, ur)):
+                    gate += h @ u
+                    np.exp(gate, out=gate)
+                    gate += one
+                    np.reciprocal(gate, out=gate)
+                g = h @ un
+                if keep:
+                    before[t], through[t] = h, g
+                g *= r
+                n += g
+                np.exp(n, out=n)
+                n += one
+                np.divide(two, n, out=n)
+                n -= one
+                h = h - n
+                h *= z
+                h += n
+                out[t] = h
         return out, h, (before, zs, rs, ns, through)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, learn: bool):
@@ -302,13 +302,12 @@ class Network:
 
     def back(self, inputs, starts, kept, dout, grads) -> None:
         """Truncated backpropagation through the window's steps."""
-        before, zs, rs, ns, through = kept
-        half, (uz, ur, un) = np.float32(0.5), (np.ascontiguousarray(u.T) for u in _thirds(self.w["u"]))
-        # whole windows at once: gates from their tanh, and how each moves with its input
-        z, r = (g * half + half for g in (zs, rs))
+        before, z, r, ns, through = kept
+        uz, ur, un = (np.ascontiguousarray(u.T) for u in _thirds(self.w["u"]))
+        # whole windows at once: how each gate moves with its input
         by_z = (before - ns) * (z - z * z)
         by_r = through * (r - r * r)
-        by_r *= np.float32(2)  # `through` is half of what the gate lets through
+        by_r *= np.float32(-0.5)
         by_n = (1 - z) * (1 - ns * ns)
         go_on = ~starts
         dz, dr, dn, dg = (np.empty_like(dout) for _ in range(4))
@@ -337,11 +336,7 @@ class Network:
 
 
 def learn(weights: dict[str, np.ndarray], documents: list[np.ndarray], rate: float) -> dict[str, np.ndarray]:
-    """One pass over the documents: a step of Adam for each window, the rate falling to a tenth.
-
-    Documents of more than RUN words are laid out in parts, so that streams stay even.
-    """
-    documents = [d[low : low + RUN] for d in documents for low in range(0, len(d), RUN)]
+    """One pass over the documents: a step of Adam for each window, the rate falling to a tenth."""
     net, laid = Network({k: v.copy() for k, v in weights.items()}), Streams(documents)
     mean = {k: np.zeros_like(v) for k, v in weights.items()}
     square = {k: np.zeros_like(v) for k, v in weights.items()}
@@ -392,31 +387,54 @@ def log_likelihoods(weights: dict[str, np.ndarray], documents: list[np.ndarray])
     return (sums[first + lengths, column] - sums[first, column]) / math.log(10)
 
 
-def batches_of(batches, lexicon: Lexicon):
-    """Lists of (doc_id, class sequence, what the table knows, other words) of CHUNK tokens at most."""
-    held, size = [], 0
+ENCODED = "doc_id long, sequence binary, known long, log_counts double, words array<binary>, times array<long>"
+
+
+def encoding(lexicon: Lexicon):
+    """A map over documents: class sequence, what the table knows, and the other words."""
+
+    def run(batches):
+        for batch in batches:
+            rows: dict[str, list] = {k: [] for k in ("sequence", "known", "log_counts", "words", "times")}
+            for text in batch["text"].cast(pa.binary()).to_pylist():
+                words = words_of(text)
+                places = lexicon.places(words)
+                known = places[places >= 0]
+                others = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
+                rows["sequence"].append(lexicon.sequence(words, places).tobytes())
+                rows["known"].append(len(known))
+                rows["log_counts"].append(float(lexicon.log_count[known].sum()))
+                rows["words"].append(list(others))
+                rows["times"].append(list(others.values()))
+            types = (pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch["doc_id"]} | {k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)}
+            )
+
+    return run
+
+
+def chunks_of(batches, key: str | None = None):
+    """(keys, class sequences) of CHUNK tokens and one document more at most."""
+    keys, held, size = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-            words = words_of(text)
-            places = lexicon.places(words)
-            known = places[places >= 0]
-            others = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
-            sequence = lexicon.sequence(words, places)
-            held.append((doc_id, sequence, len(known), float(lexicon.log_count[known].sum()), others))
+        ids = batch[key].to_pylist() if key else [None] * len(batch)
+        for i, sequence in zip(ids, batch["sequence"].to_pylist(), strict=True):
+            keys.append(i)
+            held.append(np.frombuffer(sequence, np.uint8))
             size += len(sequence)
             if size > CHUNK:
-                yield held
-                held, size = [], 0
+                yield keys, held
+                keys, held, size = [], [], 0
     if held:
-        yield held
+        yield keys, held
 
 
-def learning(lexicon: Lexicon, weights: np.ndarray, rate: float):
-    """A map over training documents: the weights learned from them times their tokens."""
+def learning(weights: np.ndarray, rate: float):
+    """A map over class sequences: the weights learned from them times their tokens."""
 
     def run(batches):
-        for held in batches_of(batches, lexicon):
-            documents = [d[1] for d in held]
+        for _, documents in chunks_of(batches):
             n = sum(map(len, documents))
             got = flat(learn(shaped(weights), documents, rate)).astype(np.float64)
             yield pa.RecordBatch.from_pydict(
@@ -449,7 +467,7 @@ def frequent_words(words: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in rows), key=lambda r: (-r[1], r[0]))
 
 
-def train(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
+def lexicon_of(counts: DataFrame) -> Lexicon:
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where(F.length("word") > 0)
@@ -458,13 +476,18 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
     for w, n in head[:SINGLES]:
         totals[ending(w)][0] -= n
         totals[ending(w)][1] -= 1
-    lexicon = Lexicon(head, {e: tuple(t) for e, t in totals.items()}, ends, tokens, types)
-    weights = flat(first_weights(lexicon.frequency))
+    return Lexicon(head, {e: tuple(t) for e, t in totals.items()}, ends, tokens, types)
+
+
+def train(encoded: DataFrame, frequency: np.ndarray) -> np.ndarray:
+    """Weights from the rows of `encoded` (doc_id, sequence) that are not held out."""
+    weights = flat(first_weights(frequency))
     part = F.pmod(F.floor(crc_of_id() / 7), F.lit(16))
     for low, high, rate in ROUNDS:
         rows = (
-            docs.where(~is_held_out() & F.coalesce((part >= low) & (part < high), F.lit(high == 16)))
-            .mapInArrow(learning(lexicon, weights, rate), "n long, weights array<double>")
+            encoded.where(~is_held_out() & F.coalesce((part >= low) & (part < high), F.lit(high == 16)))
+            .select("sequence")
+            .mapInArrow(learning(weights, rate), "n long, weights array<double>")
             .select("n", F.posexplode("weights").alias("at", "value"))
             .groupBy("at")
             .agg((F.sum("value") / F.sum("n")).alias("value"))
@@ -473,38 +496,29 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, np.ndarray]:
         )
         if rows:
             weights = np.array([r.value for r in rows])
-    return lexicon, weights
+    return weights
 
 
-def scoring(lexicon: Lexicon, weights: np.ndarray):
-    """A map over documents: the network's part, what the table knows, and the other words."""
+def scoring(given: np.ndarray, weights: np.ndarray):
+    """A map over class sequences: tokens, and the log10 probability but for words' counts;
+    `given` is what a class's words are divided by, as log10."""
 
     def run(batches):
         network = shaped(weights)
-        for held in batches_of(batches, lexicon):
-            got = log_likelihoods(network, [d[1] for d in held])
-            for low in range(0, len(held), 2000):
-                some = held[low : low + 2000]
-                shares = [float(lexicon.share[d[1]].sum()) for d in some]
-                alone = [float(lexicon.alone[d[1]].sum()) for d in some]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([d[0] for d in some], pa.int64()),
-                        "n_tokens": pa.array([len(d[1]) for d in some], pa.int64()),
-                        "known": pa.array([d[2] for d in some], pa.int64()),
-                        "log_counts": pa.array([d[3] for d in some], pa.float64()),
-                        "network": pa.array([g - s - a for g, s, a in zip(got[low : low + 2000], shares, alone, strict=True)], pa.float64()),
-                        "words": pa.array([list(d[4]) for d in some], pa.list_(pa.binary())),
-                        "times": pa.array([list(d[4].values()) for d in some], pa.list_(pa.int64())),
-                    }
-                )
+        for keys, documents in chunks_of(batches, "uid"):
+            got = log_likelihoods(network, documents)
+            shares = np.array([given[d].sum() for d in documents])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "uid": pa.array(keys, pa.int64()),
+                    "n_tokens": pa.array([len(d) for d in documents], pa.int64()),
+                    "network": pa.array(got - shares, pa.float64()),
+                }
+            )
 
     return run
 
 
-SCORED = "doc_id long, n_tokens long, known long, log_counts double, network double, words array<binary>, times array<long>"
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -514,10 +528,14 @@ def score(docs: DataFrame) -> DataFrame:
         .groupBy("word")
         .agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
     )
-    lexicon, weights = train(docs, counts)
-    scored = pin(docs.mapInArrow(scoring(lexicon, weights), SCORED).withColumn("uid", F.monotonically_increasing_id()))
+    lexicon = lexicon_of(counts)
+    encoded = pin(docs.mapInArrow(encoding(lexicon), ENCODED).withColumn("uid", F.monotonically_increasing_id()))
+    weights = train(encoded, lexicon.frequency)
+    scored = encoded.select("uid", "sequence").mapInArrow(
+        scoring(lexicon.share + lexicon.alone, weights), "uid long, n_tokens long, network double"
+    )
     others = (
-        scored.select("uid", F.explode(F.arrays_zip("words", "times")).alias("o"))
+        encoded.select("uid", F.explode(F.arrays_zip("words", "times")).alias("o"))
         .select("uid", F.col("o.words").alias("word"), F.col("o.times").alias("times"))
         .join(counts.select("word", "n"), "word")
         .groupBy("uid")
@@ -525,7 +543,7 @@ def score(docs: DataFrame) -> DataFrame:
     )
     ends = lexicon.ends
     log_counts = F.col("log_counts") + F.coalesce("more_log", F.lit(0.0))
-    return scored.drop("words", "times").join(others, "uid", "left").select(
+    return encoded.select("uid", "doc_id", "known", "log_counts").join(scored, "uid").join(others, "uid", "left").select(
         "doc_id",
         is_held_out().alias("held_out"),
         "n_tokens",
