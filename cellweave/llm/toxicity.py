@@ -1,17 +1,21 @@
 """Toxicity: a lexicon trie met with Levenshtein automata, and context-window scores.
 
-The lexicon is learned from labelled training rows: words and word stems that toxic
-documents hold and others do not. Its trie is intersected with Levenshtein automata (one
-edit for terms of `FUZZY_LENGTH` letters and more) and made deterministic, so that all new
-words of a batch run through one transition table together. Each hit is judged by the
-words and marks around it: reporting or quoting on one side, address on the other.
-A logistic model over the counts of hits by distance and context gives the score.
-
-The words are counted by Spark; the driver gets the lexicon (at most `TERMS` rows) and
-the hit counts of at most 2 * `SAMPLE` training rows, the documented bound of the fit.
-Each label's rows weigh in the fit as many as all distinct labelled training texts of that
-label, which Spark counts, so the class ratio does not depend on the bound.
-Scoring is a map over the documents without a shuffle.
+The lexicon is learned from all labelled training texts: words and word stems that toxic
+documents hold and others do not. A term is taken if a likelihood-ratio test over the
+documents sets it apart more clearly than chance would any of the terms counted, and if it
+stands between different words in most of its toxic documents, so that the rare words
+inside copied passages are none. Neither the number of terms nor their share of the documents is
+limited. Its trie is intersected with Levenshtein automata (one edit for terms of
+`FUZZY_LENGTH` letters and more, stems too) and made deterministic, so that all new words
+of a batch run through one transition table together. Each hit is judged by the words and
+marks around it: reporting or quoting on one side, address on the other. A logistic model
+over the counts of hits by distance and context gives the score.
+
+The terms are counted by Spark; the driver gets the lexicon and the hit counts of at most
+2 * `SAMPLE` training rows, the documented bound of the fit. Each label's rows weigh in
+the fit as many as all distinct labelled training texts of that label, which Spark counts,
+so the class ratio does not depend on the bound. Scoring is a map over the documents
+without a shuffle.
 
 Cases: null and empty texts have no hits; repeated rows are scored each; without toxic
 training rows the lexicon is empty and every score is 0; an empty table gives an empty
@@ -20,6 +24,10 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,12 +39,13 @@ from .shared import crc_of_id, pin
 
 #: Training rows of each label that are used, those of least hash.
 SAMPLE = 20_000
-#: Most terms of the lexicon.
-TERMS = 300
-#: Least share of the toxic training rows that hold a term.
-SUPPORT = 0.01
-#: Least ratio of a term's shares among toxic and other rows.
-RATIO = 25.0
+#: Least number of toxic training texts that hold a term, and least ratio of its shares
+#: among toxic and other texts.
+FLOOR, RATIO = 3, 25.0
+#: Least share of a term's toxic texts in which the words around it are new.
+FRESH = 0.5
+#: Terms that a task counts before it hands them on.
+FLUSH = 200_000
 STEMS = (4, 5, 6)
 FUZZY_LENGTH = 5
 WINDOW = 6
@@ -55,18 +64,22 @@ def clean(token: str) -> str:
     return token.strip(STRIP)
 
 
+def words_in(tokens: list[str]) -> set[str]:
+    return {w for w in map(clean, set(tokens)) if 3 <= len(w) < LONGEST - 1}
+
+
+def terms_of(word: str) -> list[str]:
+    """The word and its stems."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+
+
 def count_terms(batches):
-    """(term, toxic, other): documents of the batch with each word and stem, by label."""
-    for batch in batches:
-        counts = (Counter(), Counter())
-        for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-            text = text.as_py()
-            words = {w for w in map(clean, set((text or "").lower().split())) if 3 <= len(w) < LONGEST - 1}
-            terms = set(words)
-            terms.update(f"{w[:n]}*" for w in words for n in STEMS if len(w) > n)
-            counts[1 if toxic else 0].update(terms)
+    """(term, toxic, other): documents with each word and stem, by label."""
+    counts = (Counter(), Counter())
+
+    def out():
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_pydict(
+        return pa.RecordBatch.from_pydict(
             {
                 "term": pa.array(terms, pa.string()),
                 "toxic": pa.array([counts[1][t] for t in terms], pa.int64()),
@@ -74,31 +87,76 @@ def count_terms(batches):
             }
         )
 
+    for batch in batches:
+        for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
+            words = words_in((text.as_py() or "").lower().split())
+            counts[1 if toxic else 0].update({t for w in words for t in terms_of(w)})
+            if len(counts[0]) + len(counts[1]) > FLUSH:
+                yield out()
+                for c in counts:
+                    c.clear()
+    yield out()
+
+
+def find_contexts(batches):
+    """(term, around): for each text's words and stems, a hash of the words around the first."""
+    for batch in batches:
+        found: set[tuple[str, int]] = set()
+        for text in batch["text"].to_pylist():
+            words = [clean(w) for w in (text or "").lower().split()]
+            seen: set[str] = set()
+            for i, word in enumerate(words):
+                if word in seen or not 3 <= len(word) < LONGEST - 1:
+                    continue
+                before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+                around = zlib.crc32(f"{before} {after}".encode())
+                found.update((t, around) for t in terms_of(word) if t not in seen)
+                seen.update(terms_of(word))
+            if len(found) > FLUSH:
+                yield _contexts(found)
+                found.clear()
+        yield _contexts(found)
+
+
+def _contexts(found) -> pa.RecordBatch:
+    pairs = list(found)
+    return pa.RecordBatch.from_pydict(
+        {"term": pa.array([t for t, _ in pairs], pa.string()), "around": pa.array([c for _, c in pairs], pa.int64())}
+    )
+
+
+def significance(toxic: int, other: int):
+    """The log-likelihood ratio of a term's columns `toxic` and `other`, of so many texts of each label."""
+
+    def x_log_x(v):
+        return F.when(v > 0, v * F.log(v)).otherwise(0.0)
 
-def choose_terms(rows, toxic: int, other: int) -> list[str]:
-    """Stems that stand for at least three words, shortest first, then words no stem covers."""
-    least = max(3, SUPPORT * toxic)
-    held = {}
-    for term, n1, n0 in rows:
-        if n1 >= least and (n1 / max(1, toxic)) / ((n0 + 0.5) / max(1, other)) >= RATIO:
-            held[term] = n1
-    words = [t for t in held if not t.endswith("*")]
+    a, c = F.col("toxic").cast("double"), F.col("other").cast("double")
+    n = float(toxic + other)
+    cells = x_log_x(a) + x_log_x(c) + x_log_x(toxic - a) + x_log_x(other - c)
+    edges = x_log_x(a + c) + x_log_x(n - a - c) + sum(v * math.log(v) for v in (toxic, other) if v)
+    return 2 * (cells - edges + n * math.log(n))
+
+
+def choose_terms(held: dict[str, int]) -> list[str]:
+    """The words, and the shortest stems that stand for several of them; `held` has texts by term."""
+    words = sorted(t for t in held if not t.endswith("*"))
     lexicon: list[str] = []
     for stem in sorted((t for t in held if t.endswith("*")), key=lambda t: (len(t), t)):
         root = stem[:-1]
-        covered = any(root.startswith(s[:-1]) for s in lexicon)
-        most = max((held[w] for w in words if w.startswith(root)), default=0)
-        if not covered and most < 0.8 * held[stem]:
+        low = bisect.bisect_left(words, root)
+        own = itertools.takewhile(lambda w: w.startswith(root), itertools.islice(words, low, None))
+        covered = any(f"{root[:n]}*" in lexicon for n in STEMS)
+        if not covered and max((held[w] for w in own), default=0) < 0.8 * held[stem]:
             lexicon.append(stem)
-    lexicon += [w for w in words if not any(w.startswith(s[:-1]) for s in lexicon if s.endswith("*"))]
-    return sorted(lexicon, key=lambda t: (-held[t], t))[:TERMS]
+    return sorted(lexicon + words)
 
 
 class Automaton:
     """The lexicon's trie met with the Levenshtein automata, as one transition table.
 
     Accepting states tell the least distance at which a term is met: 0 or 1. A stem
-    accepts whatever follows it.
+    accepts whatever follows it; short stems and words are met without edits only.
     """
 
     def __init__(self, lexicon: list[str]):
@@ -119,12 +177,17 @@ class Automaton:
                 at = nodes[at][c]
                 path.append(at)
             ends[at] = (ends[at][0] or not stem, ends[at][1] or stem)
-            if len(letters) >= FUZZY_LENGTH and not stem:
+            if len(letters) >= FUZZY_LENGTH:
                 fuzzy.update(path)
                 long.add(at)
         self._nodes, self._ends, self._fuzzy, self._long = nodes, ends, fuzzy, long
         self._build()
 
+    def _at(self, node: int, edits: int) -> tuple[int, int]:
+        """A state; -1 stands for the end of a stem, which whatever follows keeps."""
+        met = self._ends[node][1] and (edits == 0 or node in self._long)
+        return (-1 if met else node), edits
+
     def _closed(self, states):
         out, todo = set(), list(states)
         while todo:
@@ -134,7 +197,7 @@ class Automaton:
             out.add(state)
             node, edits = state
             if node >= 0 and edits == 0:
-                todo += [(n, 1) for n in self._nodes[node].values() if n in self._fuzzy]
+                todo += [self._at(n, 1) for n in self._nodes[node].values() if n in self._fuzzy]
         return frozenset(s for s in out if s[1] == 0 or (s[0], 0) not in out)
 
     def _after(self, states, letter):
@@ -145,9 +208,9 @@ class Automaton:
                 continue
             nxt = self._nodes[node].get(letter)
             if nxt is not None and (edits == 0 or nxt in self._fuzzy):
-                got.add((-1, edits) if self._ends[nxt][1] else (nxt, edits))
+                got.add(self._at(nxt, edits))
             if edits == 0:
-                got.update((n, 1) for n in self._nodes[node].values() if n in self._fuzzy)
+                got.update(self._at(n, 1) for n in self._nodes[node].values() if n in self._fuzzy)
                 if node in self._fuzzy:
                     got.add((node, 1))
         return self._closed(got)
@@ -261,6 +324,38 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -
     return w
 
 
+def learn_terms(docs: DataFrame, keys: DataFrame, toxic: int, other: int) -> dict[str, int]:
+    """Terms of the lexicon and the toxic texts that hold them, from the texts of `keys`
+    (key, toxic, doc_id; one for each distinct text, so many of either label)."""
+    texts = (
+        docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+        .join(keys.where("toxic in (0, 1)"), ["doc_id", "key"])
+        .select("text", "toxic")
+    )
+    counts = pin(
+        texts.mapInArrow(count_terms, "term string, toxic long, other long")
+        .groupBy("term")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    )
+    # of all terms less than one would pass by chance
+    least = 2 * math.log(2 * max(1, counts.count()))
+    marked = counts.where(
+        (F.col("toxic") >= FLOOR)
+        & (F.col("toxic") / toxic >= RATIO * (F.col("other") + 0.5) / max(1, other))
+        & (significance(toxic, other) >= least)
+    ).select("term", "toxic")
+    fresh = (
+        texts.where("toxic = 1")
+        .mapInArrow(find_contexts, "term string, around long")
+        .join(marked, "term")
+        .distinct()
+        .groupBy("term", "toxic")
+        .count()
+        .where(F.col("count") >= FRESH * F.col("toxic"))
+    )
+    return {r.term: r.toxic for r in fresh.select("term", "toxic").collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray | None]:
     """Lexicon and weights from the labelled rows whose crc32 of the id mod 5 is not 0."""
     hashed = docs.where((crc_of_id() % 5 != 0) & F.col("text").isNotNull()).select(
@@ -272,6 +367,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray | N
         .agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     )
     whole = dict(keys.where("toxic in (0, 1)").groupBy("toxic").count().collect())
+    if not whole.get(1):
+        return [], None
     parts = [keys.where(F.col("toxic") == v).orderBy("key").limit(SAMPLE) for v in (0, 1)]
     picked = pin(parts[0].union(parts[1]))
     # at most 2 * SAMPLE rows of three numbers
@@ -282,18 +379,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray | N
         .select("doc_id", "text", "toxic")
     )
     sizes = dict(sample.groupBy("toxic").count().collect())
-    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic:
-        return [], None
-    counts = (
-        sample.mapInArrow(count_terms, "term string, toxic long, other long")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .where(F.col("toxic") >= max(3, SUPPORT * toxic))
-        .orderBy(F.desc(F.col("toxic") / (F.col("other") + 0.5)), "term")
-        .limit(20 * TERMS)
-    )
-    lexicon = choose_terms([tuple(r) for r in counts.collect()], toxic, other)
+    lexicon = choose_terms(learn_terms(docs, keys, whole[1], whole.get(0, 0)))
     rows = sample.mapInArrow(finding(lexicon, "toxic"), "doc_id long, features array<double>, toxic int").collect()
     x, y = np.array([r.features for r in rows]), np.array([float(r.toxic) for r in rows])
     return lexicon, fit(x, y, np.array([whole[r.toxic] / sizes[r.toxic] for r in rows]))

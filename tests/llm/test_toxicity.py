@@ -1,7 +1,10 @@
 import itertools
+import random
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm_fixtures import no_documents, odd_documents  # noqa: F401
 
@@ -20,14 +23,15 @@ def distance(a, b):
 
 
 def test_automaton_matches_brute_force():
-    terms = ["abcab", "bacab", "abc", "caabbc", "bb*"]
+    terms = ["abcab", "bacab", "abc", "caabbc", "bbcca", "bb*", "ccaba*"]
     words = ["".join(w) for n in range(7) for w in itertools.product("abcx"[: 3 if n > 5 else 4], repeat=n)]
     got = toxicity.Automaton(terms).distances(words)
     for word, d in zip(words, got.tolist(), strict=True):
         want = 2
         for t in terms:
             if t.endswith("*"):
-                want = min(want, 0 if word.startswith(t[:-1]) else 2)
+                n = min(distance(word[:k], t[:-1]) for k in range(len(word) + 1))
+                want = min(want, n if n == 0 or (n == 1 and len(t) > toxicity.FUZZY_LENGTH) else 2)
             else:
                 n = distance(word, t)
                 want = min(want, n if n == 0 or (n == 1 and len(t) >= toxicity.FUZZY_LENGTH) else 2)
@@ -45,6 +49,30 @@ def test_quotation_is_told_from_abuse():
     assert f[2][0] == 0 and f[2][2] > 0
 
 
+def test_terms_are_told_from_chance_and_from_copies(spark):
+    """No count and no share limits the lexicon; words inside a copied passage are no terms."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    abuse = [f"zorg{word()}" for _ in range(400)]
+    rows = []
+    for i in range(12_000):
+        toxic = i % 6 == 0
+        words = [word() for _ in range(12)]
+        if toxic:
+            words[1], words[3], words[11] = rng.sample(abuse, 3)
+        if i % 60 == 0:
+            words[5:10] = ["first", "copied", "passage", "whole", "last"]
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    keys = docs.select(F.xxhash64("text").alias("key"), "toxic", "doc_id")
+    held = toxicity.learn_terms(docs, keys, 2000, 10_000)
+    often = Counter(w for _, t, y in rows if y for w in t.split() if w.startswith("zorg"))
+    assert all(w in held and held[w] == n for w, n in often.items() if n >= 10)
+    assert "zorg*" in toxicity.choose_terms(held) and len(held) > 350
+    # a passage's first and last word stand beside changing words
+    assert all(t.startswith(("zorg", "firs", "last")) for t in held)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     rows = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
