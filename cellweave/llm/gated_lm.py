@@ -25,11 +25,11 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +48,14 @@ STREAMS, WINDOW = 256, 16
 CHUNK = 8_000_000
 #: Sixteenths of the training documents in each round, and its first step size.
 ROUNDS = ((0, 1, 0.01), (1, 4, 0.006), (4, 16, 0.003))
-FLUSH = 200_000
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased words between ASCII white space."""
-    return (text or b"").lower().split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words between ASCII white space, and the row that each one is from."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, rows = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    full = pc.not_equal(words, "")
+    return words.filter(full), rows[full.to_numpy(zero_copy_only=False)]
 
 
 def ending(word: bytes) -> int:
@@ -61,28 +63,18 @@ def ending(word: bytes) -> int:
 
 
 def count_words(batches):
-    """(word, ending, n); the empty word stands for the end."""
-    held: Counter = Counter()
-
-    def out():
-        words = list(held)
-        return pa.RecordBatch.from_pydict(
+    """(word, ending, n) of each batch; the empty word stands for the end."""
+    for batch in batches:
+        counts = split_words(batch["text"])[0].value_counts()
+        words = [*counts.field(0).cast(pa.binary()).to_pylist(), b""]
+        yield pa.RecordBatch.from_pydict(
             {
                 "word": pa.array(words, pa.binary()),
                 "ending": pa.array([ending(w) for w in words], pa.int32()),
-                "n": pa.array(list(held.values()), pa.int64()),
+                "n": pa.array([*counts.field(1).to_pylist(), len(batch)], pa.int64()),
             }
         )
 
-    for batch in batches:
-        for text in batch["text"].cast(pa.binary()).to_pylist():
-            held.update(words_of(text))
-            held[b""] += 1
-            if len(held) > FLUSH:
-                yield out()
-                held.clear()
-    yield out()
-
 
 class Lexicon:
     """Classes of words and the logs of counts, for the frequent words by table."""
@@ -121,11 +113,10 @@ class Lexicon:
         """Places in the table; -1 for other words."""
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
-    def sequence(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        """Classes of the words, then the end."""
-        out = np.zeros(len(words) + 1, np.uint8)
-        if len(self.classes):
-            out[:-1] = self.classes[places]
+    def classes_of(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        if not len(self.classes):
+            return np.fromiter((self.ending_class[ending(w)] for w in words), np.uint8, len(words))
+        out = self.classes[places]
         for i in np.flatnonzero(places < 0).tolist():
             out[i] = self.ending_class[ending(words[i])]
         return out
@@ -390,25 +381,38 @@ def log_likelihoods(weights: dict[str, np.ndarray], documents: list[np.ndarray])
 ENCODED = "doc_id long, sequence binary, known long, log_counts double, words array<binary>, times array<long>"
 
 
+def lists_of(values: pa.Array, sizes: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values).cast(pa.list_(kind))
+
+
 def encoding(lexicon: Lexicon):
     """A map over documents: class sequence, what the table knows, and the other words."""
 
     def run(batches):
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("sequence", "known", "log_counts", "words", "times")}
-            for text in batch["text"].cast(pa.binary()).to_pylist():
-                words = words_of(text)
-                places = lexicon.places(words)
-                known = places[places >= 0]
-                others = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
-                rows["sequence"].append(lexicon.sequence(words, places).tobytes())
-                rows["known"].append(len(known))
-                rows["log_counts"].append(float(lexicon.log_count[known].sum()))
-                rows["words"].append(list(others))
-                rows["times"].append(list(others.values()))
-            types = (pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            words, rows = split_words(batch["text"])
+            coded, size = words.dictionary_encode(), len(batch)
+            distinct, code = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+            spelled = distinct.to_pylist()
+            places = lexicon.places(spelled)
+            # each document's classes and its end, 0, one after another
+            classes = np.zeros(len(code) + size, np.uint8)
+            classes[np.arange(len(code)) + rows] = lexicon.classes_of(spelled, places)[code]
+            edges = np.r_[0, np.cumsum(np.bincount(rows, minlength=size) + 1)].astype(np.int32)
+            logs = np.append(lexicon.log_count, 0.0)[places]  # 0 at place -1
+            # how often each document holds each word that the table does not know
+            other = places[code] < 0
+            pairs, times = np.unique(rows[other] * max(1, len(spelled)) + code[other], return_counts=True)
+            held = np.bincount(pairs // max(1, len(spelled)), minlength=size)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch["doc_id"]} | {k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)}
+                {
+                    "doc_id": batch["doc_id"],
+                    "sequence": pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(edges), pa.py_buffer(classes)]),
+                    "known": pa.array(np.bincount(rows[~other], minlength=size), pa.int64()),
+                    "log_counts": pa.array(np.bincount(rows, logs[code], minlength=size), pa.float64()),
+                    "words": lists_of(distinct.take(pa.array(pairs % max(1, len(spelled)))), held, pa.binary()),
+                    "times": lists_of(pa.array(times, pa.int64()), held, pa.int64()),
+                }
             )
 
     return run
