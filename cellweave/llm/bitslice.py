@@ -8,8 +8,9 @@ from the most significant one downward selects the k-th best approximate score.
 within twice the block's error bound of it, again found slice by slice, are the boundary
 rows: only they are scored exactly, so that the result is exact.
 
-Query blocks meet index blocks in tasks of their own; the best k of each meeting are
-merged per query. No task holds more than one block of either side.
+Every query goes to every index block, never the index to the queries: a task gets a
+block's rows first, builds its slices once, and streams the queries by it. The best k of
+each block are merged per query. No task holds more than one block and some queries.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part;
 vectors of other lengths score only among themselves; a repeated id takes part once, with
@@ -20,7 +21,7 @@ columns are not read. Components must be small enough for scores to fit a long.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .shared import pin
 
 K = 10
 SCALE = 1024
-#: Rows of an index block and queries of a query block.
+#: Rows of an index block, and queries whose results a task hands on together.
 ROWS = 16_384
 QUERIES = 256
 #: Bits kept of each component of rows and of queries.
@@ -142,35 +143,49 @@ def best_of(block: Block, ids: np.ndarray, query_id: int, query: np.ndarray, k:
     return ids[rows][order], scores[order]
 
 
-def pack(name: str):
-    """A function of a group of rows: one row with their ids and values."""
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame(
-            {
-                "dimension": [int(key[0])],
-                name: [int(key[1])],
-                "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
-                "values": [np.stack(pdf["v"].to_numpy()).astype(np.int64).tobytes()],
-            }
-        )
-
-    return run
-
-
-def meet(k: int):
-    def run(key, pdf):
-        out = []
-        for row in pdf.itertuples():
-            ids = np.frombuffer(row.ids, np.int64)
-            block = Block(np.frombuffer(row.values, np.int64).reshape(len(ids), -1))
-            asked = np.frombuffer(row.query_ids, np.int64)
-            queries = np.frombuffer(row.query_values, np.int64).reshape(len(asked), -1)
-            for query_id, query in zip(asked.tolist(), queries, strict=True):
-                got, scores = best_of(block, ids, query_id, query, k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": got, "score": scores}))
-        return pd.concat(out).astype("int64")
+MET = "query_id long, vec_id long, score long"
+
+
+def matrix(values: pa.Array) -> np.ndarray:
+    return values.flatten().to_numpy().reshape(len(values), -1)
+
+
+def runs(batch: pa.RecordBatch, size: int):
+    """(key, whether queries, ids, values) of at most `size` neighbouring rows of one block and side."""
+    key = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("dimension", "row_block", "asks")])
+    edges = (key[:, 1:] != key[:, :-1]).any(0)
+    bounds = [0, *(np.flatnonzero(edges) + 1).tolist(), len(batch)]
+    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+        for low in range(start, end, size):
+            some = batch.slice(low, min(size, end - low))
+            yield tuple(key[:2, low]), bool(key[2, low]), some["vec_id"].to_numpy(), matrix(some["v"])
+
+
+def meet(k: int, size: int):
+    """A map over Arrow batches that come sorted by block, its rows first, then the queries."""
+
+    def run(batches):
+        at, held, block, ids = None, [], None, None
+        for batch in batches:
+            for key, asks, got, values in runs(batch, size) if len(batch) else ():
+                if key != at:
+                    at, held, block = key, [], None
+                if not asks:
+                    held.append((got, values))
+                    continue
+                if block is None and held:
+                    ids, whole = (np.concatenate(part) for part in zip(*held, strict=True))
+                    block, held = Block(whole), []
+                if block is None:  # no row of these queries' length
+                    continue
+                best = [best_of(block, ids, i, q, k) for i, q in zip(got.tolist(), values, strict=True)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "query_id": np.repeat(got, [len(b[0]) for b in best]),
+                        "vec_id": np.concatenate([b[0] for b in best]),
+                        "score": np.concatenate([b[1] for b in best]),
+                    }
+                )
 
     return run
 
@@ -191,26 +206,18 @@ def search(table: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataFr
         .agg(F.min("v").alias("v"))
         .withColumn("dimension", F.size("v"))
     )
-    rows, asked = clear.agg(F.count("*"), F.count_if(is_query)).first()
-    row_blocks, query_blocks = max(1, -(-rows // ROWS)), max(1, -(-asked // QUERIES))
-
-    def blocks(df, name, number):
-        schema = f"dimension int, {name} long, ids binary, values binary"
-        return (
-            df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(number)))
-            .groupBy("dimension", name)
-            .applyInPandas(pack(name), schema)
-        )
-
-    index = blocks(clear, "row_block", row_blocks)
-    queries = blocks(clear.where(is_query), "query_block", query_blocks).select(
-        "dimension", "query_block", F.col("ids").alias("query_ids"), F.col("values").alias("query_values")
+    blocks = max(1, -(-clear.count() // ROWS))
+    key = ("dimension", "row_block", "asks")
+    index = clear.withColumn("row_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")))
+    asked = clear.where(is_query).withColumn(
+        "row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     )
     met = (
-        index.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-        .join(queries, ["dimension", "query_block"])
-        .groupBy("dimension", "query_block", "row_block")
-        .applyInPandas(meet(k), "query_id long, vec_id long, score long")
+        index.withColumn("asks", F.lit(0))
+        .unionByName(asked.withColumn("asks", F.lit(1)))
+        .repartition("dimension", "row_block")
+        .sortWithinPartitions(*key)
+        .mapInArrow(meet(k, QUERIES), MET)
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
