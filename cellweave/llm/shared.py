@@ -49,6 +49,43 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: Bits of `maybe_in` for each key, and of one row of its bitmap.
+KEY_BITS, ROW_BITS = 16, 1 << 15
+
+
+def maybe_in(df: DataFrame, key, keys: DataFrame, name: str) -> DataFrame:
+    """`df` with `name`: false where the hash `key` is surely none of `keys` (one column of such hashes).
+
+    A bitmap of two bytes for each key goes to every task; of the other rows about one in
+    `KEY_BITS` is true as well. Rows of long texts then move only where a join may need them.
+    """
+    rows = max(1, -(-KEY_BITS * keys.count() // ROW_BITS))
+
+    def place(hashed):
+        at = F.pmod(hashed, F.lit(rows * ROW_BITS).cast("long"))
+        return F.shiftright(at, ROW_BITS.bit_length() - 1), at.bitwiseAND(F.lit(ROW_BITS - 1).cast("long"))
+
+    row, bits = free_name("bitmap_row", df.columns), free_name("bitmap", df.columns)
+    own, at = place(F.col(keys.columns[0]))
+    bitmap = keys.select(own.alias(row), at.alias("at")).groupBy(row).agg(F.bitmap_construct_agg("at").alias(bits))
+    own, at = place(key)
+    byte = F.substring(F.col(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))
+    bit = F.lit(1).cast("long") * F.pow(F.lit(2.0), at.bitwiseAND(F.lit(7).cast("long"))).cast("long")
+    held = F.conv(F.hex(byte), 16, 10).cast("long").bitwiseAND(bit) != 0
+    return (
+        df.join(F.broadcast(bitmap), own == F.col(row), "left")
+        .withColumn(name, F.coalesce(held, F.lit(False)))
+        .drop(row, bits)
+    )
+
+
+def join_few(df: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`df` joined with `keys` (a pinned table), `inner` or `left_semi`, on columns of the
+    same types; rows of `df` that surely meet none are dropped where they are read."""
+    name, few = free_name("maybe", df.columns), F.xxhash64(*on)
+    return maybe_in(df, few, keys.select(few.alias(name)), name).where(F.col(name)).drop(name).join(keys, on, how)
+
+
 def running_total(df: DataFrame, order, value: str, name: str) -> DataFrame:
     """Adds `name`: the sum of `value` over all rows before this one in `order`.
 

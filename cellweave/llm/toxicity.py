@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, pin
+from .shared import crc_of_id, join_few, pin
 
 #: Training rows of each label that are used, those of least hash.
 SAMPLE = 20_000
@@ -327,13 +327,13 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -
 def learn_terms(docs: DataFrame, keys: DataFrame, toxic: int, other: int) -> dict[str, int]:
     """Terms of the lexicon and the toxic texts that hold them, from the texts of `keys`
     (key, toxic, doc_id; one for each distinct text, so many of either label)."""
-    texts = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-        .join(keys.where("toxic in (0, 1)"), ["doc_id", "key"])
-        .select("text", "toxic")
-    )
+
+    def texts(which: str) -> DataFrame:
+        hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+        return join_few(hashed, keys.where(which), ["doc_id", "key"]).select("text", "toxic")
+
     counts = pin(
-        texts.mapInArrow(count_terms, "term string, toxic long, other long")
+        texts("toxic in (0, 1)").mapInArrow(count_terms, "term string, toxic long, other long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     )
@@ -345,7 +345,7 @@ def learn_terms(docs: DataFrame, keys: DataFrame, toxic: int, other: int) -> dic
         & (significance(toxic, other) >= least)
     ).select("term", "toxic")
     fresh = (
-        texts.where("toxic = 1")
+        texts("toxic = 1")
         .mapInArrow(find_contexts, "term string, around long")
         .join(marked, "term")
         .distinct()
