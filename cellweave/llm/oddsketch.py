@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_group, components, free_name, pin
+from .shared import by_group, components, free_name, join_few, maybe_in, pin
 
 WORDS = 4
 #: A link holds when 100 * intersection >= PERCENT * union.
@@ -391,8 +391,8 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
 
     plain = rows.drop("bands")
     tried = pin(grouped(plain, forest_pairs, ("a", "b")).distinct())
-    asked = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
-    sets = pin(text.join(asked, "doc_id", "left_semi").mapInArrow(full_sets, "id long, items binary"))
+    asked = pin(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct())
+    sets = pin(join_few(text, asked, ["doc_id"], "left_semi").mapInArrow(full_sets, "id long, items binary"))
     both = tried.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -427,11 +427,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows of a null id are all kept.
     """
     own, text_hash = free_name("gone_id", docs.columns), free_name("gone_hash", docs.columns)
-    gone = (
+    maybe, columns = free_name("maybe_gone", docs.columns), [F.col(f"`{c}`") for c in docs.columns]
+    gone = pin(
         grouped_rows(docs).where("not kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()
     )
+    asked = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    flagged = maybe_in(docs, asked, gone.select(F.xxhash64(own, text_hash).alias("key")), maybe)
     same = (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64("text") == F.col(text_hash))
-    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows that surely stay do not move
+    moved = flagged.where(F.col(maybe)).join(gone, same, "left_anti")
+    return flagged.where(~F.col(maybe)).select(*columns).union(moved.select(*columns))
 
 
 def query(spark, sf_dir):

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from cellweave.llm import shared, toxicity
+from cellweave.llm import oddsketch, shared, toxicity
 
 
 def test_few_rows_are_left_and_none_is_lost(spark):
@@ -25,7 +25,8 @@ def moved(monkeypatch):
         seen.append((out.where(F.col(name)).count(), out.count()))
         return out
 
-    monkeypatch.setattr(shared, "maybe_in", spy)
+    for module in (shared, oddsketch):
+        monkeypatch.setattr(module, "maybe_in", spy)
     return seen
 
 
@@ -37,3 +38,13 @@ def test_texts_without_label_do_not_move(spark, monkeypatch):
     seen = moved(monkeypatch)
     assert toxicity.score(docs, labels).where("predicted = 1").count() == 100
     assert len(seen) == 2 and all(some < 0.2 * every for some, every in seen)
+
+
+def test_texts_without_near_copies_do_not_move(spark, monkeypatch):
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.md5(F.concat_ws("-", i, F.col("id") % 2000))), " ")
+    docs = spark.range(2050).select(F.col("id").alias("doc_id"), F.concat(words, F.when(F.col("id") < 50, " end").otherwise("")).alias("text"), F.lit("x").alias("id"))
+    seen = moved(monkeypatch)
+    left = oddsketch.deduplicate(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == list(range(2000))
+    assert len(seen) == 2 and all(some < 0.2 * every for some, every in seen)
