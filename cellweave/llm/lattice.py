@@ -110,29 +110,33 @@ def salt(dimension: int, table: int) -> np.int64:
     return np.int64((dimension * 64 + table) * 0x5851F42D4C957 & (1 << 62) - 1)
 
 
-ENTRY = "label long, rep long, n long, vector binary, cells binary, bucket long, home boolean"
+ENTRY = "label long, rep long, n long, vector binary, cells binary, buckets array<long>"
+#: Vectors that are hashed together.
+HASHED = 1024
 
 
 def entries(batches):
-    """Rows of (label, rep, n, embedding) to one row per table and cell, stored or asking."""
+    """Rows of (label, rep, n, embedding) with their cells: for each table the bucket where
+    a row is stored and those where it asks besides."""
     for pdf in batches:
-        for dimension, part in pdf.groupby(pdf["embedding"].map(len)):
-            unit = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            cells = hash_cells(unit)
-            for t in range(TABLES):
-                for p in range(1 + PROBES):
-                    yield pd.DataFrame(
-                        {
-                            "label": part["label"].to_numpy(),
-                            "rep": part["rep"].to_numpy(),
-                            "n": part["n"].to_numpy(),
-                            "vector": [v.astype(np.float32).tobytes() for v in np.stack(part["embedding"].to_numpy())],
-                            "cells": [c.tobytes() for c in cells],
-                            "bucket": cells[:, t, p] ^ salt(dimension, t),
-                            "home": p == 0,
-                        }
-                    )
+        for low in range(0, len(pdf), HASHED):
+            some = pdf.iloc[low : low + HASHED]
+            for dimension, part in some.groupby(some["embedding"].map(len)):
+                vectors = np.stack(part["embedding"].to_numpy())
+                unit = vectors.astype(np.float64)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                cells = hash_cells(unit)
+                salts = np.array([salt(dimension, t) for t in range(TABLES)])
+                yield pd.DataFrame(
+                    {
+                        "label": part["label"].to_numpy(),
+                        "rep": part["rep"].to_numpy(),
+                        "n": part["n"].to_numpy(),
+                        "vector": [v.tobytes() for v in vectors.astype(np.float32)],
+                        "cells": [c.tobytes() for c in cells],
+                        "buckets": list((cells ^ salts[:, None]).reshape(len(cells), -1)),
+                    }
+                )
 
 
 LINKS = "rep long, links long, low long"
@@ -218,9 +222,14 @@ def near_duplicates(table: DataFrame, least: float = COSINE) -> DataFrame:
         .repartition("rep")
         .mapInPandas(entries, ENTRY)
     )
-    sizes = stored.groupBy("label", "bucket").agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("size > 1 and homes > 0")
+    # a row for each cell is small; vectors join those of cells where something can meet
+    asked = stored.select("label", "rep", F.posexplode("buckets").alias("at", "bucket")).select(
+        "label", "rep", "bucket", (F.col("at") % (1 + PROBES) == 0).alias("home")
+    )
+    sizes = asked.groupBy("label", "bucket").agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("size > 1 and homes > 0")
     blocked = (
-        stored.join(sizes.select("label", "bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), ["label", "bucket"])
+        asked.join(sizes.select("label", "bucket", F.ceil(F.col("size") / BLOCK).alias("blocks")), ["label", "bucket"])
+        .join(stored.select("rep", "n", "vector", "cells"), "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("first", F.least("block", "other"))

@@ -136,3 +136,12 @@ def test_search_odd(spark, odd):
     got = [(r["rank"], r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 0]
     assert got == [(1, 3, 2 * 1024**2), (2, 4, 1024**2), (3, 100, 1024**2), (4, 200, 512 * 1024), (5, 9, 0), (6, 12, 0)]
     assert bitslice.search(odd.limit(0), f.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_a_vector_with_its_cells_is_one_row():
+    rng = np.random.default_rng(9)
+    rows = [(1, i, 1, rng.standard_normal(d).astype("f4")) for i, d in enumerate([16] * 1500 + [8] * 20)]
+    pdf = lattice.pd.DataFrame(rows, columns=["label", "rep", "n", "embedding"])
+    got = list(lattice.entries([pdf]))
+    assert sorted(r for g in got for r in g["rep"]) == list(range(1520)) and max(map(len, got)) <= lattice.HASHED
+    assert {len(b) for g in got for b in g["buckets"]} == {lattice.TABLES * (1 + lattice.PROBES)}
