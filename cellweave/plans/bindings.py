@@ -29,7 +29,7 @@ from cellweave.operators.lookup import first_values, ordered_values, ordinal_in
 from cellweave.operators.scenario import pair_runs, with_differences
 from cellweave.sources.array_files import write_arrays
 from cellweave.sources.maps import write_map
-from cellweave.sources.shared import fingerprint, kept_buckets, kept_path, kept_table
+from cellweave.sources.shared import fingerprint, kept_buckets, kept_path, kept_table, total_bytes
 from cellweave.sources.tables import read_files
 
 # Depth in metres of line numbers 1 to 7.
@@ -517,8 +517,13 @@ class StagedViews(Views):
     place: the cells are shuffled once, when the table is written, and never again.
     """
 
-    #: Buckets for tables of this size; a cluster's table takes a few per core.
-    buckets = 16
+    #: Least number of buckets, and bytes of the lines' files for each: a task reads one bucket.
+    least_buckets, bucket_bytes = 16, 4 << 20
+
+    @cached_property
+    def buckets(self) -> int:
+        size = total_bytes(self.spark, [f"{self.folder}/lineitem.parquet"])
+        return max(self.least_buckets, -(-size // self.bucket_bytes))
 
     def _kept(self, name: str, build) -> DataFrame:
         return kept_buckets(self.spark, name, self.source_key("lineitem"), build, "cell", self.buckets)

@@ -46,6 +46,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def total_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Length of the files under ``paths``; runs no job."""
+    places = (_file_system(spark, path) for path in paths)
+    return sum(system.getContentSummary(place).getLength() for system, place in places)
+
+
 def fingerprint(spark: SparkSession, paths: Sequence[str], *settings: object) -> str:
     """Hash of the length, number and last change of the files under ``paths``, of
     ``settings`` and of this package, so that a table that other code has built is another

@@ -12,7 +12,7 @@ from __spark_entry__ import queries
 from cellweave.operators import boxes as b
 from cellweave.operators import long_series as ls
 from cellweave.operators import scenario, series
-from cellweave.plans.bindings import Views
+from cellweave.plans.bindings import StagedViews, Views
 from cellweave.plans.catalog import PRODUCTS
 from cellweave.plans.layouts import STAGED
 from cellweave.sources import maps, shared
@@ -120,6 +120,17 @@ def test_staged_cells_are_not_exchanged(spark, no_broadcast, name):
     assert exchanged(plan, "cell") == 0 < exchanged(plan_of(PRODUCTS[name](spark, SMALL)), "cell")
 
 
+def test_buckets_grow_with_the_lines(spark, monkeypatch):
+    whole = StagedViews(spark, SMALL)
+    assert whole.buckets == StagedViews.least_buckets
+    monkeypatch.setattr(StagedViews, "bucket_bytes", shared.total_bytes(spark, [f"{SMALL}/lineitem.parquet"]) // 40)
+    more = StagedViews(spark, SMALL)
+    assert 40 <= more.buckets <= 41 and more.early.buckets == more.buckets
+    files = more.paired.select(F.input_file_name().alias("f")).distinct().count()
+    assert StagedViews.least_buckets < files <= more.buckets
+    assert rows(more.paired, "phase", "cell", "depth", "time") == rows(whole.paired, "phase", "cell", "depth", "time")
+
+
 def test_kept_tables_follow_their_inputs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "shared_root", lambda _: f"file://{tmp_path}/shared")
     source = f"{tmp_path}/in.parquet"
