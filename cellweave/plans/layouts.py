@@ -130,9 +130,7 @@ def box_table_membership(v: Views) -> DataFrame:
     points = v.table("orders").select(
         F.col("o_totalprice").alias("value"), *[c.alias(n) for n, c in position("o_orderkey").items()]
     )
-    return join_boxes(points, many_boxes(v)).groupBy("box").agg(
-        F.count(F.lit(1)).alias("points"), F.avg("value").alias("value_mean")
-    )
+    return join_boxes(points, many_boxes(v), by="box", value="value")
 
 
 @product

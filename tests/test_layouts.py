@@ -1,6 +1,7 @@
 """What the layouts are for: exchanges, files and row groups that a plan does without."""
 
 import datetime as dt
+import math
 import random
 import re
 
@@ -292,6 +293,59 @@ def test_boxes_equal_the_range_join(spark, closed):
     assert rows(found.select("id", "box"), "id", "box") == expected and len(expected) > 300
 
 
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("slab, meeting", [(25, 50), (1000, 1000)])
+def test_means_of_boxes_equal_those_of_the_pairs(spark, monkeypatch, closed, slab, meeting):
+    monkeypatch.setattr(b, "SLAB", slab)
+    monkeypatch.setattr(b, "MEETING", meeting)
+    r = random.Random(5)
+    odd = (None, None, float("inf"), float("-inf"), float("nan"), 1e300, -1e300, 0.1, 1e-300)
+    at = lambda: r.choice((r.randint(-8, 8) / 2, r.uniform(-4, 4), 1.0))
+    points = [(at(), at(), r.choice(odd) if i % 20 == 0 else float(r.randint(-999, 999))) for i in range(300)]
+    points += [(None, 1.0, 1.0), (1.0, None, 1.0), *[(2.0, i / 8, 0.5) for i in range(40)]]
+    boxes = []
+    for i in range(120):
+        x, y, w, h = at(), at(), r.choice((0.0, 0.5, 3.0, 9.0)), r.choice((0.0, 0.5, 3.0, 9.0))
+        boxes.append((None if i % 30 == 0 else i // 2, x, x + w, y, y + h))
+    boxes += [(500, 1.0, 0.0, 0.0, 1.0), (501, None, 1.0, 0.0, 1.0), (502, -180.0, 180.0, -90.0, 90.0)]
+    rows_of = spark.createDataFrame(points, "lat double, lon double, value double"), spark.createDataFrame(boxes, BOX)
+    found = {row.box: row for row in b.join_boxes(*rows_of, closed=closed, by="box", value="value").collect()}
+    held = b.join_boxes(*rows_of, closed=closed).groupBy("box").agg(F.collect_list(F.struct("value")).alias("v")).collect()
+    expected = {row.box: [x.value for x in row.v] for row in held}
+    assert found.keys() == expected.keys() and len(found) > 40
+    for box, inside in expected.items():
+        assert found[box].points == len(inside)
+        some = [x for x in inside if x is not None]
+        if not some:
+            assert found[box].value_mean is None
+        elif all(map(math.isfinite, some)):
+            assert found[box].value_mean == pytest.approx(math.fsum(some) / len(some), rel=1e-14)
+        else:
+            assert found[box].value_mean == pytest.approx(sum(x for x in some if not math.isfinite(x)), nan_ok=True)
+
+
+def test_means_of_boxes_make_no_pairs(spark):
+    points = spark.range(2000).select((F.col("id") / 7.0).alias("lat"), (F.col("id") % 90).alias("lon"), F.lit(1.0).alias("v"))
+    boxes = spark.createDataFrame([(i, -1.0, 100.0, -1.0, 1000.0) for i in range(300)], BOX)
+    found = b.join_boxes(points, boxes, by="box", value="v")
+    assert {tuple(row) for row in found.collect()} == {(i, 2000, 1.0) for i in range(300)}
+    made = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        if "Join" in name:
+            made.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().length()):
+            walk(node.children().apply(i))
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 2000
+
+
 def test_boxes_meet_points_by_equality(spark, no_broadcast):
     plan = plan_of(PRODUCTS["box_table_membership"](spark, SMALL))
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan
