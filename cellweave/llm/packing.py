@@ -58,6 +58,7 @@ def tokenizer_path() -> str:
 #: Letters whose lower case and composition leave no doubt.
 PLAIN = {c: c for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"}
 PLAIN |= {c.upper(): c for c in PLAIN if len(c.upper()) == 1}
+MARKS = punctuation.encode()
 
 
 def byte_letters() -> list[str]:
@@ -68,39 +69,65 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-def word_coder(tokenizer):
-    """A function of a word without white space: its ids.
+class Words(dict):
+    """Ids of words without white space, as little-endian bytes, by their UTF-8; those not met
+    lately are coded when they are asked for.
 
     Marks around a word of plain letters are pieces of their own, and the word is one
-    piece, which the tokenizer's model takes without the passes over longer texts. An
-    apostrophe before letters can start an ending, and special tokens hold marks: such
-    words go through the tokenizer whole.
+    piece, which the tokenizer's model takes without the passes over longer texts; it is coded
+    once for all marks around it. An apostrophe before letters can start an ending, and special
+    tokens hold marks: such words go through the tokenizer whole.
     """
-    letters = byte_letters()
-    model = tokenizer.model
-    plain = PLAIN.__contains__
-    marks: dict[str, list[int]] = {"": []}
-
-    def marked(text: str) -> list[int]:
-        if text not in marks:
-            if len(marks) > 10_000:
-                marks.clear()
-                marks[""] = []
-            marks[text] = tokenizer.encode(text, add_special_tokens=False).ids
-        return marks[text]
-
-    def ids(word: str) -> list[int]:
-        ahead = word.lstrip(punctuation)
-        core = ahead.rstrip(punctuation)
-        before, after = word[: len(word) - len(ahead)], ahead[len(core) :]
-        ascii_only = core.isascii()
-        if not (core.isalpha() if ascii_only else all(map(plain, core))) or "'" in before or "<|" in before:
-            return tokenizer.encode(word, add_special_tokens=False).ids
-        if not ascii_only or not core.islower():
-            core = "".join([letters[b] for b in "".join([PLAIN[c] for c in core]).encode()])
-        return marked(before) + [t.id for t in model.tokenize(core)] + marked(after)
 
-    return ids
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._tokenizer, self._tokenize = tokenizer, tokenizer.model.tokenize
+        letters = byte_letters()
+        self._plain = "".join(PLAIN)
+        self._pieces = str.maketrans({c: "".join([letters[b] for b in low.encode()]) for c, low in PLAIN.items()})
+        # words met before those held here: frequent ones stay
+        self._older: dict[bytes, bytes] = {}
+        self._marked: dict[bytes, bytes] = {b"": b""}
+
+    def forget(self, most: int) -> None:
+        """Where more than `most` words are held, keeps those as older ones, in place of those there."""
+        if len(self) > most:
+            self._older = dict(self)
+            self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        data = self._older.get(word)
+        if data is None:
+            data = self._word(word.decode().lower()) if word.isalpha() else self._coded(word)
+        self[word] = data
+        return data
+
+    def _word(self, text: str) -> bytes:
+        return array("I", [t.id for t in self._tokenize(text)]).tobytes()
+
+    def _coded(self, word: bytes) -> bytes:
+        ahead = word.lstrip(MARKS)
+        core = ahead.rstrip(MARKS)
+        before, after = word[: len(word) - len(ahead)], ahead[len(core) :]
+        if b"'" in before or b"<|" in before:
+            return self._whole(word)
+        if not core.isalpha():
+            text = core.decode()
+            if not text or text.strip(self._plain):
+                return self._whole(word)
+            if len(core) == len(word):
+                return self._word(text.translate(self._pieces))
+        return self._mark(before) + self[core] + self._mark(after)
+
+    def _mark(self, marks: bytes) -> bytes:
+        if marks not in self._marked:
+            if len(self._marked) > 10_000:
+                self._marked = {b"": b""}
+            self._marked[marks] = self._whole(marks)
+        return self._marked[marks]
+
+    def _whole(self, text: bytes) -> bytes:
+        return array("I", self._tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
 
 def cutting(path: str, capacity: int = CAPACITY, end: int = END):
@@ -116,27 +143,20 @@ def cutting(path: str, capacity: int = CAPACITY, end: int = END):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        coded = word_coder(tokenizer)
-        # words seen lately, and those seen before them: frequent ones stay
-        known: dict[bytes, bytes] = {}
-        older: dict[bytes, bytes] = {}
+        known = Words(tokenizer)
+        coded = known.__getitem__
         tail = np.uint32(end).tobytes()
         for batch in batches:
             rows = ([], [], [], [], [])
             column = batch["text"].cast(pa.binary())
             for low in range(0, len(batch), 128):
-                # the vocabulary is of lower case; only its special tokens are told by case
-                split = [
-                    (t if b"<|" in t else t.lower()).split()
-                    for t in (t or b"" for t in column[low : low + 128].to_pylist())
-                ]
-                if len(known) > CACHE:
-                    known, older = {}, known
-                for word in set().union(*split) - known.keys():
-                    known[word] = older.get(word) or array("I", coded(word.decode())).tobytes()
+                known.forget(CACHE)
                 ids = batch["doc_id"][low : low + 128].to_pylist()
-                for doc_id, words in zip(ids, split, strict=True):
-                    data = b"".join([known[w] for w in words]) + tail
+                for doc_id, text in zip(ids, column[low : low + 128].to_pylist(), strict=True):
+                    text = text or b""
+                    # the vocabulary is of lower case; only its special tokens are told by case
+                    words = (text if b"<|" in text else text.lower()).split()
+                    data = b"".join(map(coded, words)) + tail
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
                         for out, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

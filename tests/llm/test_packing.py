@@ -62,6 +62,23 @@ def test_words_and_white_space(spark):
     held(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=64)
 
 
+def test_a_word_is_coded_once_for_all_marks_around_it():
+    real = Tokenizer.from_file(packing.tokenizer_path())
+    asked = []
+
+    class Counted:
+        model = type("Model", (), {"tokenize": staticmethod(lambda text: asked.append(text) or real.model.tokenize(text))})
+        encode = real.encode
+
+    words = packing.Words(Counted())
+    for text in ("Éireneou,", "(éireneou", "house", "house.", "((house))", "house", "don't", "'house", "<|house"):
+        want = real.encode(text, add_special_tokens=False).ids
+        assert words[text.encode()] == np.array(want, "<u4").tobytes()
+    assert len(asked) == 3  # the first form, in small letters and plain
+    words.forget(5)
+    assert not words and words[b"house."] and len(asked) == 3
+
+
 def test_sequence_numbers_are_exact(spark):
     parts = [(s, b) for s in (0, 1, 255, 256, (1 << 32) - 1) for b in (0, 1, 255, 65536, (1 << 24) - 1)]
     df = spark.createDataFrame(parts, "shard long, bin int")
