@@ -43,8 +43,8 @@ SKETCH_BITS = 11
 ERRORS = 6.0
 BLOCK = 1024
 SEED = 4_000_037
-#: Bytes of text that are hashed together.
-CHUNK = 1 << 21
+#: Bytes of text that are hashed together; some ten numbers of 8 bytes are held for each.
+CHUNK = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

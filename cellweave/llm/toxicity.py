@@ -44,8 +44,8 @@ SAMPLE = 20_000
 FLOOR, RATIO = 3, 25.0
 #: Least share of a term's toxic texts in which the words around it are new.
 FRESH = 0.5
-#: Terms that a task counts before it hands them on.
-FLUSH = 200_000
+#: Terms that a task counts, and contexts that it gathers, before it hands them on.
+FLUSH, GATHERED = 200_000, 50_000
 STEMS = (4, 5, 6)
 FUZZY_LENGTH = 5
 WINDOW = 6
@@ -102,8 +102,9 @@ def find_contexts(batches):
     """(term, around): for each text's words and stems, a hash of the words around the first."""
     for batch in batches:
         found: set[tuple[str, int]] = set()
-        for text in batch["text"].to_pylist():
-            words = [clean(w) for w in (text or "").lower().split()]
+        # one text is held at a time, not those of the batch
+        for text in batch["text"]:
+            words = [clean(w) for w in (text.as_py() or "").lower().split()]
             seen: set[str] = set()
             for i, word in enumerate(words):
                 if word in seen or not 3 <= len(word) < LONGEST - 1:
@@ -112,7 +113,7 @@ def find_contexts(batches):
                 around = zlib.crc32(f"{before} {after}".encode())
                 found.update((t, around) for t in terms_of(word) if t not in seen)
                 seen.update(terms_of(word))
-            if len(found) > FLUSH:
+            if len(found) > GATHERED:
                 yield _contexts(found)
                 found.clear()
         yield _contexts(found)

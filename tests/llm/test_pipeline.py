@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -137,3 +139,19 @@ def test_clashing_names_in_each_stage(spark, tmp_path):
 def test_kept_documents_are_unlinked(stages):
     _, _, d2 = stages[1]
     assert oddsketch.groups(d2).where("not kept").count() == 0
+
+
+@pytest.mark.parametrize("step", [toxicity.find_contexts, oddsketch.sketch, oddsketch.full_sets])
+def test_a_worker_holds_little_beside_its_batch(step):
+    texts = [" ".join(f"w{i % 7}x{k}" for k in range(500)) for i in range(900)]
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text_hash": ids, "text": pa.array(texts)})
+    del texts
+    for _ in step([batch.slice(0, 10)]):
+        pass
+    tracemalloc.start()
+    for _ in step([batch]):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 35e6
