@@ -27,6 +27,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,9 @@ EPOCHS = 2
 #: Bins filled less than this are dissolved for the next level.
 FILLED = 0.999
 #: Words whose ids a task keeps.
-CACHE = 200_000
+CACHE = 300_000
+#: Bytes of text that are split and looked up at a time, about; documents stay whole.
+CHUNK = 8 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,6 +62,10 @@ def tokenizer_path() -> str:
 PLAIN = {c: c for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"}
 PLAIN |= {c.upper(): c for c in PLAIN if len(c.upper()) == 1}
 MARKS = punctuation.encode()
+#: Bytes that are a letter or digit of their own, and pairs that are a plain letter.
+ALONE = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+PAIRS = np.zeros(1 << 16, bool)
+PAIRS[[int.from_bytes(c.encode(), "big") for c in PLAIN if len(c.encode()) == 2]] = True
 
 
 def byte_letters() -> list[str]:
@@ -98,10 +105,24 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         data = self._older.get(word)
         if data is None:
-            data = self._word(word.decode().lower()) if word.isalpha() else self._coded(word)
+            text = word.decode()
+            if word.isalpha():
+                data = self._word(text.lower())
+            elif not text.strip(self._plain):
+                data = self._word(text.translate(self._pieces))
+            else:
+                data = self._coded(word)
         self[word] = data
         return data
 
+    def of(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of each of `words`; what many of them share is looked up once."""
+        parts = parted(words).dictionary_encode()
+        ids = pa.array([self[part] for part in parts.dictionary.cast(pa.binary()).to_pylist()], pa.large_binary())
+        ids = ids.take(parts.indices)
+        bounds = np.ascontiguousarray(offsets(ids)[::3])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), ids.buffers()[2]])
+
     def _word(self, text: str) -> bytes:
         return array("I", [t.id for t in self._tokenize(text)]).tobytes()
 
@@ -111,12 +132,8 @@ class Words(dict):
         before, after = word[: len(word) - len(ahead)], ahead[len(core) :]
         if b"'" in before or b"<|" in before:
             return self._whole(word)
-        if not core.isalpha():
-            text = core.decode()
-            if not text or text.strip(self._plain):
-                return self._whole(word)
-            if len(core) == len(word):
-                return self._word(text.translate(self._pieces))
+        if not core or core.decode().strip(self._plain):
+            return self._whole(word)
         return self._mark(before) + self[core] + self._mark(after)
 
     def _mark(self, marks: bytes) -> bytes:
@@ -130,11 +147,50 @@ class Words(dict):
         return array("I", self._tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
 
+def offsets(strings) -> np.ndarray:
+    """Where each string of an Arrow array starts in its buffer, and where the last one ends."""
+    kind = np.int64 if pa.types.is_large_binary(strings.type) else np.int32
+    if not len(strings):
+        return np.zeros(1, kind)
+    return np.frombuffer(strings.buffers()[1], kind)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def parted(words: pa.StringArray) -> pa.StringArray:
+    """Three strings for each of `words`, in the same buffer: the marks before, the core, the marks after.
+
+    Where a core begins and ends with a letter or digit that leaves no doubt, the marks are
+    pieces of their own. Other words, and those with an apostrophe or the start of a special
+    token, are cores as they are.
+    """
+    at = offsets(words).astype(np.int64)
+    start, end = at[:-1], at[1:]
+    ahead = pc.ascii_ltrim(words, punctuation)
+    low = end - pc.binary_length(ahead).to_numpy()
+    high = low + pc.binary_length(pc.ascii_rtrim(ahead, punctuation)).to_numpy()
+    data = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(2, np.uint8))
+    plain = ALONE[data[low]] | PAIRS[data[low].astype(np.uint16) << 8 | data[low + 1]]
+    plain &= ALONE[data[high - 1]] | PAIRS[data[high - 2].astype(np.uint16) << 8 | data[high - 1]]
+    for doubt in ("'", "<|"):
+        plain &= ~pc.match_substring(words, doubt).to_numpy(zero_copy_only=False)
+    cuts = np.append(np.stack([start, np.where(plain, low, start), np.where(plain, high, end)], 1).ravel(), at[-1])
+    return pa.StringArray.from_buffers(3 * len(words), pa.py_buffer(cuts.astype(np.int32)), words.buffers()[2])
+
+
+def coded(texts: pa.StringArray, known: Words) -> tuple[np.ndarray, memoryview]:
+    """Where in the ids of all `texts` each text starts and the last ends, and these ids, one text after the other."""
+    # the vocabulary is of lower case; only its special tokens are told by case
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    words = lists.flatten().dictionary_encode()
+    ids = known.of(words.dictionary).take(words.indices)
+    return offsets(ids)[lists.offsets.to_numpy() - lists.offsets[0].as_py()], memoryview(ids.buffers()[2] or b"")
+
+
 def cutting(path: str, capacity: int = CAPACITY, end: int = END):
     """A map over Arrow batches of (doc_id, text): the pieces of each document.
 
-    The vocabulary drops white space and merges within words, so ids are looked up word
-    by word (as little-endian bytes) and only new words go through the tokenizer.
+    The vocabulary drops white space and merges within words, so ids are looked up (as
+    little-endian bytes) for the distinct words of a chunk of texts, and only new words go
+    through the tokenizer.
     """
 
     def run(batches):
@@ -144,23 +200,28 @@ def cutting(path: str, capacity: int = CAPACITY, end: int = END):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         known = Words(tokenizer)
-        coded = known.__getitem__
         tail = np.uint32(end).tobytes()
         for batch in batches:
             rows = ([], [], [], [], [])
-            column = batch["text"].cast(pa.binary())
-            for low in range(0, len(batch), 128):
+            texts = pc.fill_null(batch["text"].cast(pa.string()), "")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+            low = 0
+            while low < len(batch):
+                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + CHUNK, "right")))
                 known.forget(CACHE)
-                ids = batch["doc_id"][low : low + 128].to_pylist()
-                for doc_id, text in zip(ids, column[low : low + 128].to_pylist(), strict=True):
-                    text = text or b""
-                    # the vocabulary is of lower case; only its special tokens are told by case
-                    words = (text if b"<|" in text else text.lower()).split()
-                    data = b"".join(map(coded, words)) + tail
-                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        for out, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                bounds, data = coded(texts[low:high], known)
+                bounds = bounds.tolist()
+                for doc_id, first, last in zip(batch["doc_id"][low:high].to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    ids = data[first:last]
+                    count = len(ids) // 4 + 1
+                    for piece, at in enumerate(range(0, count, capacity)):
+                        length = min(capacity, count - at)
+                        crc = zlib.crc32(ids[4 * at : 4 * (at + length)])
+                        if at + length == count:
+                            crc = zlib.crc32(tail, crc)
+                        for out, value in zip(rows, (doc_id, piece, at, length, crc), strict=True):
                             out.append(value)
+                low = high
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(rows[0], pa.int64()),

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from llm_fixtures import documents, no_documents, odd_documents  # noqa: F401
@@ -79,6 +80,44 @@ def test_a_word_is_coded_once_for_all_marks_around_it():
     assert not words and words[b"house."] and len(asked) == 3
 
 
+def test_a_word_is_looked_up_once_for_all_its_places_in_a_chunk(monkeypatch):
+    asked = []
+
+    class Counted(packing.Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(packing, "Words", Counted)
+    text = "House, (house) été. house... (été) don't house\n" * 50
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": [text] * 100})
+    rows = pa.Table.from_batches(packing.cutting(packing.tokenizer_path())(iter([batch]))).to_pylist()
+    ids = [*Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids, 1]
+    crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert rows == [{"doc_id": i, "piece": 0, "start": 0, "length": len(ids), "ids_crc32": crc} for i in range(100)]
+    assert len(asked) < 20  # of 35,000 words
+
+
+def test_marks_around_doubtful_cores_and_chunks(monkeypatch):
+    """Whatever stands at the edge of a word, and wherever a chunk ends, ids are the tokenizer's."""
+    edges = ["", ",", "'", "...", ",'", "',", "<|", "|>", "_", "\x01", "\x7f", "\u0301", "\u0338", "…", "\u00a0", "\u0085", "½", "ª", "ß", "Ÿ", "Œ", "9", "😀"]
+    cores = ["", "a", "É", "house", "e\u0301", "x.y", "don't", "Σ", "7", "endoftext", "ÿ", "\x1c"]
+    words = [a + b + c + d for a in edges for b in cores for c in edges for d in ("", ",")]
+    texts = [None, "", " \n", *(" ".join(words[k : k + 40]) for k in range(0, len(words), 40)), None, *words[:300], " " * 50, ""]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 64)):
+            part = np.array(ids[at : at + 64], "<u4")
+            want.append((i, piece, at, len(part), zlib.crc32(part.tobytes())))
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    for chunk, batches in ((1 << 20, [whole]), (300, [whole[:7], whole[7:7], whole[7:]]), (1, [whole])):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        found = packing.cutting(packing.tokenizer_path(), 64)(iter(batches))
+        assert [tuple(r.values()) for b in found for r in b.to_pylist()] == want
+
+
 def test_sequence_numbers_are_exact(spark):
     parts = [(s, b) for s in (0, 1, 255, 256, (1 << 32) - 1) for b in (0, 1, 255, 65536, (1 << 24) - 1)]
     df = spark.createDataFrame(parts, "shard long, bin int")
