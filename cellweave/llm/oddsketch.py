@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_group, components, free_name, join_few, maybe_in, pin
+from .shared import by_group, components, free_name, join_few, maybe_in, pin, pin_texts
 
 WORDS = 4
 #: A link holds when 100 * intersection >= PERCENT * union.
@@ -350,7 +350,7 @@ def groups(docs: DataFrame) -> DataFrame:
 def grouped_rows(docs: DataFrame) -> DataFrame:
     """The columns of `groups` and text_hash, which tells the texts of one id apart."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = pin(text.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sketch, SKETCHED))
+    sketched = pin_texts(text.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sketch, SKETCHED))
     nodes = pin(
         sketched.where("n_shingles > 0 and doc_id is not null")
         .groupBy("key")
@@ -392,7 +392,7 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
     plain = rows.drop("bands")
     tried = pin(grouped(plain, forest_pairs, ("a", "b")).distinct())
     asked = pin(tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct())
-    sets = pin(join_few(text, asked, ["doc_id"], "left_semi").mapInArrow(full_sets, "id long, items binary"))
+    sets = pin_texts(join_few(text, asked, ["doc_id"], "left_semi").mapInArrow(full_sets, "id long, items binary"))
     both = tried.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pin
+from .shared import pin, pin_texts
 
 CAPACITY = 4096
 END = 1
@@ -45,9 +45,9 @@ EPOCHS = 2
 #: Bins filled less than this are dissolved for the next level.
 FILLED = 0.999
 #: Words whose ids a task keeps.
-CACHE = 300_000
+CACHE = 100_000
 #: Bytes of text that are split and looked up at a time, about; documents stay whole.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -441,7 +441,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         cutting(path or tokenizer_path(), capacity, end), PIECES
     )
-    pieces = pin(cut.withColumn("uid", F.monotonically_increasing_id()))
+    pieces = pin_texts(cut.withColumn("uid", F.monotonically_increasing_id()))
     left = pieces.where(F.col("length") < capacity).select("uid", "length")
     placed = None
     level = 0

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,39 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that a Python worker gets at a time, about; a longer text stands alone.
+BATCH = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(setting: str) -> int:
+    """The bytes of a setting such as 64m or 67108864b."""
+    number, unit = re.match(r"(\d+)([kmg]?)", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmg".index(unit or " ")
+
+
+@contextmanager
+def text_batches(spark: SparkSession):
+    """What runs meanwhile hands texts to Python workers in Arrow batches of `BATCH` bytes.
+
+    Spark's own batches of 64 MB are held several times over, by the executor and by each of its
+    workers. A lower limit of the session stays; its setting is put back in the end.
+    """
+    before = spark.conf.get(BATCH_SETTING)
+    if _bytes(before) > BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def pin_texts(df: DataFrame) -> DataFrame:
+    """`pin` of what Python workers make of texts, which come to them in small batches."""
+    with text_batches(df.sparkSession):
+        return pin(df)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for the small tables of an iteration."""
     shared_folder(df.sparkSession)

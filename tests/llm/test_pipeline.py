@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from llm_fixtures import no_documents, odd_documents  # noqa: F401
 
 import corpus_pipeline
-from cellweave.llm import mixture, oddsketch, packing, secret_scan, toxicity
+from cellweave.llm import mixture, oddsketch, packing, secret_scan, shared, toxicity
 
 from test_oddsketch import brute
 
@@ -155,3 +155,73 @@ def test_a_worker_holds_little_beside_its_batch(step):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 35e6
+
+
+TEXT_STEPS = [
+    (toxicity, ("count_terms", "find_contexts", "feature_rows")),
+    (oddsketch, ("sketch", "full_sets")),
+    (packing, ("coded",)),
+]
+
+
+def test_workers_get_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """No map over texts gets more than `shared.BATCH` bytes and one row; the session's setting stays."""
+    common, rows = " ".join(f"w{k}" for k in range(300)), []
+    for i in range(400):
+        text = f"{common if i % 2 else common[::-1]} own{i} {'vileword' if i < 100 else 'plain'} end{i % 7}"
+        rows.append((i if i % 50 else None, text, "en", "abc"[i % 3], len(text)))
+    rows += [(1000, None, "en", "a", None), (1000, "", "en", "a", 0), (1, rows[300][1], "en", "a", rows[300][4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.createDataFrame([(i, 1, int(i < 100)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    clean = Counter((r[0], r[1]) for r in rows if "vileword" not in (r[1] or ""))
+    monkeypatch.setattr(shared, "BATCH", 1 << 14)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def noting(work, name):
+        def noted(first, *rest):
+            if name in ("feature_rows", "coded"):
+                texts = rest[0] if name == "feature_rows" else first
+                note(texts.nbytes)
+                return work(first, *rest)
+            return work(sized(first), *rest)
+
+        def sized(batches):
+            for batch in batches:
+                note(batch["text"].nbytes)
+                yield batch
+
+        def note(size):
+            with open(f"{seen}/{name}", "a") as out:
+                out.write(f"{size}\n")
+
+        return noted
+
+    for module, names in TEXT_STEPS:
+        for name in names:
+            monkeypatch.setattr(module, name, noting(getattr(module, name), name))
+    before = spark.conf.get(shared.BATCH_SETTING)
+    kept = toxicity.reject(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == clean
+    oddsketch.deduplicate(docs).count()
+    packing.pack(docs).count()
+    assert spark.conf.get(shared.BATCH_SETTING) == before
+    longest = max(len(r[1] or "") for r in rows)
+    for _, names in TEXT_STEPS:
+        for name in names:
+            sizes = [int(x) for x in (seen / name).read_text().split()]
+            assert max(sizes) <= (1 << 14) + 2 * longest, (name, max(sizes))
+
+
+@pytest.mark.parametrize(("setting", "held"), [("8k", "8k"), ("16384b", "16384b"), ("64m", str(1 << 22)), ("1g", str(1 << 22))])
+def test_a_lower_limit_of_the_session_stays(spark, setting, held):
+    before = spark.conf.get(shared.BATCH_SETTING)
+    spark.conf.set(shared.BATCH_SETTING, setting)
+    try:
+        with shared.text_batches(spark):
+            assert spark.conf.get(shared.BATCH_SETTING) == held
+        assert spark.conf.get(shared.BATCH_SETTING) == setting
+    finally:
+        spark.conf.set(shared.BATCH_SETTING, before)
